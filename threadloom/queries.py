@@ -1,0 +1,6 @@
+"""Queries of the library's operators over the given tables, and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
