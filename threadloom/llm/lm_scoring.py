@@ -201,11 +201,19 @@ def _parts(texts: list[bytes]) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _sum_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(n[order], starts)
+
+
 def _lowered(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
 
 
-def context_tree_scores(docs: DataFrame, training: Column, depth: int = 6, block_bytes: int = 32 << 20) -> DataFrame:
+def context_tree_scores(docs: DataFrame, training: Column, depth: int = 5, block_bytes: int = 24 << 20) -> DataFrame:
     """Score every text by the context tree learned from the rows where ``training`` holds.
 
     ``depth`` is 6 at most, so that a gram fits a long.
@@ -229,17 +237,15 @@ def context_tree_scores(docs: DataFrame, training: Column, depth: int = 6, block
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         texts, training = _lowered(frame["text"]), frame["training"].to_numpy(bool)
-        found, times = [], []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for part in _parts(texts):
             keys = _grams(texts[part], depth)
             marks = np.repeat(training[part], [len(t) + 1 for t in texts[part]])
             distinct, n = np.unique((keys << 1) | marks, return_counts=True)
-            found.append(distinct)
-            times.append(n)
-        keys, where = np.unique(np.concatenate(found), return_inverse=True)
-        n = np.bincount(where, weights=np.concatenate(times)) * (keys & 1)
-        grams, where = np.unique(keys >> 1, return_inverse=True)
-        n_gram = np.bincount(where, weights=n).astype(np.int64)
+            found.append(_sum_by(distinct >> 1, n * (distinct & 1)))
+            if len(found) == 6:
+                found = [_sum_by(*map(np.concatenate, zip(*found, strict=True)))]
+        grams, n_gram = _sum_by(*map(np.concatenate, zip(*found, strict=True)))
         words: dict[bytes, int] = {b"": int(training.sum())}
         get = words.get
         for text, learned in zip(texts, training, strict=True):

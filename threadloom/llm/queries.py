@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import lm_scoring, minhash_dedup, packing
+from threadloom.llm import lm_scoring, minhash_dedup, packing, quality_rules
 from threadloom.llm.common import held_out
 
 
@@ -29,10 +29,15 @@ def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), sequence_tokens=1024)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_context_tree": op1_context_tree,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_hilbert_packing": op3_hilbert_packing,
+    "op5_quality_rules": op5_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
