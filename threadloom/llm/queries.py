@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import lm_scoring, minhash_dedup, packing, quality_rules
+from threadloom.llm import (
+    decontaminate,
+    html_extract,
+    language_id,
+    lm_scoring,
+    minhash_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+)
 from threadloom.llm.common import held_out
 
 
@@ -29,15 +38,38 @@ def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), sequence_tokens=1024)
 
 
+def op4_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out(F.col("doc_id"), 5, 0)
+    scored = quality_classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify_languages(_table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 4, 2))
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_context_tree": op1_context_tree,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_hilbert_packing": op3_hilbert_packing,
+    "op4_page_differencing": op4_page_differencing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_positive_unlabelled": op6_positive_unlabelled,
+    "op9_cross_parsing": op9_cross_parsing,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
