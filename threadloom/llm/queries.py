@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from threadloom.llm import (
     decontaminate,
     html_extract,
@@ -12,8 +13,10 @@ from threadloom.llm import (
     lm_scoring,
     minhash_dedup,
     packing,
+    pii,
     quality_classifier,
     quality_rules,
+    secret_scan,
 )
 from threadloom.llm.common import held_out
 
@@ -52,6 +55,17 @@ def op6_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.where("is_secret").select("doc_id", "start", "length", "kind", "score")
+
+
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with personal data: what was found, and the text with pseudonyms."""
+    changed = pii.pseudonymise(_table(spark, sf_dir, "documents"), key="threadloom")
+    return changed.where(pii.is_private(F.col("pii"))).select("doc_id", F.size("pii").alias("n_found"), "pii", "text")
+
+
 def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify_languages(_table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 4, 2))
     return found.select("doc_id", (~F.col("training")).alias("held_out"), "lang_pred", "score")
@@ -68,8 +82,11 @@ QUERIES = {
     "op4_page_differencing": op4_page_differencing,
     "op5_quality_rules": op5_quality_rules,
     "op6_positive_unlabelled": op6_positive_unlabelled,
+    "op7_secret_forest": op7_secret_forest,
+    "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_cross_parsing": op9_cross_parsing,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
