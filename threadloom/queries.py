@@ -1,6 +1,872 @@
-"""Queries of the library's operators over the given tables, and their SQL."""
+"""Queries of the library's operators over the given tables, and their SQL for another engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from threadloom.bindings import E0, NOW, VIEWS, bind, sql
+from threadloom.functions import text as T
+from threadloom.operators import aggregates, graph, hierarchy, ingest, joins, predicates, search, vectors, windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(views: str, oracle: str | None = None):
+    """Register a function of the named views, and SQL in which ``{view}`` stands for a view."""
+    names = views.split()
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[bind(spark, sf_dir, v) for v in names])
+        if oracle:
+            parts = [f"{v} AS ({sql(v)})" for v in names if v in VIEWS]
+            ORACLE_SQL[f.__name__] = (f"WITH {', '.join(parts)} " if parts else "") + oracle
+        return f
+
+    return register
+
+
+DAY = "strftime(to_timestamp({ts} - {off} * 60) AT TIME ZONE 'UTC', '%Y-%m-%d')"
+
+
+def _day(ts: str, offset: int) -> str:
+    return DAY.format(ts=ts, off=offset)
+
+
+# --- sources -------------------------------------------------------------------------
+
+
+@query("messages", "SELECT message_id, document_id FROM messages WHERE message_id > 40003 ORDER BY message_id LIMIT 50")
+def a5_incremental_rows(messages):
+    return predicates.incremental_rows(messages, "message_id", 40003, 50).select("message_id", "document_id")
+
+
+# --- predicates and projections ------------------------------------------------------
+
+
+@query("docs machines", "SELECT document_id FROM docs WHERE machine_id IN (SELECT machine_id FROM machines WHERE user_id = 1)")
+def b1_scope_to_user(docs, machines):
+    return predicates.scope_to_user(docs, machines, 1).select("document_id")
+
+
+_HOST = "lower(regexp_replace(name, ' \\((Windows|Linux)\\)$', ''))"
+_HOST_ID = f"concat('host_', substr(sha256(concat(cast(user_id as varchar), chr(0), {_HOST})), 1, 24))"
+
+
+@query(
+    "docs machines",
+    f"""SELECT document_id FROM docs JOIN machines m USING (machine_id)
+    WHERE {_HOST_ID.replace("user_id", "m.user_id").replace("name", "m.name")} = (SELECT {_HOST_ID} FROM machines WHERE machine_id = 1)""",
+)
+def b2_resolve_device_scope(docs, machines):
+    named = machines.select(
+        "machine_id", T.host_id(F.col("user_id").cast("string"), F.col("name")).alias("host_id"), F.concat(F.lit("c"), "machine_id").alias("collector_id")
+    )
+    chosen = named.where("machine_id = 1").select("host_id").first()["host_id"]  # one row of the machines dimension
+    return docs.join(predicates.resolve_device_scope(named, chosen), "machine_id", "left_semi").select("document_id")
+
+
+@query(
+    "docs grants",
+    """SELECT document_id FROM docs d WHERE EXISTS (SELECT 1 FROM grants g WHERE g.user_id = 2 AND g.grant_id < 60
+        AND (g.project IS NULL OR g.project = d.project) AND (g.tool_id IS NULL OR g.tool_id = d.tool_id))""",
+)
+def b3_visible_documents(docs, grants):
+    return predicates.visible_documents(docs, grants.where("grant_id < 60"), 2).select("document_id")
+
+
+@query("docs", "SELECT document_id, relative_path FROM docs WHERE relative_path NOT LIKE '%.resolved%' AND relative_path NOT LIKE '%.meta.json%' AND relative_path NOT LIKE '%.metadata.json%'")
+def b4_drop_noise_paths(docs):
+    return predicates.drop_noise_paths(docs).select("document_id", "relative_path")
+
+
+_REAL = "role IN ('user', 'assistant') AND content NOT LIKE '[Result]%' AND content NOT LIKE '[Tool:%' AND content NOT LIKE '{\"tool_use_id\"%'"
+
+
+@query("messages", f"SELECT message_id, role FROM messages WHERE {_REAL}")
+def b5_drop_tool_noise(messages):
+    return predicates.drop_tool_noise(messages).select("message_id", "role")
+
+
+@query("docs", f"SELECT document_id FROM docs WHERE synced >= {NOW - 7 * 86400} AND (synced IS NULL OR synced <= {NOW})")
+def b6_within_days(docs):
+    return predicates.as_of(predicates.within_days(docs, "synced", 7, NOW), "synced", NOW).select("document_id")
+
+
+@query("messages", f"SELECT message_id, {_day('ts', 480)} AS day FROM messages")
+def b7_local_day(messages):
+    return messages.select("message_id", predicates.local_day(F.col("ts"), 480).alias("day"))
+
+
+@query("conv_docs", "SELECT document_id, coalesce(nullif(root_session_id, ''), nullif(thread, '')) AS thread_id FROM conv_docs")
+def b8_thread_id(conv_docs):
+    return conv_docs.select("document_id", predicates.first_filled(F.col("root_session_id"), F.col("thread")).alias("thread_id"))
+
+
+@query("docs", "SELECT document_id, CASE WHEN regexp_matches(substr(project, 4), '^[0-9]+$') THEN cast(substr(project, 4) AS bigint) ELSE 0 END AS n FROM docs")
+def b9_safe_int(docs):
+    return docs.select("document_id", predicates.safe_int(F.substring("project", 4, 9)).alias("n"))
+
+
+_LATEST = """latest AS (SELECT document_id, hash, synced FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY synced DESC, o_orderkey DESC) AS n FROM versions) WHERE n = 1)"""
+
+
+def _latest_versions(versions):
+    return windows.newest_per_key(versions, ["document_id"], [F.desc("synced"), F.desc("o_orderkey")]).select("document_id", "hash", F.col("synced").cast("string").alias("synced_day"))
+
+
+@query(
+    "docs versions",
+    f""" , {_LATEST} SELECT d.document_id, coalesce(l.hash, md5(d.content)) AS hash, coalesce(cast(l.synced AS varchar), cast(d.synced AS varchar)) AS synced
+    FROM docs d LEFT JOIN latest l USING (document_id)""",
+)
+def b10_effective_document(docs, versions):
+    own = docs.select("document_id", F.md5("content").alias("hash"), F.col("synced").cast("string").alias("synced"))
+    return predicates.effective_document(own, _latest_versions(versions).withColumnRenamed("synced_day", "synced"), ["hash", "synced"])
+
+
+@query("conv_docs", "SELECT document_id, coalesce(activity, least(mtime, synced)) AS ts FROM conv_docs")
+def b11_effective_activity(conv_docs):
+    return conv_docs.select("document_id", predicates.effective_activity(F.col("activity"), F.col("mtime"), F.col("synced")).alias("ts"))
+
+
+@query(
+    "signals",
+    """SELECT event_id, coalesce((a >= -300) AND ((status = 'running' AND a <= 86400) OR (status <> 'running' AND a <= 3600)), false) AS fresh
+    FROM (SELECT *, 1704153600 - cast(floor(epoch(ts)) AS bigint) AS a FROM signals)""",
+)
+def b12_is_fresh(signals):
+    ts = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000)
+    return signals.select("event_id", predicates.is_fresh(F.col("status"), ts, 1704153600).alias("fresh"))
+
+
+@query("messages", f"SELECT message_id FROM messages WHERE ts < {E0 + 180000} OR (ts = {E0 + 180000} AND message_id > 50000)")
+def b13_after_cursor(messages):
+    return predicates.after_cursor(messages, [("ts", E0 + 180000, True), ("message_id", 50000, False)]).select("message_id")
+
+
+@query(
+    "conv_docs",
+    """SELECT document_id FROM conv_docs WHERE thread IN ('t8', 't32') OR root_session_id IN ('t8', 't32')
+        OR relative_path LIKE '%/t8/subagents/%' OR relative_path LIKE '%/t32/subagents/%'""",
+)
+def b14_companions(conv_docs):
+    roots = conv_docs.where("root in (8, 32)").select(F.concat(F.lit("t"), "root").alias("root_id")).distinct()
+    return predicates.companions(conv_docs, roots).select("document_id")
+
+
+_SUMMARY = """SELECT document_id, count(*) AS messages, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants,
+    cast(coalesce(sum(length(content)) FILTER (role IN ('user', 'assistant')), 0) AS bigint) AS chars FROM messages GROUP BY document_id"""
+
+
+@query("messages", f"SELECT document_id, users = 0 OR assistants = 0 OR (users + assistants <= 2 AND chars < 120) AS low FROM ({_SUMMARY})")
+def b15_is_low_activity(messages):
+    low = predicates.is_low_activity(F.col("users"), F.col("assistants"), F.col("chars"))
+    return aggregates.activity_summary(messages).select("document_id", low.alias("low"))
+
+
+@query("messages", "SELECT document_id, line_number, ts, substr(content, 1, 500) AS prompt FROM messages WHERE role = 'user' AND trim(content) <> '' AND content NOT LIKE '%[Subagent Context]%'")
+def b16_human_prompts(messages):
+    return ingest.prompt_projection(messages)
+
+
+@query("conv_docs", "SELECT document_id, document_id % 3 = 0 OR document_id % 3 = 1 AS generated FROM conv_docs")
+def b17_has_generated_title(conv_docs):
+    uuid = F.format_string("%08d-0000-4000-8000-000000000000.jsonl", "document_id")
+    title = F.when(F.col("document_id") % 3 == 0, uuid).when(F.col("document_id") % 3 == 1, F.format_string("agent-%d", "document_id")).otherwise("agent notes")
+    return conv_docs.select("document_id", predicates.has_generated_title(title).alias("generated"))
+
+
+@query(
+    "docs",
+    f"""SELECT document_id, synced FROM docs WHERE (document_id % 4 IN (0, 1) OR (document_id % 4 = 2 AND synced < {NOW - 2100})) AND document_id % 7 < 5
+    ORDER BY synced, document_id LIMIT 8""",
+)
+def b19_retry_candidates(docs):
+    status = F.element_at(F.array(*map(F.lit, ("pending", "failed", "processing", "ok"))), (F.col("document_id") % 4 + 1).cast("int"))
+    return predicates.retry_candidates(docs.withColumn("status", status).withColumn("attempts", F.col("document_id") % 7), NOW).select("document_id", "synced")
+
+
+@query("docs", f"SELECT document_id, CASE WHEN length(content) >= 4000 THEN greatest(0, 600 - ({NOW} - synced)) ELSE 0 END AS seconds FROM docs")
+def b20_quiet_seconds(docs):
+    return docs.select("document_id", predicates.quiet_seconds(F.length("content"), F.col("synced"), NOW, 4000).alias("seconds"))
+
+
+@query("docs", f"SELECT document_id, project, synced, substr(content, 1, 500) AS preview FROM docs WHERE category = 'memory' AND synced >= {NOW - 30 * 86400} AND lower(project) LIKE '%src1%' ORDER BY synced DESC, document_id LIMIT 20")
+def b22_recall(docs):
+    return predicates.recall(docs, "memory", 30, NOW, "src1")
+
+
+@query("versions", "SELECT document_id, hash FROM versions WHERE size > 100000 ORDER BY o_orderkey DESC LIMIT 50 OFFSET 25")
+def b23_audit_log(versions):
+    return versions.where("size > 100000").orderBy(F.desc("o_orderkey")).offset(25).limit(50).select("document_id", "hash")
+
+
+@query(
+    "docs",
+    """SELECT machine_id, document_id, place FROM (SELECT machine_id, document_id, row_number() OVER (PARTITION BY machine_id ORDER BY length(content), document_id) AS place
+    FROM docs WHERE document_id % 3 > 0) WHERE place <= 5""",
+)
+def b24_stale_sources(docs):
+    rows = docs.select("machine_id", "document_id", F.length("content").alias("size"), F.lit("b").alias("hash"), F.when(F.col("document_id") % 3 == 0, "b").when(F.col("document_id") % 3 == 1, "a").alias("stored_hash"))
+    return predicates.stale_sources(rows, 5).select("machine_id", "document_id", "place")
+
+
+# --- joins ---------------------------------------------------------------------------
+
+
+@query("docs projects machines", "SELECT d.document_id, p.title AS project_title, m.name AS machine_name FROM docs d LEFT JOIN projects p ON d.project = p.slug LEFT JOIN machines m USING (machine_id)")
+def c1_with_dimensions(docs, projects, machines):
+    return joins.with_dimensions(docs, projects, machines).select("document_id", "project_title", "machine_name")
+
+
+@query("messages docs", "SELECT message_id, tool_id, project FROM messages JOIN docs USING (document_id) WHERE category = 'plan'")
+def c2_messages_with_docs(messages, docs):
+    return joins.messages_with_docs(messages, docs, "plan").select("message_id", "tool_id", "project")
+
+
+@query("projects docs", "SELECT slug, count(document_id) AS n FROM projects LEFT JOIN docs ON project = slug GROUP BY slug")
+def c3_project_counts(projects, docs):
+    return joins.project_counts(projects, docs)
+
+
+@query("docs conv_docs", "SELECT document_id FROM docs WHERE document_id NOT IN (SELECT document_id FROM conv_docs)")
+def c4_orphans(docs, conv_docs):
+    return joins.orphans(docs.select("document_id"), conv_docs, "document_id")
+
+
+@query("relations supplier", "SELECT source_id, target_id, strength FROM relations WHERE source_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
+def c5_owned(relations, supplier):
+    return joins.owned(relations, supplier.where("s_acctbal < 0").withColumnRenamed("s_suppkey", "source_id"), "source_id").select("source_id", "target_id", "strength")
+
+
+@query("docs versions", f", {_LATEST} SELECT d.document_id, coalesce(l.hash, 'own') = CASE WHEN d.document_id % 2 = 0 THEN 'own' ELSE coalesce(l.hash, 'none') END AS is_current FROM docs d LEFT JOIN latest l USING (document_id)")
+def c6_is_current_revision(docs, versions):
+    latest = _latest_versions(versions)
+    asked = latest.select("document_id", F.col("hash").alias("asked"))
+    own = docs.select("document_id", F.lit("own").alias("hash")).join(asked, "document_id", "left")
+    revision = F.when(F.col("document_id") % 2 == 0, "own").otherwise(F.coalesce("asked", F.lit("none")))
+    return joins.is_current_revision(own, latest, revision).select("document_id", "is_current")
+
+
+@query(
+    "messages",
+    """, m AS (SELECT message_id, document_id, content, line_number, ts, 1 AS p FROM messages WHERE role = 'assistant'
+        UNION ALL SELECT message_id + 500, document_id, content, line_number + 2, ts + 6, 3 FROM messages WHERE role = 'assistant' AND document_id % 2 = 0
+        UNION ALL SELECT message_id + 700, document_id, content, line_number + 2, ts + 60, 2 FROM messages WHERE role = 'assistant' AND document_id % 3 = 0)
+    SELECT message_id FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE a.document_id = b.document_id AND a.content = b.content AND b.p > a.p
+        AND abs(a.line_number - b.line_number) <= 4 AND abs(a.ts - b.ts) <= 12)""",
+)
+def c7_drop_transport_mirrors(messages):
+    said = messages.where("role = 'assistant'").select("message_id", "document_id", "content", "line_number", "ts")
+
+    def copy(rows, name, ids, lines, seconds):
+        return rows.select((F.col("message_id") + ids).alias("message_id"), "document_id", "content", (F.col("line_number") + lines).alias("line_number"), (F.col("ts") + seconds).alias("ts"), F.lit(name).alias("transport"))
+
+    rows = copy(said, "task_complete", 0, 0, 0).union(copy(said.where("document_id % 2 = 0"), "agent_message", 500, 2, 6)).union(copy(said.where("document_id % 3 = 0"), "response_item", 700, 2, 60))
+    return joins.drop_transport_mirrors(rows).select("message_id")
+
+
+@query(
+    "signals messages",
+    f"""SELECT document_id, event_id, coalesce((SELECT max(line_number) FROM messages m WHERE m.document_id = s.document_id AND m.ts <= s.t), 0) AS line
+    FROM (SELECT document_id, event_id, {E0} + document_id * 3600 + event_id % 600 AS t FROM signals) s""",
+)
+def c9_anchor_asof(signals, messages):
+    events = signals.select("document_id", "event_id", (E0 + F.col("document_id") * 3600 + F.col("event_id") % 600).alias("ts"))
+    return joins.anchor_asof(events, messages)
+
+
+@query(
+    "entities relations",
+    """SELECT 'out' AS direction, target_id AS far_id, r.type AS relation, strength, e.name AS far_name, e.type AS far_type FROM relations r JOIN entities e ON e.entity_id = target_id WHERE source_id = 7
+    UNION ALL SELECT 'in', source_id, r.type, strength, e.name, e.type FROM relations r JOIN entities e ON e.entity_id = source_id WHERE target_id = 7""",
+)
+def c11_entity_relations(entities, relations):
+    return joins.entity_relations(entities, relations, 7)
+
+
+@query(
+    "entities region",
+    """SELECT slug, name FROM (SELECT r_name AS slug, name, row_number() OVER (PARTITION BY r_name ORDER BY name) AS n
+    FROM (SELECT DISTINCT name FROM entities) JOIN region ON contains(lower(name), lower(substr('brand#', 1, 1 + r_regionkey)))) WHERE n <= 20""",
+)
+def c12_entities_for_project(entities, region):
+    projects = region.select(F.col("r_name").alias("slug"), F.substr(F.lit("brand#"), F.lit(1), F.col("r_regionkey") + 1).alias("title"))
+    return joins.entities_for_project(projects, entities)
+
+
+_COSINE = "list_dot_product(cast(q.embedding AS double[]), cast(c.embedding AS double[])) / sqrt(list_dot_product(cast(q.embedding AS double[]), cast(q.embedding AS double[])) * list_dot_product(cast(c.embedding AS double[]), cast(c.embedding AS double[])))"
+_SCORES = f"scores AS (SELECT q.vec_id AS query_id, c.vec_id, c.document_id, c.tier, {_COSINE} AS cosine FROM vectors c JOIN vectors q ON q.tier = c.tier WHERE q.vec_id % 100 = 0)"
+
+
+def _stated(chunks):
+    return chunks.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "tier", F.col("embedding").alias("vector"))
+
+
+@query("vectors", f", {_SCORES} SELECT query_id, vec_id, round(cosine, 4) + 0.0 AS cosine FROM scores")
+def c16_score_vectors(chunks):
+    return vectors.score_vectors(_stated(chunks), chunks).select("query_id", "vec_id", (F.round("cosine", 4) + 0.0).alias("cosine"))
+
+
+# --- aggregations --------------------------------------------------------------------
+
+
+@query("docs", f"SELECT tool_id, category, count(*) AS n, count(*) FILTER (synced >= {NOW - 86400}) AS n_today FROM docs GROUP BY ALL")
+def d1_counts_by_tool_category(docs):
+    return aggregates.counts_by_tool_category(docs, NOW - 86400)
+
+
+@query("docs", f"SELECT {_day('synced', -60)} AS day, tool_id, count(*) AS n FROM docs WHERE synced BETWEEN {NOW - 7 * 86400} AND {NOW} GROUP BY ALL")
+def d2_daily_counts(docs):
+    return aggregates.daily_counts(docs, NOW, -60)
+
+
+@query("docs", f"SELECT count(*) AS documents, count(DISTINCT project) AS projects, count(*) FILTER (synced >= {NOW - 86400}) AS today, count(DISTINCT machine_id) AS machines FROM docs")
+def d3_dashboard_totals(docs):
+    return aggregates.dashboard_totals(docs, NOW - 86400)
+
+
+@query("messages", _SUMMARY)
+def d4_activity_summary(messages):
+    return aggregates.activity_summary(messages)
+
+
+@query("messages", f"SELECT document_id, max(ts) FILTER (role IN ('user', 'assistant') AND ts <= {E0 + 200000}) AS last_ts FROM messages GROUP BY document_id")
+def d5_last_activity(messages):
+    return aggregates.last_activity(messages, E0 + 200000)
+
+
+@query("messages docs", f"SELECT {_day('ts', 0)} AS day, count(*) AS messages, array_to_string(list_sort(list(DISTINCT tool_id)), ',') AS tools FROM messages JOIN docs USING (document_id) WHERE {_REAL.replace('content', 'messages.content')} GROUP BY ALL")
+def d6_active_days(messages, docs):
+    return aggregates.active_days(messages, docs, 0)
+
+
+@query("messages docs", f"SELECT document_id, tool_id, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants FROM messages JOIN docs USING (document_id) WHERE {_REAL.replace('content', 'messages.content')} AND {_day('ts', 0)} = '2024-01-02' GROUP BY ALL")
+def d7_day_detail(messages, docs):
+    return aggregates.day_detail(messages, docs, "2024-01-02", 0)
+
+
+@query("messages", f"SELECT message_id, ts FROM messages WHERE {_REAL} AND {_day('ts', 0)} = '2024-01-02' ORDER BY ts, document_id, line_number LIMIT 20 OFFSET 10")
+def d8_day_messages(messages):
+    return aggregates.day_messages(messages, "2024-01-02", 0, 10, 20).select("message_id", "ts")
+
+
+@query("machines docs", "SELECT machine_id, name, count(document_id) AS n, coalesce(array_to_string(list_sort(list(DISTINCT tool_id) FILTER (tool_id IS NOT NULL)), ','), '') AS tools FROM machines LEFT JOIN docs USING (machine_id) GROUP BY ALL")
+def d10_device_stats(machines, docs):
+    return aggregates.device_stats(machines, docs)
+
+
+@query("machines docs", f"SELECT user_id, {_HOST} AS host, count(DISTINCT machine_id) AS members, count(DISTINCT concat(tool_id, '|', relative_path)) FILTER (document_id IS NOT NULL) AS files FROM machines LEFT JOIN docs USING (machine_id) GROUP BY ALL")
+def d11_host_groups(machines, docs):
+    return aggregates.host_groups(machines.withColumn("host", F.lower(T.host_name(F.col("name")))), docs)
+
+
+@query("docs", "SELECT tool_id, category, count(DISTINCT relative_path) AS files, max(synced) AS last_sync FROM docs GROUP BY ALL")
+def d12_distinct_files(docs):
+    return aggregates.distinct_files(docs, "tool_id", "category")
+
+
+@query("entities relations observations", "SELECT 'entities' AS kind, count(*) AS n FROM entities UNION ALL SELECT 'relations', count(*) FROM relations UNION ALL SELECT 'observations', count(*) FROM observations")
+def d13_memory_stats(entities, relations, observations):
+    return aggregates.memory_stats(entities, relations, observations)
+
+
+_TERMS = "SELECT DISTINCT message_id, unnest(regexp_extract_all(lower(content), '\\b([a-z][a-z0-9_''-]{2,63})', 1)) AS term FROM messages WHERE role IN ('user', 'assistant')"
+
+
+@query("messages", f"SELECT term, count(*) AS frequency FROM ({_TERMS}) GROUP BY term")
+def d16_build_lexicon(messages):
+    return aggregates.build_lexicon(messages)
+
+
+@query("messages", "SELECT document_id, sum(n)::bigint AS lines, min(a) AS first_ts, max(b) AS last_ts, array_to_string(list_sort(list(concat(role, '=', n))), ',') AS types FROM (SELECT document_id, role, count(*) AS n, min(ts) AS a, max(ts) AS b FROM messages GROUP BY ALL) GROUP BY document_id")
+def d17_transcript_stats(messages):
+    return aggregates.transcript_stats(messages)
+
+
+@query("docs", "SELECT tool_id, relative_path FROM (SELECT *, row_number() OVER (PARTITION BY tool_id ORDER BY synced DESC, document_id DESC) AS n FROM docs) WHERE n = 1")
+def d18_sync_status(docs):
+    return aggregates.latest_by(docs, "tool_id", "relative_path", "synced", "document_id")
+
+
+@query("docs", f"SELECT tool_id, document_id, place, n, substr(content, 1, 300) AS preview FROM (SELECT *, row_number() OVER (PARTITION BY tool_id ORDER BY synced, document_id) AS place, count(*) OVER (PARTITION BY tool_id) AS n FROM docs WHERE synced BETWEEN {E0 + 864000} AND {E0 + 950399}) WHERE place <= 20")
+def d20_digest_inputs(docs):
+    return aggregates.digest_inputs(docs, E0 + 864000)
+
+
+# --- windows -------------------------------------------------------------------------
+
+
+@query("messages", "SELECT document_id, line_number, substr(content, 1, 500) AS content FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY line_number, message_id) AS n FROM messages WHERE contains(lower(content), 'the')) WHERE n = 1")
+def e1_first_match_per_doc(messages):
+    return windows.first_match_per_doc(messages, "The")
+
+
+@query("messages", "SELECT message_id, place FROM (SELECT message_id, row_number() OVER (PARTITION BY document_id ORDER BY line_number) AS place FROM messages WHERE role IN ('user', 'assistant')) WHERE place <= 4")
+def e2_preview(messages):
+    return windows.preview(messages).select("message_id", "place")
+
+
+@query("vectors", f", {_SCORES} SELECT query_id, document_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY round(cosine, 9) DESC, vec_id) AS n FROM scores) WHERE n = 1")
+def e3_best_chunk_per_doc(chunks):
+    scores = vectors.score_vectors(_stated(chunks), chunks).withColumn("cosine", F.round("cosine", 9))
+    return vectors.best_chunk_per_doc(scores).select("query_id", "document_id", "vec_id")
+
+
+@query("messages", "SELECT document_id, line_number, row_number() OVER (PARTITION BY document_id ORDER BY line_number) AS prompt FROM messages WHERE role = 'user'")
+def e4_number_prompts(messages):
+    return windows.number_prompts(messages)
+
+
+@query(
+    "messages",
+    """SELECT document_id, min(line_number) AS start_line, max(end_line) AS end_line FROM (
+        SELECT *, coalesce(lead(line_number) OVER (PARTITION BY document_id ORDER BY line_number) - 1, 2147483647) AS end_line,
+            row_number() OVER (PARTITION BY document_id ORDER BY line_number) AS prompt FROM messages WHERE role = 'user') WHERE prompt BETWEEN 2 AND 3 GROUP BY document_id""",
+)
+def e5_prompt_spans(messages):
+    return windows.prompt_spans(messages, 2, 3).select("document_id", "start_line", "end_line")
+
+
+@query("docs", "SELECT category, relative_path, document_id FROM (SELECT *, row_number() OVER (PARTITION BY category, relative_path ORDER BY synced DESC, document_id DESC) AS n FROM docs) WHERE n = 1")
+def e7_latest_by_path(docs):
+    return windows.newest_per_key(docs, ["category", "relative_path"], [F.desc("synced"), F.desc("document_id")]).select("category", "relative_path", "document_id")
+
+
+@query("conv_docs", "SELECT tool_id, thread, document_id FROM (SELECT *, row_number() OVER (PARTITION BY tool_id, thread ORDER BY mtime DESC, file_size DESC, synced DESC, document_id) AS n FROM conv_docs) WHERE n = 1")
+def e8_canonical_by_session(conv_docs):
+    return windows.newest_per_key(conv_docs, ["tool_id", "thread"], [F.desc("mtime"), F.desc("file_size"), F.desc("synced"), F.col("document_id")]).select("tool_id", "thread", "document_id")
+
+
+@query(
+    "messages",
+    """SELECT message_id, substr(c, 1, 4000 - used) AS content FROM (SELECT message_id, c, cast(coalesce(sum(length(c)) OVER (PARTITION BY document_id ORDER BY line_number
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS int) AS used FROM (SELECT *, substr(content, 1, 1500) AS c FROM messages WHERE role IN ('user', 'assistant'))) WHERE used < 4000""",
+)
+def e9_take_within_budget(messages):
+    rows = messages.where("role in ('user', 'assistant')")
+    return windows.take_within_budget(rows, "document_id", ["line_number"], "content", 4000, 1500).select("message_id", "content")
+
+
+@query("messages", "SELECT message_id, last_value(CASE WHEN message_id % 5 = 0 THEN message_id END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY line_number) AS model FROM messages")
+def e10_carry_identity(messages):
+    marked = messages.select("message_id", "document_id", "line_number", F.when(F.col("message_id") % 5 == 0, F.col("message_id")).alias("model"))
+    return windows.carry_forward(marked, "document_id", "line_number", "model").select("message_id", "model")
+
+
+@query(
+    "messages",
+    """SELECT message_id, CASE WHEN (m = 's' OR role = 'assistant') AND n > 0 THEN n END AS turn_no FROM (SELECT message_id, role,
+        cast(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w AS bigint) AS n, last_value(CASE WHEN role = 'user' THEN 's' WHEN role = 'assistant' THEN 'e' END IGNORE NULLS) OVER w AS m
+        FROM messages WINDOW w AS (PARTITION BY document_id ORDER BY line_number))""",
+)
+def e11_carry_turn(messages):
+    return windows.carry_turn(messages, "document_id", "line_number", F.col("role") == "user", F.col("role") == "assistant").select("message_id", "turn_no")
+
+
+@query(
+    "messages",
+    """, h AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY length(content) DESC, message_id) AS place FROM messages WHERE contains(lower(content), 'the'))
+    SELECT message_id, place FROM h WHERE place <= 3 AND document_id IN (SELECT document_id FROM h WHERE place = 1 ORDER BY length(content) DESC, message_id LIMIT 20)""",
+)
+def e12_hits_per_group(messages):
+    hits = messages.where(search.ilike_contains(F.col("content"), "the"))
+    return windows.hits_per_group(hits, "document_id", [F.desc(F.length("content")), F.col("message_id")]).select("message_id", "place")
+
+
+# --- sort, limit, sets ---------------------------------------------------------------
+
+
+@query("messages", "SELECT message_id FROM messages ORDER BY ts DESC, message_id LIMIT 26 OFFSET 50")
+def f1_page(messages):
+    return messages.orderBy(F.desc("ts"), "message_id").offset(50).limit(26).select("message_id")
+
+
+@query("messages", "SELECT message_id FROM messages WHERE document_id = 5 AND line_number BETWEEN 2 AND 5")
+def f2_message_window(messages):
+    return windows.message_window(messages, 5, 4, 2, 1).select("message_id")
+
+
+@query("conv_docs", "SELECT document_id FROM conv_docs WHERE document_id % 9 = 0 UNION ALL SELECT document_id FROM (SELECT document_id FROM conv_docs WHERE document_id % 9 <> 0 ORDER BY synced DESC, document_id LIMIT 20)")
+def f3_attention_then_recent(conv_docs):
+    return windows.attention_then_recent(conv_docs, F.col("document_id") % 9 == 0, [F.desc("synced"), F.col("document_id")], 20).select("document_id")
+
+
+@query("messages", "SELECT document_id, max(line_number) FILTER (role = 'assistant') AS line_number FROM messages GROUP BY document_id")
+def f6_latest_assistant_line(messages):
+    return windows.latest_assistant_line(messages)
+
+
+@query("entities relations", ", n AS (SELECT entity_id FROM entities ORDER BY entity_id DESC LIMIT 1950) SELECT source_id, target_id, type, strength FROM relations WHERE source_id IN (SELECT * FROM n) AND target_id IN (SELECT * FROM n)")
+def f7_recent_graph(entities, relations):
+    return graph.recent_graph(entities, relations, 1950).select("source_id", "target_id", "type", "strength")
+
+
+@query("docs", "SELECT document_id, title FROM docs WHERE document_id % 3 = 0 UNION ALL SELECT document_id, 'legacy' FROM docs WHERE document_id % 3 <> 0")
+def g1_union_projected_legacy(docs):
+    projected = docs.where("document_id % 3 = 0").select("document_id", "title")
+    return joins.union_projected_legacy(projected, docs.select("document_id", F.lit("legacy").alias("title")), "document_id")
+
+
+@query("docs", "SELECT document_id, CASE WHEN document_id % 2 = 0 THEN 1 ELSE 2 END AS rank FROM docs WHERE document_id % 2 = 0 OR document_id % 3 = 0")
+def g2_merge_by_id(docs):
+    first, second = (docs.where(f"document_id % {k} = 0").select("document_id", F.lit(k - 1).alias("rank")) for k in (2, 3))
+    return joins.merge_by_id(first, second, "document_id")
+
+
+@query("messages conv_docs", "SELECT document_id FROM messages WHERE contains(lower(content), 'the') INTERSECT SELECT document_id FROM messages WHERE role = 'system' INTERSECT SELECT document_id FROM conv_docs WHERE tool_id = 'codex'")
+def g3_intersect_matches(messages, conv_docs):
+    hits = messages.where(search.ilike_contains(F.col("content"), "the")).select("document_id")
+    return hits.intersect(messages.where("role = 'system'").select("document_id")).intersect(conv_docs.where("tool_id = 'codex'").select("document_id"))
+
+
+@query("orders", "SELECT coalesce(a.term, b.term) AS term, a.frequency, CASE WHEN a.term IS NULL THEN 'delete' WHEN b.term IS NULL THEN 'insert' WHEN a.frequency = b.frequency THEN 'keep' ELSE 'update' END AS action FROM (SELECT o_orderpriority AS term, count(*) AS frequency FROM orders WHERE o_orderstatus <> 'O' AND o_orderpriority <> '5-LOW' GROUP BY 1) a FULL JOIN (SELECT o_orderpriority AS term, count(*) AS frequency FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1) b USING (term)")
+def g4_replace_lexicon(orders):
+    def counts(rows):
+        return rows.groupBy(F.col("o_orderpriority").alias("term")).agg(F.count("*").alias("frequency"))
+
+    return search.replace_lexicon(counts(orders.where("o_orderstatus <> 'O' and o_orderpriority <> '5-LOW'")), counts(orders.where("o_orderpriority <> '1-URGENT'")))
+
+
+@query("messages", "SELECT message_id FROM messages WHERE line_number BETWEEN 1 AND 3 OR line_number = 5 OR line_number >= 7")
+def g5_in_any_interval(messages):
+    return joins.in_any_interval(messages, "line_number", [(1, 2), (7, None), (2, 3), (5, 5)]).select("message_id")
+
+
+# --- text search ---------------------------------------------------------------------
+
+_SEP = """[\\s　.,;:!?\\-_/\\\\()\\[\\]{}"''`~@#$%^&*+=<>|]+"""
+_TOK = f"list_filter(regexp_split_to_array(lower(substr(content, 1, 200000)), '{_SEP}'), lambda x: length(x) > 1 OR regexp_matches(x, '^[^\\x00-\\x7F]$'))"
+
+
+@query("messages", f"SELECT message_id, array_to_string({_TOK}, ' ') AS tokens FROM messages")
+def h1_tokenize_index(messages):
+    return messages.select("message_id", F.array_join(T.tokens(F.col("content")), " ").alias("tokens"))
+
+
+@query("messages")
+def h2_tokenize_query(messages):
+    return messages.select("message_id", F.array_join(T.query_tokens(F.col("content")), " ").alias("tokens"))
+
+
+@query("docs", f"SELECT document_id FROM docs WHERE list_has_all({_TOK}, ['the', 'of', 'and'])")
+def h3_fts_match(docs):
+    return search.fts_match(docs, "The of, and of").select("document_id")
+
+
+@query("messages", f"SELECT message_id FROM (SELECT message_id, {_TOK} AS t FROM messages) WHERE list_contains(t, 'the') AND contains(concat(' ', array_to_string(t, ' '), ' '), ' of the ') AND list_has_any(t, ['and', 'with']) AND NOT list_has_any(t, ['was'])")
+def h4_boolean_search(messages):
+    return search.boolean_search(messages, ["the"], ["of the"], ["and", "with"], ["was"]).select("message_id")
+
+
+@query("messages", "SELECT message_id FROM messages WHERE contains(lower(content), 'ing of')")
+def h6_ilike_contains(messages):
+    return messages.where(search.ilike_contains(F.col("content"), "Ing of")).select("message_id")
+
+
+@query("part")
+def h7_trigram_similarity(part):
+    return part.select("p_partkey", F.round(T.trigram_similarity(F.col("p_name"), F.col("p_type")), 4).alias("similarity"))
+
+
+@query("messages", f"SELECT message_id, CASE WHEN e THEN 4.0::double ELSE 3.0::double END AS score, CASE WHEN e THEN 'exact' ELSE 'full_text' END AS match_type FROM (SELECT message_id, contains(lower(content), 'the and') AS e, list_has_all({_TOK}, ['the', 'and']) AS l FROM messages WHERE role IN ('user', 'assistant')) WHERE e OR l")
+def h9_score_messages(messages):
+    return search.score_messages(messages, "the and").select("message_id", "score", "match_type")
+
+
+@query("messages")
+def h10_correct_queries(messages):
+    asked = messages.where("role = 'user'").select(F.substring("content", 1, 40).alias("query"))
+    return search.correct_queries(asked, aggregates.build_lexicon(messages))
+
+
+@query("messages")
+def h14_snippet(messages):
+    return messages.where(search.ilike_contains(F.col("content"), "ing of")).select("message_id", T.snippet(F.col("content"), "ing of", 120).alias("snippet"))
+
+
+@query("messages", "SELECT message_id, substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 500) AS query FROM messages")
+def h16_normalize_query(messages):
+    return messages.select("message_id", T.normalize_query(F.col("content")).alias("query"))
+
+
+# --- redaction and scalars -----------------------------------------------------------
+
+
+def _nested_redaction() -> str:
+    text = "content"
+    for pattern, mask in T.SECRETS:
+        text = f"regexp_replace({text}, '{pattern.replace("'", "''")}', '{mask.replace('$1', chr(92) + '1')}', 'g')"
+    return text
+
+
+@query("docs", f"SELECT document_id, sha256({_nested_redaction()}) AS digest FROM docs")
+def i1_redact(docs):
+    return docs.select("document_id", F.sha2(T.redact(F.col("content")), 256).alias("digest"))
+
+
+@query("docs")
+def i1_count_secrets(docs):
+    return docs.select("document_id", T.count_secrets(F.col("content")).alias("n"))
+
+
+@query("events", "SELECT event_id, concat(event_type, ' done') AS line FROM events")
+def i2_strip_terminal(events):
+    return events.select("event_id", T.strip_terminal(F.concat(F.lit("\x1b[31m"), "event_type", F.lit("\x1b[0m done"))).alias("line"))
+
+
+@query("events", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'host' ELSE concat('10.', user_id % 256, '.', event_id % 256, '.0') END AS ip FROM events")
+def i6_anonymize_ip(events):
+    ip = F.when(F.col("event_id") % 3 == 0, "host").otherwise(F.concat_ws(".", F.lit("10"), F.col("user_id") % 256, F.col("event_id") % 256, F.col("user_id") % 250))
+    return events.select("event_id", T.anonymize_ip(ip).alias("ip"))
+
+
+@query("machines", f"SELECT machine_id, {_HOST} AS host, CASE WHEN name LIKE '%(Windows)' THEN 'Windows' WHEN name LIKE '%(Linux)' THEN 'Linux' ELSE 'Unknown' END AS platform, {_HOST_ID.replace('cast(user_id as varchar)', 'coalesce(cast(user_id as varchar), cast(machine_id as varchar))')} AS host_id FROM machines")
+def i8_host_id(machines):
+    owner = F.coalesce(F.col("user_id").cast("string"), F.col("machine_id").cast("string"))
+    return machines.select("machine_id", F.lower(T.host_name(F.col("name"))).alias("host"), T.platform(F.col("name")).alias("platform"), T.host_id(owner, F.col("name")).alias("host_id"))
+
+
+@query(
+    "messages",
+    """SELECT message_id, CASE WHEN c = '' THEN NULL WHEN length(c) <= 96 THEN c ELSE concat(regexp_replace(CASE WHEN contains(s, ' ') THEN regexp_replace(s, ' [^ ]*$', '') ELSE s END, '[.,;:\\-]+$', ''), '…') END AS title
+    FROM (SELECT *, rtrim(substr(c, 1, 95)) AS s FROM (SELECT message_id, trim(regexp_replace(regexp_replace(trim(content), '\\s+', ' ', 'g'), '^[#>*`\\-\\s]+', '')) AS c FROM messages))""",
+)
+def i9_compact_title(messages):
+    return messages.select("message_id", T.compact_title(F.col("content")).alias("title"))
+
+
+@query("conv_docs", "SELECT document_id, nullif(regexp_extract(relative_path, '([^/]+)/subagents/', 1), '') AS root, CASE WHEN relative_path LIKE '%/subagents/%' THEN 1 ELSE 0 END AS depth FROM conv_docs")
+def i12_subagent_path_identity(conv_docs):
+    return conv_docs.select("document_id", T.subagent_root(F.col("relative_path")).alias("root"), T.subagent_depth(F.col("relative_path")).alias("depth"))
+
+
+@query("docs", "SELECT document_id, concat(coalesce(nullif(substr(regexp_replace(regexp_replace(trim(project || ' notes!'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), ''), 'conversation'), '-', lpad(cast(document_id AS varchar), 8, '0')) AS name FROM docs")
+def i13_safe_filename(docs):
+    return docs.select("document_id", T.safe_filename(F.concat("project", F.lit(" notes!")), F.lpad(F.col("document_id").cast("string"), 8, "0")).alias("name"))
+
+
+@query("events", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'anthropic' WHEN 1 THEN 'openai' WHEN 2 THEN 'xai' WHEN 3 THEN 'google' END AS family FROM events")
+def i15_model_family(events):
+    names = F.array(*map(F.lit, ("claude-x", "gpt-5", "Grok-4", "gemini-pro", "other")))
+    return events.select("event_id", T.model_family(F.element_at(names, (F.col("event_id") % 5 + 1).cast("int"))).alias("family"))
+
+
+@query("events", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'pending' END AS status FROM events")
+def i16_normalize_status(events):
+    names = F.array(*map(F.lit, ("Done", "in progress", "TODO", "odd")))
+    return events.select("event_id", T.normalize_status(F.element_at(names, (F.col("event_id") % 4 + 1).cast("int"))).alias("status"))
+
+
+@query("docs", """SELECT document_id, sha256(concat('{"document_id":', document_id, ',"tool_id":"', tool_id, '","project":"', project, '"}')) AS digest FROM docs""")
+def i17_fingerprint(docs):
+    return docs.select("document_id", T.fingerprint("document_id", "tool_id", "project").alias("digest"))
+
+
+@query("messages", "SELECT message_id, trim(substr(content, 1, 40)) AS text FROM messages")
+def j20_strip_system_tags(messages):
+    tagged = F.concat(F.lit("<system-reminder>\nx</system-reminder>"), F.substring("content", 1, 40), F.lit("<command-name a='1'>y</command-name>"))
+    return messages.select("message_id", T.strip_system_tags(tagged).alias("text"))
+
+
+@query("messages", "SELECT message_id FROM (SELECT *, CASE WHEN message_id % 4 = 0 THEN 1 ELSE row_number() OVER (PARTITION BY document_id, CASE WHEN message_id % 4 <> 0 THEN message_id % 3 END ORDER BY line_number, message_id) END AS n FROM (SELECT * FROM messages WHERE message_id % 4 <> 0)) WHERE n = 1 UNION ALL SELECT message_id FROM messages WHERE message_id % 4 = 0")
+def j8_dedup_source_ids(messages):
+    rows = messages.withColumn("source_id", F.when(F.col("message_id") % 4 != 0, F.col("message_id") % 3))
+    return windows.dedup_source_ids(rows, "source_id", "document_id", "line_number").select("message_id")
+
+
+@query("signals", "SELECT activity_id, status, cast(floor(epoch(ts)) AS bigint) AS ts FROM (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY ts DESC, event_id DESC) AS n FROM signals) WHERE n = 1 AND status = 'running'")
+def j13_live_activities(signals):
+    return ingest.live_activities(signals).select("activity_id", "status", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("ts"))
+
+
+# --- hierarchy -----------------------------------------------------------------------
+
+_CHILD = "(CASE WHEN tool_id = 'codex' THEN root_session_id IS NOT NULL ELSE contains(relative_path, '/subagents/') END)"
+_ROOT = "(CASE WHEN tool_id = 'codex' THEN coalesce(root_session_id, thread) ELSE coalesce(nullif(regexp_extract(relative_path, '([^/]+)/subagents/', 1), ''), thread) END)"
+_FOLD = f""", r AS (SELECT *, {_CHILD} AS child, {_ROOT} AS top FROM conv_docs),
+    o AS (SELECT *, row_number() OVER (PARTITION BY tool_id, top ORDER BY child, CASE WHEN child THEN depth ELSE 0 END, synced DESC, file_size DESC, document_id) AS n FROM r),
+    g AS (SELECT tool_id, top, min(document_id) FILTER (n = 1) AS canonical_id, bool_or(child AND n = 1) AS orphan, count(DISTINCT thread) FILTER (child) AS threads FROM o GROUP BY ALL)"""
+
+
+@query("conv_docs", f"SELECT document_id, {_CHILD} AS child, {_ROOT} AS root FROM conv_docs")
+def k1_is_subagent(conv_docs):
+    return conv_docs.select("document_id", hierarchy.is_subagent().alias("child"), hierarchy.root_thread().alias("root"))
+
+
+@query("conv_docs", _FOLD + " SELECT document_id, o.top AS root, canonical_id, n = 1 AS visible, cast(threads - CASE WHEN orphan THEN 1 ELSE 0 END AS int) AS subagents FROM o JOIN g ON o.tool_id = g.tool_id AND o.top = g.top")
+def k4_fold(conv_docs):
+    return hierarchy.fold(conv_docs)
+
+
+@query("conv_docs", _FOLD + " SELECT canonical_id, max(coalesce(activity, least(mtime, synced))) AS ts FROM o JOIN g ON o.tool_id = g.tool_id AND o.top = g.top GROUP BY 1")
+def k7_logical_activity(conv_docs):
+    activity = conv_docs.select("document_id", predicates.effective_activity(F.col("activity"), F.col("mtime"), F.col("synced")).alias("ts"))
+    return hierarchy.logical_activity(hierarchy.fold(conv_docs), activity)
+
+
+# --- knowledge graph -----------------------------------------------------------------
+
+
+@query("entities", "SELECT user_id, name, type, max_by(summary, (length(summary), summary)) AS summary, count(*) AS merged FROM entities GROUP BY ALL")
+def l3_merge_entities(entities):
+    return graph.merge_entities(entities)
+
+
+@query("relations entities", "SELECT source_id, target_id, type, cast(sum(strength) AS bigint) AS strength FROM relations WHERE source_id <> target_id AND source_id IN (SELECT entity_id FROM entities) AND target_id IN (SELECT entity_id FROM entities) GROUP BY ALL")
+def l4_merge_relations(relations, entities):
+    return graph.merge_relations(relations, entities)
+
+
+@query("entities", "SELECT entity_id, CASE WHEN entity_id % 4 = 0 THEN 'ok' WHEN entity_id % 12 >= 8 THEN 'permanent_failed' ELSE 'failed' END AS status, least(86400, cast(900 * pow(2, entity_id % 12 - 1) AS bigint)) AS delay FROM entities WHERE entity_id % 12 > 0")
+def l6_extraction_status(entities):
+    tries = (F.col("entity_id") % 12).cast("int")
+    return entities.where("entity_id % 12 > 0").select("entity_id", graph.extraction_status(tries, F.col("entity_id") % 4 == 0).alias("status"), graph.retry_delay(tries).alias("delay"))
+
+
+@query("observations", "SELECT entity, count(*) AS n, sha256(string_agg(concat('- ', strftime(observed, '%Y-%m-%d'), ': ', content), chr(10) ORDER BY concat('- ', strftime(observed, '%Y-%m-%d'), ': ', content))) AS digest FROM observations WHERE observed < date '1996-01-01' GROUP BY entity HAVING count(*) >= 5")
+def l7_compaction_candidates(observations):
+    return graph.compaction_candidates(observations, F.lit("1996-01-01").cast("date"))
+
+
+@query("relations", "SELECT source_id, target_id, type, strength FROM relations WHERE strength >= 1.5")
+def l9_prune_weak_relations(relations):
+    return graph.prune_weak_relations(relations).select("source_id", "target_id", "type", "strength")
+
+
+@query("entities observations", "SELECT entity_id FROM entities WHERE name IN (SELECT entity FROM observations WHERE l_orderkey % 7 = 0)")
+def l10_vacuum(entities, observations):
+    return graph.vacuum(entities, observations.where("l_orderkey % 7 = 0")).select("entity_id")
+
+
+@query("entities observations", "SELECT place, name, text FROM (SELECT DISTINCT 1 AS place, name, summary AS text FROM entities WHERE contains(lower(name), 'brand#1') OR contains(lower(summary), 'brand#1') UNION SELECT DISTINCT 2, entity, content FROM observations WHERE contains(lower(content), 'brand#1')) ORDER BY place, name, text LIMIT 40")
+def l11_search_graph(entities, observations):
+    return graph.search_graph(entities, observations, "brand#1", 40)
+
+
+@query("observations", "SELECT content, cast(observed AS varchar) AS observed FROM observations WHERE entity = (SELECT min(entity) FROM observations) ORDER BY observations.observed DESC, l_orderkey, l_linenumber, l_partkey, content LIMIT 20")
+def l12_entity_detail(observations):
+    first = observations.agg(F.min("entity")).first()[0]
+    return graph.entity_detail(observations, first).select("content", F.col("observed").cast("string").alias("observed"))
+
+
+@query(
+    "entities observations",
+    """, n AS (SELECT DISTINCT name FROM entities WHERE contains(lower(name), 'brand#2') ORDER BY name LIMIT 5),
+    f AS (SELECT name, content, row_number() OVER (PARTITION BY name ORDER BY observed DESC, content) AS place FROM (SELECT DISTINCT entity AS name, content, observed FROM observations) JOIN n USING (name))
+    SELECT name, string_agg(content, '; ' ORDER BY place) AS text, 0.7::double AS score FROM f WHERE place <= 3 GROUP BY name""",
+)
+def l14_graph_hits(entities, observations):
+    return graph.graph_hits(entities, observations, "brand#2")
+
+
+# --- embeddings ----------------------------------------------------------------------
+
+
+@query("vectors", "SELECT document_id, chunk_index FROM vectors WHERE document_id % 3 = 0 OR (document_id % 3 = 1 AND chunk_index > 2)")
+def m3_changed_chunks(chunks):
+    new = chunks.select("document_id", "chunk_index", F.lit("h").alias("hash"))
+    stored = chunks.where("document_id % 3 > 0").select("document_id", "chunk_index", F.when((F.col("document_id") % 3 == 1) & (F.col("chunk_index") > 2), "old").otherwise("h").alias("hash"))
+    return vectors.changed_chunks(new, stored).select("document_id", "chunk_index")
+
+
+@query("vectors", "SELECT document_id, chunk_index, CASE WHEN document_id % 2 = 0 AND chunk_index < 3 THEN 'new' ELSE 'old' END AS state FROM vectors WHERE document_id % 2 = 1 OR chunk_index < 3")
+def m4_merge_vectors(chunks):
+    rows = chunks.select("document_id", "chunk_index", F.lit("old").alias("state"))
+    return vectors.merge_vectors(rows, rows.where("document_id % 2 = 0 and chunk_index < 3").withColumn("state", F.lit("new")))
+
+
+@query("vectors", "SELECT vec_id, len(embedding) = 64 AS valid FROM vectors")
+def m6_validate_vectors(chunks):
+    return vectors.validate_vectors(chunks, 64).select("vec_id", "valid")
+
+
+_TOPK = f", {_SCORES}, b AS (SELECT query_id, document_id, max(round(cosine, 9)) AS cosine FROM scores GROUP BY ALL), t AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_id) AS rank FROM b)"
+
+
+def _ranked(chunks, k):
+    scores = vectors.score_vectors(_stated(chunks), chunks).withColumn("cosine", F.round("cosine", 9))
+    return vectors.top_k(vectors.best_chunk_per_doc(scores), k, tie="document_id").select("query_id", "document_id", "rank")
+
+
+@query("vectors", _TOPK + " SELECT query_id, document_id, rank FROM t WHERE rank <= 10")
+def m7_semantic_search(chunks):
+    return _ranked(chunks, 10)
+
+
+@query("vectors", _TOPK + ", d AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY document_id DESC) AS rank FROM b) SELECT query_id, document_id, round(sum(1.0::double / (60 + rank)), 9) AS score FROM (SELECT * FROM t WHERE rank <= 10 UNION ALL SELECT * FROM d WHERE rank <= 10) GROUP BY ALL")
+def m8_rrf(chunks):
+    tiers = chunks.select("document_id", "tier").distinct().join(_stated(chunks).select("query_id", "tier"), "tier")
+    newest = tiers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("document_id")))).where("rank <= 10")
+    both = _ranked(chunks, 10).unionByName(newest.select("query_id", "document_id", "rank"))
+    return vectors.rrf(both).withColumn("score", F.round("score", 9))
+
+
+# --- ingest --------------------------------------------------------------------------
+
+_DEDUP = "u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, hash, byte_offset ORDER BY delivered, size, base_offset) AS n FROM deliveries) WHERE n = 1)"
+
+
+@query("deliveries", f", {_DEDUP} SELECT source, byte_offset, size FROM u")
+def n1_dedup_deliveries(deliveries):
+    return ingest.dedup_deliveries(deliveries).select("source", "byte_offset", "size")
+
+
+@query("deliveries", f", {_DEDUP} SELECT source, byte_offset, CASE WHEN byte_offset <= c THEN 'stale' WHEN base_offset <> c THEN 'mismatched' ELSE 'applicable' END AS disposition FROM (SELECT *, CASE WHEN source % 2 = 0 THEN 200 ELSE 0 END AS c FROM u)")
+def n2_guard_deltas(deliveries):
+    state = deliveries.where("source % 2 = 0").select("source").distinct().withColumn("byte_offset", F.lit(200))
+    return ingest.guard_deltas(ingest.dedup_deliveries(deliveries), state).select("source", "byte_offset", "disposition")
+
+
+@query("deliveries", "SELECT source, hash, size FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY delivered DESC, byte_offset DESC, size DESC, hash DESC) AS n FROM deliveries WHERE mode = 'full') WHERE n = 1")
+def n3_supersedes(deliveries):
+    return ingest.latest_full(deliveries)
+
+
+@query(
+    "deliveries",
+    f""", {_DEDUP}, g AS (SELECT *, coalesce(base_offset <> lag(byte_offset) OVER w, false) AS gap FROM u WHERE mode = 'delta' WINDOW w AS (PARTITION BY source ORDER BY byte_offset)),
+    c AS (SELECT *, bool_or(gap) OVER w AS broken, sum(size) OVER w AS bytes FROM g WINDOW w AS (PARTITION BY source ORDER BY byte_offset))
+    SELECT source, count(*) AS jobs, cast(sum(size) AS bigint) AS size, max(byte_offset) AS byte_offset, string_agg(hash, '|' ORDER BY byte_offset) AS chain FROM c WHERE NOT broken AND bytes <= 100 GROUP BY source""",
+)
+def n5_coalesce_chain(deliveries):
+    return ingest.coalesce_chain(ingest.dedup_deliveries(deliveries), max_bytes=100)
+
+
+@query("deliveries", "SELECT source, max(byte_offset) AS byte_offset, max_by(hash, byte_offset) AS hash FROM deliveries GROUP BY source")
+def n9_update_sync_state(deliveries):
+    early = deliveries.where("delivered < date'1995-01-01'")
+    state = early.groupBy("source").agg(F.max("byte_offset").alias("byte_offset"), F.max_by("hash", "byte_offset").alias("hash"))
+    return ingest.update_sync_state(state, deliveries.where("delivered >= date'1995-01-01'"))
+
+
+@query("conv_docs", "SELECT document_id, least(CASE WHEN document_id % 5 > 0 THEN mtime END, synced) AS ts FROM conv_docs")
+def n11_bounded_source_time(conv_docs):
+    mtime = F.when(F.col("document_id") % 5 > 0, F.col("mtime"))
+    return conv_docs.select("document_id", ingest.bounded_source_time(mtime, F.col("synced")).alias("ts"))
+
+
+_MODEL = f"SELECT s.*, l.line_number FROM ({_SUMMARY}) s LEFT JOIN (SELECT document_id, max(line_number) FILTER (role = 'assistant') AS line_number FROM messages GROUP BY 1) l USING (document_id)"
+
+
+@query("messages", _MODEL)
+def n12_refresh_read_model(messages):
+    """Incremental: what was projected through line 3, merged with the lines behind it."""
+    return ingest.merge_read_model(ingest.refresh_read_model(messages.where("line_number <= 3")), ingest.refresh_read_model(messages.where("line_number > 3")))
+
+
+@query("messages", "SELECT document_id, line_number FROM messages WHERE line_number <= 3 UNION ALL SELECT document_id, coalesce(m, 0) + row_number() OVER (PARTITION BY document_id ORDER BY line_number) FROM messages LEFT JOIN (SELECT document_id, max(line_number) AS m FROM messages WHERE line_number <= 3 GROUP BY 1) USING (document_id) WHERE line_number > 4")
+def n8_append_messages(messages):
+    rows = messages.select("document_id", "line_number")
+    return ingest.append_messages(rows.where("line_number <= 3"), rows.where("line_number > 4"))
+
+
+@query("docs", "SELECT document_id FROM docs WHERE document_id % 4 = 0 OR document_id % 5 = 0")
+def n15_invalidate_embeddings(docs):
+    new = docs.select("document_id", F.md5("content").alias("hash"))
+    old = new.where("document_id % 4 > 0").withColumn("hash", F.when(F.col("document_id") % 5 == 0, "old").otherwise(F.col("hash")))
+    return ingest.invalidate_embeddings(old, new)
