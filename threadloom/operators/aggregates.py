@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.operators.predicates import drop_tool_noise, local_day
 
 #: What a lexicon term looks like (fixed pattern).
-TERM = r"[a-z][a-z0-9_'-]{2,63}"
+TERM = r"^[a-z][a-z0-9_'-]{2,63}$"
 
 
 def activity_summary(messages: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def distinct_files(docs: DataFrame, *by: str) -> DataFrame:
 def build_lexicon(messages: DataFrame) -> DataFrame:
     """Terms and the number of user and assistant messages with each."""
     rows = messages.where(F.col("role").isin("user", "assistant"))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(rf"\b({TERM})"), F.lit(1)))
+    terms = F.array_distinct(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}_'-]+"), lambda t: t.rlike(TERM)))
     return rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("frequency"))
 
 

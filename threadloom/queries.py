@@ -375,7 +375,7 @@ def d13_memory_stats(entities, relations, observations):
     return aggregates.memory_stats(entities, relations, observations)
 
 
-_TERMS = "SELECT DISTINCT message_id, unnest(regexp_extract_all(lower(content), '\\b([a-z][a-z0-9_''-]{2,63})', 1)) AS term FROM messages WHERE role IN ('user', 'assistant')"
+_TERMS = "SELECT DISTINCT message_id, t.term FROM (SELECT message_id, unnest(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}_''-]+')) AS term FROM messages WHERE role IN ('user', 'assistant')) t WHERE regexp_matches(t.term, '^[a-z][a-z0-9_''-]{2,63}$')"
 
 
 @query("messages", f"SELECT term, count(*) AS frequency FROM ({_TERMS}) GROUP BY term")
