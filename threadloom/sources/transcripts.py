@@ -74,9 +74,8 @@ def frame_json_objects(df: DataFrame, text: str) -> DataFrame:
 
     def framed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [list(spans(v)) if v else [] for v in frame[text]]
-            out = frame.loc[frame.index.repeat([len(f) for f in found])]
-            yield out.assign(position=[i for f in found for i in range(len(f))], record=[r for f in found for r in f])
+            rows = [(*row, i, record) for row in frame.itertuples(index=False) for i, record in enumerate(spans(getattr(row, text) or ""))]
+            yield pd.DataFrame(rows, columns=schema.names)
 
     return df.mapInPandas(framed, schema).where(F.try_parse_json("record").isNotNull())
 
