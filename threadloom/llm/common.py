@@ -41,6 +41,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``materialize``, as a table in buckets of ``key``, so that joins on it don't shuffle its rows."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def held_out(key: Column, folds: int, fold: int) -> Column:
     """True where crc32 of the key's text leaves the remainder ``fold``; a null key counts as ''."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold
@@ -68,8 +77,8 @@ def pieces(frame: pd.DataFrame, text: str, chars: int) -> Iterator[pd.DataFrame]
         start = stop
 
 
-def groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of equal ``keys`` of a sorted partition, one frame each."""
+def groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The groups of equal ``keys`` of a sorted partition, as arrays by column."""
     rest: pd.DataFrame | None = None
     for frame in frames:
         if rest is not None:
@@ -77,16 +86,16 @@ def groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataF
         if not len(frame):
             rest = None
             continue
+        arrays = {c: frame[c].to_numpy() for c in frame.columns}
         changed = np.zeros(len(frame), dtype=bool)
         for key in keys:
-            values = frame[key].to_numpy()
-            changed[1:] |= values[1:] != values[:-1]
-        cuts = [0, *np.flatnonzero(changed)]
+            changed[1:] |= arrays[key][1:] != arrays[key][:-1]
+        cuts = [0, *np.flatnonzero(changed).tolist()]
         for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-            yield frame.iloc[start:stop]
+            yield {c: a[start:stop] for c, a in arrays.items()}
         rest = frame.iloc[cuts[-1] :]
     if rest is not None and len(rest):
-        yield rest
+        yield {c: rest[c].to_numpy() for c in rest.columns}
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,17 +1,17 @@
 """Near-duplicate documents by one-permutation MinHash with optimal densification.
 
 1. Every text becomes its set of word shingles; equal sets form one class, told by
-   a 128-bit sum over the set's hashes. All later work is on classes, so copies
-   cost one row each.
+   a 128-bit sum over the set's hashes. All later work is on the document with the
+   least id of each class, its node, so copies cost one row each.
 2. A class's sketch takes the least hash of each of ``BINS`` ranges of hash values
    (one permutation); empty ranges copy a full one, picked by a hash of their own.
-3. ``BANDS`` bands of the sketch are its buckets. In each bucket the class with the
-   least key is the centre, and every other class is its candidate: a star, so
-   that a bucket of k classes gives k - 1 pairs.
-4. A class's most alike centre is confirmed on the full sets, and confirmed links
+3. ``BANDS`` bands of the sketch are its buckets. In each bucket the node with the
+   least id is the centre, and every other node is its candidate: a star, so
+   that a bucket of k nodes gives k - 1 pairs.
+4. A node's most alike centre is confirmed on the full sets, and confirmed links
    are joined to components.
 5. Buckets that still hold several components are searched whole, in square chunks
-   of bounded size: first by sketch, which only marks classes with a possible
+   of bounded size: first by sketch, which only marks nodes with a possible
    partner in another component, then on full sets. A chunk gives a forest of its
    links instead of all of them. So no link is lost to the star shape.
 """
@@ -25,12 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WordHashes, groups, lower_words, materialize, mix, pieces
+from threadloom.llm.common import WordHashes, bucketed, groups, lower_words, materialize, mix, pieces
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-#: Classes of a side of a chunk.
-CHUNK = 256
+#: Nodes of a side of a chunk, and nodes up to which a chunk's pairs are compared one by one.
+CHUNK, FEW = 1024, 12
 #: Standard deviations by which a sketch may fall short of the threshold.
 SLACK = 5.0
 
@@ -105,22 +105,18 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """class and its sorted shingle hashes, for ``wanted(doc_id, class)``."""
+    """node and its sorted shingle hashes, for ``wanted(node)``."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = WordHashes()
         for frame in frames:
             for part in pieces(frame, "text", 2 << 20):
-                out = []
-                for name, text in zip(part["class"], part["text"], strict=True):
-                    hashes = shingle_hashes(table.of(lower_words(text)), size)
-                    if len(hashes) and class_key(hashes) == bytes(name):
-                        out.append((bytes(name), hashes.tobytes()))
-                yield pd.DataFrame(out, columns=["class", "hashes"])
+                sets = [shingle_hashes(table.of(lower_words(t)), size).tobytes() for t in part["text"]]
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "hashes": sets})
 
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("class", "text")
-    # a document id that occurs twice may bring its class twice, which only repeats links
-    return found.mapInPandas(hashed, "class binary, hashes binary")
+    found = docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node")
+    return found.mapInPandas(hashed, f"node {id_type}, hashes binary")
 
 
 def least_match(shingles: np.ndarray, percent: int) -> np.ndarray:
@@ -182,9 +178,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _in_chunks(rows: DataFrame) -> DataFrame:
-    """rows(bucket, class, ...) in every square of chunks of their bucket that they belong to."""
+    """rows(bucket, node, ...) in every square of chunks of their bucket that they belong to."""
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    own = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("class"), F.col("chunks")))
+    own = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = other.select(
         "*", F.least("own", "other").alias("row"), F.greatest("own", "other").alias("col")
@@ -192,10 +188,9 @@ def _in_chunks(rows: DataFrame) -> DataFrame:
     return dealt.repartition("bucket", "row", "col").sortWithinPartitions("bucket", "row", "col")
 
 
-def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _sides(group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Positions of a square's rows and of its columns."""
-    own = group["own"].to_numpy()
-    return np.flatnonzero(own == group["row"].iloc[0]), np.flatnonzero(own == group["col"].iloc[0])
+    return np.flatnonzero(group["own"] == group["row"][0]), np.flatnonzero(group["own"] == group["col"][0])
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -207,14 +202,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     Words are lower-cased in A-Z. A text with fewer than ``shingle_words`` words is
     one shingle; null, empty and blank texts have none, are linked with nothing and
-    are kept. Repeated rows share a component; with equal ids both are kept, as the
-    id stands for its documents. A pair at the threshold is missed by all bands with
-    a chance below 1e-8.
+    are kept, as are rows without a doc_id. Rows with equal ids count as one
+    document, which may have several texts: they share a component, and all are kept
+    or none. A pair at the threshold is missed by all bands with a chance below 1e-8.
     """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     base = materialize(_sketches(docs, shingle_words), "sketches")
-    filled = base.where("n_shingles > 0")
+    filled = base.where("n_shingles > 0 and doc_id is not null")
     classes = filled.groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = materialize(classes, "classes")
 
@@ -222,16 +218,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         for frame in frames:
             keys = [band_keys(np.frombuffer(s, "<u2")) for s in frame["sketch"]]
             if keys:
-                yield pd.DataFrame({"bucket": np.concatenate(keys), "class": np.repeat(frame["class"].to_numpy(), BANDS)})
+                yield pd.DataFrame({"bucket": np.concatenate(keys), "node": np.repeat(frame["node"].to_numpy(), BANDS)})
 
-    bands = classes.select("class", "sketch").mapInPandas(banded, "bucket long, class binary")
-    bands = bands.dropDuplicates(["bucket", "class"])
-    stars = bands.groupBy("bucket").agg(F.min("class").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(bands.join(stars, "bucket").select("bucket", "class", "centre"), "buckets")
+    bands = classes.select("node", "sketch").mapInPandas(banded, f"bucket long, node {id_type}")
+    stars = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1")
+    buckets = materialize(bands.join(stars, "bucket").select("bucket", "node", "centre").distinct(), "buckets")
 
-    pairs = buckets.where("class <> centre").select("class", "centre").distinct()
-    sketched = classes.select("class", "n", "sketch")
-    of_centre = sketched.select(F.col("class").alias("centre"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    pairs = buckets.where("node <> centre").select("node", "centre").distinct()
+    sketched = classes.select("node", "n", "sketch")
+    of_centre = sketched.toDF("centre", "m", "other")
 
     def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -240,14 +235,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
                 b = np.frombuffer(b"".join(frame["other"]), "<u2").reshape(-1, BINS)
                 share = (a == b).mean(axis=1)
                 good = share >= least_match(np.minimum(frame["n"], frame["m"]).to_numpy(float), percent)
-                yield frame.loc[good, ["class", "centre"]].assign(share=share[good])
+                yield frame.loc[good, ["node", "centre"]].assign(share=share[good])
 
-    close = pairs.join(sketched, "class").join(of_centre, "centre").mapInPandas(
-        matched, "class binary, centre binary, share double"
+    close = pairs.join(sketched, "node").join(of_centre, "centre").mapInPandas(
+        matched, f"node {id_type}, centre {id_type}, share double"
     )
-    best = close.groupBy("class").agg(F.max_by("centre", F.struct("share", "centre")).alias("centre"))
-    wanted = buckets.select("class").distinct().join(classes.select("class", "doc_id"), "class")
-    sets = materialize(_sets(docs, wanted, shingle_words), "sets")
+    best = close.groupBy("node").agg(F.max_by("centre", F.struct("share", "centre")).alias("centre"))
+    sets = bucketed(_sets(docs, buckets.select("node").distinct(), shingle_words), "sets", "node")
 
     def confirmed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -255,65 +249,79 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
                 linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
                 for a, b in zip(frame["hashes"], frame["others"], strict=True)
             ]
-            yield frame.loc[np.array(good, dtype=bool), ["class", "centre"]].set_axis(["a", "b"], axis=1)
+            yield frame.loc[np.array(good, dtype=bool), ["node", "centre"]].set_axis(["a", "b"], axis=1)
 
-    others = sets.select(F.col("class").alias("centre"), F.col("hashes").alias("others"))
-    links = best.join(sets, "class").join(others, "centre").mapInPandas(confirmed, "a binary, b binary")
+    others = sets.toDF("centre", "others")
+    links = best.join(sets, "node").join(others, "centre").mapInPandas(confirmed, f"a {id_type}, b {id_type}")
     links = materialize(links, "links")
     joined = materialize(components(links), "components")
 
-    named = buckets.join(joined.withColumnRenamed("node", "class"), "class", "left").select(
-        "bucket", "class", F.coalesce("component", "class").alias("component")
-    )
+    named = buckets.join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     split = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    open_rows = named.join(split.select("bucket"), "bucket").join(sketched, "class")
+    open_rows = named.join(split.select("bucket"), "bucket").join(sketched, "node")
 
     def possible(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[dict[str, np.ndarray]] = []
         for group in groups(frames, ["bucket", "row", "col"]):
             rows, cols = _sides(group)
             sketches = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(-1, BINS)
-            n, component = group["n"].to_numpy(float), pd.factorize(group["component"])[0]
-            marked = np.zeros(len(group), dtype=bool)
+            least, component = least_match(group["n"].astype(float), percent), group["component"]
+            marked = np.zeros(len(component), dtype=bool)
             for i in rows:
                 apart = cols[component[cols] != component[i]]
-                share = (sketches[apart] == sketches[i]).mean(axis=1)
-                good = apart[share >= least_match(np.minimum(n[apart], n[i]), percent)]
-                marked[good] = True
-                marked[i] |= len(good) > 0
+                if len(apart):
+                    share = (sketches[apart] == sketches[i]).mean(axis=1)
+                    good = apart[share >= np.minimum(least[apart], least[i])]
+                    marked[good] = True
+                    marked[i] |= len(good) > 0
             if marked.any():
-                yield group.loc[marked, ["bucket", "class", "component"]]
+                found.append({c: group[c][marked] for c in ("bucket", "node", "component")})
+            if len(found) >= 1000:
+                yield pd.DataFrame({c: np.concatenate([f[c] for f in found]) for c in ("bucket", "node", "component")})
+                found = []
+        if found:
+            yield pd.DataFrame({c: np.concatenate([f[c] for f in found]) for c in ("bucket", "node", "component")})
 
-    marked = _in_chunks(open_rows).mapInPandas(possible, "bucket long, class binary, component binary").distinct()
-    suspects = materialize(marked, "suspects").join(sets, "class")
+    marked = _in_chunks(open_rows).mapInPandas(possible, f"bucket long, node {id_type}, component {id_type}").distinct()
+    suspects = materialize(marked, "suspects").join(sets, "node")
 
     def forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
         for group in groups(frames, ["bucket", "row", "col"]):
             rows, cols = _sides(group)
-            names, component = group["class"].to_numpy(), pd.factorize(group["component"])[0]
+            names = group["node"]
+            _, component = np.unique(group["component"], return_inverse=True)
             hashes = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
-            sizes = np.array([len(h) for h in hashes])
-            where = np.repeat(np.arange(len(hashes)), sizes)
-            _, terms = np.unique(np.concatenate(hashes), return_inverse=True)
-            order = np.argsort(terms, kind="stable")
-            holders, ends = where[order], np.searchsorted(terms[order], np.arange(terms.max() + 2))
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            known, out = _Forest(int(component.max()) + 1), []
-            for i in rows:
-                own = terms[starts[i] : starts[i + 1]]
-                common = np.bincount(
-                    np.concatenate([holders[ends[t] : ends[t + 1]] for t in own]), minlength=len(group)
-                )[cols]
-                good = cols[100 * common >= percent * (sizes[i] + sizes[cols] - common)]
-                out += [(names[i], names[j]) for j in good if known.join(component[i], component[j])]
-            if out:
+            known = _Forest(int(component.max()) + 1)
+            if len(hashes) <= FEW:
+                for i in rows:
+                    for j in cols:
+                        apart = known.root(component[i]) != known.root(component[j])
+                        if apart and linked(hashes[i], hashes[j], percent) and known.join(component[i], component[j]):
+                            out.append((names[i], names[j]))
+            else:
+                sizes = np.array([len(h) for h in hashes])
+                where = np.repeat(np.arange(len(hashes)), sizes)
+                _, terms = np.unique(np.concatenate(hashes), return_inverse=True)
+                order = np.argsort(terms, kind="stable")
+                holders, ends = where[order], np.searchsorted(terms[order], np.arange(terms.max() + 2))
+                starts = np.concatenate([[0], np.cumsum(sizes)])
+                for i in rows:
+                    own = terms[starts[i] : starts[i + 1]]
+                    common = np.bincount(
+                        np.concatenate([holders[ends[t] : ends[t + 1]] for t in own]), minlength=len(hashes)
+                    )[cols]
+                    good = cols[100 * common >= percent * (sizes[i] + sizes[cols] - common)]
+                    out += [(names[i], names[j]) for j in good if known.join(component[i], component[j])]
+            if len(out) >= 10_000:
                 yield pd.DataFrame(out, columns=["a", "b"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
 
-    rest = _in_chunks(suspects).mapInPandas(forest, "a binary, b binary")
+    rest = _in_chunks(suspects).mapInPandas(forest, f"a {id_type}, b {id_type}")
     found = materialize(components(links.union(rest)), "components")
-    of_class = classes.select("class", "doc_id").join(found.withColumnRenamed("node", "class"), "class", "left")
-    of_class = of_class.withColumn("component", F.coalesce("component", "class"))
-    least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = of_class.join(least, "component").select("class", "component_id")
+    of_class = classes.select("class", "node").join(found, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"))
     result = base.drop("sketch").join(of_class, "class", "left")
     component = F.coalesce("component_id", "doc_id")
     return result.select(
