@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from threadloom.bindings import E0, NOW, VIEWS, bind, sql
 from threadloom.functions import text as T
-from threadloom.operators import aggregates, graph, hierarchy, ingest, joins, predicates, search, vectors, windows
+from threadloom.operators import aggregates, graph, hierarchy, ingest, joins, predicates, reports, search, vectors, windows
+from threadloom.streaming import states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -870,3 +871,235 @@ def n15_invalidate_embeddings(docs):
     new = docs.select("document_id", F.md5("content").alias("hash"))
     old = new.where("document_id % 4 > 0").withColumn("hash", F.when(F.col("document_id") % 5 == 0, "old").otherwise(F.col("hash")))
     return ingest.invalidate_embeddings(old, new)
+
+
+# --- compositions --------------------------------------------------------------------
+
+
+@query("messages", f"SELECT day, max(ts) > min(created) AS stale FROM (SELECT {_day('ts', -480)} AS day, ts, {E0} + document_id * 0 + 250000 AS created FROM messages) GROUP BY day")
+def d9_summary_staleness(messages):
+    summaries = messages.select(predicates.local_day(F.col("ts"), -480).alias("day"), F.lit(E0 + 250000).alias("created")).distinct()
+    return reports.summary_staleness(summaries, messages)
+
+
+@query("docs messages projects machines", "SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM messages) AS messages, (SELECT count(*) FROM projects) AS projects, (SELECT count(*) FROM machines) AS machines")
+def d14_public_stats(docs, messages, projects, machines):
+    counts = [t.agg(F.count("*").alias(n)) for n, t in (("documents", docs), ("messages", messages), ("projects", projects), ("machines", machines))]
+    return counts[0].join(counts[1]).join(counts[2]).join(counts[3])  # one row each
+
+
+@query(
+    "messages",
+    """SELECT document_id, string_agg(substr(c, 1, 3000 - used), chr(10) ORDER BY line_number) AS digest FROM (
+        SELECT document_id, line_number, c, cast(coalesce(sum(length(c)) OVER (PARTITION BY document_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS int) AS used
+        FROM (SELECT *, concat(role, ': ', substr(content, 1, 500)) AS c FROM messages WHERE role IN ('user', 'assistant'))) WHERE used < 3000 GROUP BY document_id""",
+)
+def d21_conversation_digest(messages):
+    return reports.conversation_digest(messages)
+
+
+@query("customer orders", "SELECT c_custkey AS link_id, count(o_orderkey) AS views FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1")
+def d22_share_counts(customer, orders):
+    return reports.share_counts(customer.select(F.col("c_custkey").alias("link_id")), orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("link_id")))
+
+
+@query("conv_docs", _FOLD + " SELECT canonical_id, cast(sum(document_id % 3) AS bigint) AS pending FROM o JOIN g ON o.tool_id = g.tool_id AND o.top = g.top GROUP BY 1")
+def d23_pending_by_root(conv_docs):
+    return reports.pending_by_root(hierarchy.fold(conv_docs), conv_docs.select("document_id", (F.col("document_id") % 3).alias("pending")))
+
+
+@query("lineitem", "SELECT l_orderkey, count(*) FILTER (s = 0)::int AS pending, count(*) FILTER (s = 1)::int AS in_progress, count(*) FILTER (s = 2)::int AS blocked, count(*) FILTER (s = 3)::int AS completed, count(*) FILTER (s = 4)::int AS cancelled, count(*) FILTER (s < 3)::int AS outstanding FROM (SELECT l_orderkey, l_partkey % 5 AS s FROM lineitem) GROUP BY 1")
+def d24_task_counts(lineitem):
+    names = F.array(*map(F.lit, ("pending", "in_progress", "blocked", "completed", "cancelled")))
+    tasks = lineitem.groupBy("l_orderkey").agg(F.collect_list(F.element_at(names, (F.col("l_partkey") % 5 + 1).cast("int"))).alias("tasks"))
+    return tasks.select("l_orderkey", *reports.task_counts(F.col("tasks")))
+
+
+@query("messages", "SELECT message_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ts DESC, line_number DESC) AS n FROM messages WHERE role = 'assistant') WHERE n <= 2 ORDER BY ts DESC, line_number DESC, document_id LIMIT 50")
+def e6_task_history(messages):
+    return reports.task_history(messages.where("role = 'assistant'"), 2).select("message_id")
+
+
+@query("messages", f"SELECT message_id, score FROM (SELECT message_id, ts, CASE WHEN contains(lower(content), 'the and') THEN 4.0::double ELSE 3.0::double END AS score FROM messages WHERE role IN ('user', 'assistant') AND (contains(lower(content), 'the and') OR list_has_all({_TOK}, ['the', 'and']))) ORDER BY score DESC, ts DESC, message_id LIMIT 121")
+def f4_overfetch_candidates(messages):
+    """min(12 * limit + 1, 401) candidates for a limit of 10."""
+    return search.score_messages(messages, "the and").orderBy(F.desc("score"), F.desc("ts"), "message_id").limit(min(12 * 10 + 1, 401)).select("message_id", "score")
+
+
+_GROUPS = "SELECT tool_id, coalesce(root_session_id, thread, cast(document_id AS varchar)) AS group_key, count(*) AS members, max(coalesce(activity, least(mtime, synced))) AS ts FROM conv_docs GROUP BY ALL"
+
+
+@query("conv_docs", f"SELECT group_key, ts FROM ({_GROUPS}) WHERE ts < {E0 + 200000} ORDER BY ts DESC, group_key LIMIT 10")
+def f5_timeline_page(conv_docs):
+    groups = predicates.after_cursor(reports.project_timeline(conv_docs), [("ts", E0 + 200000, True)])
+    return groups.orderBy(F.desc("ts"), "group_key").limit(10).select("group_key", "ts")
+
+
+@query("messages", f"SELECT message_id FROM messages WHERE document_id = 9 AND role IN ('user', 'assistant') AND (contains(lower(content), 'the') OR list_contains({_TOK}, 'the')) ORDER BY line_number LIMIT 4")
+def h12_search_in_conversation(messages):
+    return reports.search_in_conversation(messages, 9, "the", 3).select("message_id")
+
+
+@query("docs", f"SELECT document_id, synced FROM docs WHERE contains(lower(title), 'the of') OR contains(lower(relative_path), 'the of') OR list_has_all({_TOK}, ['the', 'of']) ORDER BY synced DESC, document_id LIMIT 20 OFFSET 5")
+def h13_search_documents(docs):
+    return reports.search_documents(docs, "the of", 5, 20)
+
+
+@query("docs", "SELECT path, max(score) AS score FROM (SELECT relative_path AS path, round((document_id % 97) / 100.0::double, 4) AS score FROM docs WHERE document_id % 5 = 0 UNION ALL SELECT relative_path, 0.5::double FROM docs WHERE document_id % 3 = 0 UNION ALL SELECT relative_path, 0.7::double FROM docs WHERE document_id % 11 = 0) GROUP BY path ORDER BY score DESC, path LIMIT 30")
+def h15_hybrid_search(docs):
+    rows = docs.select(F.col("relative_path").alias("path"), F.round((F.col("document_id") % 97) / 100.0, 4).alias("score"), "document_id")
+    return reports.hybrid_search(rows.where("document_id % 5 = 0"), rows.where("document_id % 3 = 0"), rows.where("document_id % 11 = 0"), 30)
+
+
+@query("docs", "SELECT document_id, CASE document_id % 3 WHEN 0 THEN concat('c:/my docs/', project) WHEN 1 THEN concat('C:\\x\\', project) ELSE concat('/home/', project) END AS path FROM docs")
+def i10_clean_path(docs):
+    kind = F.col("document_id") % 3
+    path = F.when(kind == 0, F.concat(F.lit("file:///c%3A/my%20docs/"), "project", F.lit("/"))).when(kind == 1, F.concat(F.lit("\\\\?\\C:\\x\\"), "project")).otherwise(F.concat(F.lit("/home/"), "project", F.lit("//")))
+    return docs.select("document_id", reports.clean_path(path).alias("path"))
+
+
+@query("events nation", "SELECT event_id AS view_id, coalesce(n_name, '') AS country FROM events LEFT JOIN nation ON (10 * 16777216 + (user_id % 256) * 65536 + (event_id % 256) * 256) BETWEEN 10 * 16777216 + n_nationkey * 400000 AND 10 * 16777216 + n_nationkey * 400000 + 299999")
+def i18_geo_tag(events, nation):
+    views = events.select(F.col("event_id").alias("view_id"), F.concat_ws(".", F.lit("10"), F.col("user_id") % 256, F.col("event_id") % 256, F.lit("0")).alias("ip"))
+    low = 10 * 16777216 + F.col("n_nationkey").cast("bigint") * 400000
+    return reports.geo_tag(views, nation.select(low.alias("low"), (low + 299999).alias("high"), F.col("n_name").alias("country")))
+
+
+@query("docs", "SELECT document_id, CASE tool_id WHEN 'codex' THEN 'Codex' WHEN 'claude_code' THEN 'Claude Code' WHEN 'cursor' THEN 'Cursor' ELSE 'Obsidian' END AS name FROM docs")
+def i19_tool_display_name(docs):
+    return docs.select("document_id", reports.display_name(F.col("tool_id")).alias("name"))
+
+
+@query("messages", "SELECT message_id, CASE message_id % 3 WHEN 1 THEN 'system' ELSE 'user' END AS role, CASE message_id % 3 WHEN 1 THEN trim(concat('<environment_context> ', substr(content, 1, 30))) ELSE trim(substr(content, 1, 30)) END AS text FROM messages")
+def j6_split_codex_user(messages):
+    start, kind = F.substring("content", 1, 30), F.col("message_id") % 3
+    payload = F.when(kind == 0, F.concat(F.lit("# Context from my IDE setup:\n\n## My request for Codex:\n"), start)).when(kind == 1, F.concat(F.lit("<environment_context> "), start)).otherwise(start)
+    role, text = reports.split_codex_user(payload)
+    return messages.select("message_id", role.alias("role"), text.alias("text"))
+
+
+@query(
+    "messages",
+    """, k AS (SELECT *, CASE WHEN role = 'user' AND message_id % 5 = 0 THEN 'prompt' WHEN line_number % 3 = 0 THEN 'answer' ELSE 'question' END AS kind, line_number % 2 AS question_id FROM messages)
+    SELECT document_id, question_id, line_number FROM k q WHERE kind = 'question' AND NOT EXISTS (SELECT 1 FROM k a WHERE a.kind = 'answer' AND a.document_id = q.document_id AND a.question_id = q.question_id)
+        AND NOT EXISTS (SELECT 1 FROM k p WHERE p.kind = 'prompt' AND p.document_id = q.document_id AND p.line_number >= q.line_number)""",
+)
+def j12_pending_interactions(messages):
+    kind = F.when((F.col("role") == "user") & (F.col("message_id") % 5 == 0), "prompt").when(F.col("line_number") % 3 == 0, "answer").otherwise("question")
+    return reports.pending_interactions(messages.withColumn("kind", kind).withColumn("question_id", F.col("line_number") % 2))
+
+
+@query("messages", "SELECT document_id, message_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY message_id % 3 = 0 DESC, line_number DESC, message_id DESC) AS n FROM messages WHERE role = 'assistant') WHERE n = 1")
+def j18_current_task_state(messages):
+    return reports.current_task_state(messages.where("role = 'assistant'").withColumn("is_current", F.col("message_id") % 3 == 0))
+
+
+@query("conv_docs", _GROUPS)
+def k10_project_timeline(conv_docs):
+    return reports.project_timeline(conv_docs)
+
+
+@query(
+    "messages",
+    """, d AS (SELECT document_id, string_agg(substr(c, 1, 4000 - used), chr(10) ORDER BY line_number) AS t FROM (
+        SELECT document_id, line_number, c, cast(coalesce(sum(length(c)) OVER (PARTITION BY document_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS int) AS used
+        FROM (SELECT *, concat(role, ': ', substr(content, 1, 4000)) AS c FROM messages WHERE role IN ('user', 'assistant'))) WHERE used < 4000 GROUP BY document_id)
+    SELECT document_id, sha256(t) AS hash FROM d WHERE length(t) >= 200 AND document_id % 2 = 1""",
+)
+def l1_extraction_inputs(messages):
+    none = messages.select("document_id", F.lit("").alias("hash")).distinct()
+    seen = reports.extraction_inputs(messages, none).where("document_id % 2 = 0")
+    return reports.extraction_inputs(messages, seen)
+
+
+@query("part", "SELECT p_partkey, p_brand AS name, 1 AS n FROM part")
+def l2_parse_extraction(part):
+    body = F.to_json(F.struct(F.array(F.struct(F.col("p_brand").alias("name"), F.col("p_type").alias("type"))).alias("entities")))
+    parsed = part.select("p_partkey", reports.parse_extraction(F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).alias("r"))
+    return parsed.select("p_partkey", F.col("r.entities")[0]["name"].alias("name"), F.size("r.entities").alias("n"))
+
+
+@query("observations", "SELECT document_id, CASE WHEN document_id % 4 = 0 THEN 'new' ELSE content END AS content, count(*) AS n FROM observations GROUP BY ALL")
+def l5_replace_observations(observations):
+    stored = observations.select("document_id", "content")
+    fresh = stored.withColumn("content", F.lit("new"))
+    return reports.replace_by_document(stored, fresh, stored.where("document_id % 4 = 0")).groupBy("document_id", "content").agg(F.count("*").alias("n"))
+
+
+@query(
+    "docs messages",
+    """, s AS (SELECT document_id, string_agg(substr(content, 1, 4000), chr(10) ORDER BY line_number) AS said FROM messages WHERE role IN ('user', 'assistant') GROUP BY 1)
+    SELECT document_id, sha256(t) AS hash FROM (SELECT document_id, coalesce(CASE WHEN document_id % 2 = 0 THEN content END, said) AS t FROM docs LEFT JOIN s USING (document_id)) WHERE length(t) >= 100""",
+)
+def m1_embedding_text(docs, messages):
+    half = docs.withColumn("content", F.when(F.col("document_id") % 2 == 0, F.col("content")))
+    return reports.embedding_text(half, messages).select("document_id", F.sha2("text", 256).alias("hash"))
+
+
+@query("docs", "SELECT document_id, CASE WHEN document_id % 10 = 0 OR category IN ('memory', 'plan', 'identity', 'learning') THEN 'quality' ELSE 'fast' END AS tier FROM docs")
+def m5_assign_tier(docs):
+    current = F.when(F.col("document_id") % 10 == 0, "quality").otherwise("fast")
+    return docs.select("document_id", reports.assign_tier(F.col("category"), current).alias("tier"))
+
+
+@query("vectors docs", "SELECT DISTINCT tier FROM vectors WHERE document_id IN (SELECT document_id FROM docs WHERE category = 'plan')")
+def m9_searchable_tiers(chunks, docs):
+    return chunks.join(docs.where("category = 'plan'").select("document_id"), "document_id", "left_semi").select("tier").distinct()
+
+
+@query(
+    "lineitem",
+    """, i AS (SELECT l_orderkey AS source, l_linenumber AS item_id, CASE WHEN l_linenumber % 4 = 1 THEN 'full' ELSE 'delta' END AS mode, l_linenumber % 2 AS base_offset FROM lineitem),
+    f AS (SELECT source, max(item_id) AS last_full FROM i WHERE mode = 'full' GROUP BY 1)
+    SELECT source, mode, base_offset, max(item_id) AS item_id FROM i LEFT JOIN f USING (source) WHERE last_full IS NULL OR item_id >= last_full GROUP BY ALL""".replace(", i AS", "WITH i AS", 1),
+)
+def n6_coalesce_queue(lineitem):
+    items = lineitem.select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("item_id"), F.when(F.col("l_linenumber") % 4 == 1, "full").otherwise("delta").alias("mode"), (F.col("l_linenumber") % 2).alias("base_offset"))
+    return reports.coalesce_queue(items).select("source", "mode", "base_offset", "item_id")
+
+
+@query("versions", "SELECT document_id, max_by(hash, (synced, hash)) AS hash, cast(max(synced) AS varchar) AS delivered, max(o_orderkey) AS activity FROM versions GROUP BY 1")
+def n10_delivery_state(versions):
+    rows = versions.select("document_id", "hash", F.col("synced").alias("delivered"), F.col("o_orderkey").alias("activity"))
+    split = F.col("delivered") < F.lit("1995-01-01").cast("date")
+    return reports.delivery_state(rows.where(split), rows.where(~split)).withColumn("delivered", F.col("delivered").cast("string"))
+
+
+@query("docs", "SELECT document_id, tool_id, title, document_id % 3 = 0 OR document_id % 7 = 0 AS changed FROM docs")
+def n14_dashboard_projection(docs):
+    empty = docs.limit(0).select("document_id", F.lit("").alias("row_hash"))
+    stored = reports.dashboard_projection(docs, empty).where("document_id % 3 > 0")
+    stored = stored.withColumn("row_hash", F.when(F.col("document_id") % 7 == 0, "old").otherwise(F.col("row_hash")))
+    return reports.dashboard_projection(docs, stored).select("document_id", "tool_id", "title", "changed")
+
+
+@query(
+    "docs messages",
+    f""", s AS (SELECT document_id, string_agg(substr(content, 1, 2048), ' ' ORDER BY line_number) AS said FROM messages WHERE role IN ('user', 'assistant') GROUP BY 1)
+    SELECT document_id, len({_TOK})::int AS tokens FROM (SELECT document_id, concat_ws(' ', title, said) AS content FROM docs LEFT JOIN s USING (document_id))""",
+)
+def n16_refresh_fts(docs, messages):
+    return reports.refresh_fts(docs, messages)
+
+
+# --- batch forms of the streaming operators ------------------------------------------
+
+
+@query("signals", "SELECT strftime(ts, '%Y-%m-%d') AS day, status, count(*) AS n FROM signals GROUP BY ALL")
+def o2_day_counts(signals):
+    return states.day_counts(signals.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query(
+    "signals",
+    """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 600 SECOND THEN 0 ELSE 1 END AS fresh FROM signals WINDOW w AS (PARTITION BY document_id ORDER BY ts, event_id)),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY ts, event_id) AS island FROM g)
+    SELECT document_id, cast(floor(epoch(min(ts))) AS bigint) AS start_ts, count(*) AS n, max_by(event_id, (ts, event_id)) AS event_id FROM i GROUP BY document_id, island""",
+)
+def o3_quiet_window(signals):
+    return states.quiet_windows(signals.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query("signals")
+def o4_activity_state(signals):
+    return states.activity_state_batch(signals.withColumn("ts", F.col("ts").cast("timestamp")))
