@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import materialize, pieces
 
 #: Hashed words, latent dimensions and extra ones for the randomised decomposition.
-BUCKETS, RANK, EXTRA = 1 << 15, 32, 8
+BUCKETS, RANK, EXTRA = 1 << 15, 24, 8
 #: Words of a window and between the starts of two.
 WINDOW, STEP = 16, 4
-#: Marks a word of some item's answer beside its bucket.
-ANSWER = 1 << 24
+#: Above a word's bucket stands its number among the answer words, if it is one.
+SHIFT = 16
+#: A word in more windows than this share is too common for an answer.
+COMMON = 0.005
 #: Items, and words of them all, that a task may hold; larger benchmarks go in parts.
 PART_ITEMS = 2000
 
@@ -43,19 +45,19 @@ def plain_words(text: str | None) -> list[str]:
 
 
 class _Buckets(dict):
-    """Hash buckets of words, computed once each; the given words also get the mark ``ANSWER``."""
+    """Hash buckets of words, computed once each, and above them the numbers (from 1) that some words have."""
 
-    def __init__(self, marked: frozenset[str] = frozenset()):
+    def __init__(self, numbers: dict[str, int] | None = None):
         super().__init__()
-        self.marked = marked
+        self.numbers = numbers or {}
 
     def __missing__(self, word: str) -> int:
         import zlib
 
         if len(self) >= 400_000:
             self.clear()
-        value = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
-        value = self[word] = value | ANSWER if word in self.marked else value
+        bucket = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+        value = self[word] = bucket | self.numbers.get(word, 0) << SHIFT
         return value
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -95,12 +97,14 @@ def latent_basis(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 of = np.concatenate([at + np.arange(len(f)) // WINDOW for at, f in zip(first, found, strict=True)])
                 cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
                 sums = np.add.reduceat(random[words], cuts, axis=0)
-                order = np.argsort(words, kind="stable")
-                sorted_words = words[order]
-                edges = np.flatnonzero(np.concatenate([[True], sorted_words[1:] != sorted_words[:-1]]))
-                image[sorted_words[edges]] += np.add.reduceat(sums[of[order]], edges, axis=0)
-                cells = np.unique(of * np.int64(BUCKETS) + words)
-                seen += np.bincount(cells % BUCKETS, minlength=BUCKETS)
+                order = np.argsort(words.astype(np.uint16), kind="stable")
+                by_word, of = words[order], of[order]
+                other = np.concatenate([[True], by_word[1:] != by_word[:-1]])
+                edges = np.flatnonzero(other)
+                image[by_word[edges]] += np.add.reduceat(sums[of], edges, axis=0)
+                # a word's windows stand in order, so that repeats in one window are neighbours
+                other[1:] |= of[1:] != of[:-1]
+                seen += np.bincount(by_word[other], minlength=BUCKETS)
                 windows += len(cuts)
         yield pd.DataFrame({"bucket": np.arange(-1, BUCKETS), "seen": [windows, *seen], "image": [np.zeros(width, np.float32), *image]})
 
@@ -147,8 +151,9 @@ def benchmark_leaks(
     answer_overlap (share of its ``answer_words`` rarest words among them), start and
     length (in words of the document).
 
-    A leak needs ``min_answer`` of an item's answer words in its neighbourhood, so
-    windows with fewer answer words (of any items) around them are not projected.
+    Answer words are rare; an item without enough rare words has its rarest three. A
+    leak needs ``min_answer`` of them within twice the item's length, so windows are
+    projected and compared with an item only where as many of its answer words are near.
 
     Null or blank texts on either side match nothing. Equal items are all reported,
     repeated documents each. The benchmark is worked through in parts of about
@@ -171,57 +176,80 @@ def benchmark_leaks(
 
 def _search(items, idf, place, min_cosine, min_overlap, answer_words, min_answer):
     plain = _Buckets()
-    answers = []
+    rare = 1 - np.log(COMMON)  # the idf at that share of windows
+    numbers: dict[str, int] = {}
+    answers, probes = [], []
     for _, words in items:
-        rare = sorted(set(words), key=lambda w: (-idf[plain[w]], w))
-        answers.append(frozenset(rare[:answer_words]))
-    marked = frozenset().union(*answers)
-    needed = min((int(np.ceil(min_answer * len(a))) for a in answers), default=0)
-    longest = max((len(words) for _, words in items), default=0)
-    # an item longer than a window is looked for by its windows
-    probes, of = [], []
-    for number, (_, words) in enumerate(items):
+        ordered = sorted(set(words), key=lambda w: (-idf[plain[w]], w))
+        answers.append(frozenset(w for i, w in enumerate(ordered[:answer_words]) if i < 3 or idf[plain[w]] >= rare))
+        for w in answers[-1]:
+            numbers.setdefault(w, len(numbers) + 1)
+        # an item longer than a window is looked for by its windows
         own = place[plain.of(words)]
-        for start in _starts(len(words)):
-            probes.append(own[start : start + WINDOW].sum(axis=0))
-            of.append(number)
+        probe = np.array([own[start : start + WINDOW].sum(axis=0) for start in _starts(len(words))])
+        probes.append(probe / np.maximum(np.linalg.norm(probe, axis=1, keepdims=True), 1e-12))
+    sizes = np.array([len(words) for _, words in items])
+    needed = np.array([int(np.ceil(min_answer * len(a))) for a in answers])
+    # for each answer word the items it answers
+    pairs = sorted((numbers[w], i) for i, a in enumerate(answers) for w in a)
+    item_of = np.array([i for _, i in pairs], np.int64)
+    first = np.searchsorted([w for w, _ in pairs], np.arange(len(numbers) + 2))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not probes:
+        if not items:
             return
-        buckets, probe = _Buckets(marked), np.array(probes, np.float32)
-        probe /= np.maximum(np.linalg.norm(probe, axis=1, keepdims=True), 1e-12)
+        buckets = _Buckets(numbers)
 
         def leaks(words: list[str]) -> dict[int, tuple]:
             codes = buckets.of(words)
-            starts, n = _starts(len(words)), len(words)
-            marks = np.concatenate([[0], np.cumsum(codes >= ANSWER)])
-            if marks[-1] < needed:
-                return {}
-            lows, highs = np.maximum(starts - longest, 0), np.minimum(starts + WINDOW + longest, n)
-            starts = starts[marks[highs] - marks[lows] >= needed]
-            sums = np.zeros((n + 1, RANK))
-            np.cumsum(place[codes & (BUCKETS - 1)], axis=0, out=sums[1:], dtype=np.float64)
-            window = sums[np.minimum(starts + WINDOW, n)] - sums[starts]
-            window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-12)
-            cosine = window.astype(np.float32) @ probe.T
+            at = np.flatnonzero(codes >> SHIFT)
+            number = codes[at] >> SHIFT
+            times = first[number + 1] - first[number]
+            near = np.repeat(at, times)
+            # the items of each answer word: consecutive from its first one
+            steps = np.arange(len(near)) - np.repeat(np.cumsum(times) - times, times)
+            named = item_of[np.repeat(first[number], times) + steps]
             found: dict[int, tuple] = {}
-            for at, p in zip(*np.nonzero(cosine >= min_cosine), strict=True):
-                number = of[p]
-                item = items[number][1]
-                low = max(0, int(starts[at]) - len(item))
-                near = words[low : int(starts[at]) + WINDOW + len(item)]
-                if len(answers[number].intersection(near)) < min_answer * len(answers[number]):
-                    continue
-                got = common_subsequence(item, near)
-                overlap = len(got) / len(item)
-                answer = len(answers[number].intersection(near[i] for i in got)) / len(answers[number])
-                if overlap >= min_overlap and answer >= min_answer:
-                    hit = (float(cosine[at, p]), overlap, answer, low + got[0], got[-1] - got[0] + 1)
-                    if number not in found or (hit[1], hit[0]) > (found[number][1], found[number][0]):
-                        found[number] = hit
+            for item in np.flatnonzero(np.bincount(named, minlength=len(items)) >= needed):
+                places = near[named == item]
+                span, k = 2 * sizes[item] + WINDOW, needed[item]
+                close = places[: len(places) - k + 1][places[k - 1 :] - places[: len(places) - k + 1] <= span]
+                if len(close) and (hit := best(words, codes, int(item), close)):
+                    found[int(item)] = hit
             return found
 
+        def best(words: list[str], codes: np.ndarray, item: int, close: np.ndarray) -> tuple | None:
+            wanted, hit = items[item][1], None
+            # windows around the places, each once
+            starts = np.unique((close[:, None] + np.arange(-WINDOW, 2 * len(wanted) + 1, STEP)).ravel())
+            starts = np.unique(np.clip(starts, 0, max(0, len(words) - WINDOW)))
+            ends = np.minimum(starts + WINDOW, len(words))
+            low = int(starts[0])
+            sums = np.zeros((int(ends[-1]) - low + 1, RANK))
+            np.cumsum(place[codes[low : int(ends[-1])] & (BUCKETS - 1)], axis=0, out=sums[1:], dtype=np.float64)
+            window = sums[ends - low] - sums[starts - low]
+            window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-12)
+            cosine = (window @ probes[item].T).max(axis=1)
+            seen = -1
+            for i in np.flatnonzero(cosine >= min_cosine):
+                begin, end = max(0, int(starts[i]) - len(wanted)), int(starts[i]) + WINDOW + len(wanted)
+                if end <= seen:
+                    continue
+                near = words[begin:end]
+                if len(answers[item].intersection(near)) < needed[item]:
+                    continue
+                seen = begin + WINDOW + len(wanted)
+                got = common_subsequence(wanted, near)
+                overlap = len(got) / len(wanted)
+                matched = len(answers[item].intersection(near[g] for g in got))
+                if overlap >= min_overlap and matched >= needed[item]:
+                    new = (float(cosine[i]), overlap, matched / len(answers[item]), begin + got[0], got[-1] - got[0] + 1)
+                    if hit is None or (new[1], new[0]) > (hit[1], hit[0]):
+                        hit = new
+                if hit and hit[1] == 1:
+                    break
+            return hit
+
         columns = ["doc_id", "item_id", "cosine", "overlap", "answer_overlap", "start", "length"]
         for frame in frames:
             out = []
