@@ -330,6 +330,23 @@ def test_long_secrets_are_whole(spark):
     assert {r["doc_id"]: r["text"] for r in masked.collect()} == {i: t[0].replace("xoxb-", "") + "<secret>" + t[2] for i, t in enumerate(texts)}
 
 
+def test_copies_of_a_secret_make_no_words(spark):
+    secret = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+
+    def words_and_share(copies, shared):
+        texts = [f"common story secret_key={secret} end"] * copies + [f"common passage {i} secret_key={secret} end" for i in range(shared)]
+        texts += [f"common words {'abcdefghij'[i]} once" for i in range(10)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        words = secret_scan.dictionary(docs)
+        rows = secret_scan.add_features(secret_scan.find_candidates(docs), words).select("dictionary_share").distinct().collect()
+        return {r["word"] for r in words.collect()}, [r["dictionary_share"] for r in rows]
+
+    assert words_and_share(1, 0) == words_and_share(40, 0) == ({"common", "words", "once"}, [0.0])
+    assert words_and_share(2, 40) == ({"common", "words", "once", "passage", "secret", "key", "end"}, [0.0])
+    docs = spark.range(40).selectExpr("id AS doc_id", "CASE WHEN id < 30 THEN concat('often x', id) ELSE concat('seldom x', id) END AS text")
+    assert {r["word"] for r in secret_scan.dictionary(docs, share=0.5).collect()} == {"often"}
+
+
 def test_pseudonyms_permute_within_their_format(spark):
     ips = [f"10.0.{a}.{b}" for a in range(20) for b in range(20)]
     days = [f"2020-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)]

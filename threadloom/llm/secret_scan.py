@@ -67,10 +67,16 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     )
 
 
-def dictionary(docs: DataFrame, min_count: int = 20) -> DataFrame:
-    """The corpus's words of 3 to 20 letters that occur ``min_count`` times, in lower case."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(3, 20))
-    return words.groupBy("word").count().where(F.col("count") >= min_count).select("word")
+def dictionary(docs: DataFrame, share: float = 1e-4, least: int = 3) -> DataFrame:
+    """The corpus's words of 3 to 20 letters outside candidates, in lower case, that are in this share of the distinct texts.
+
+    Copies of a text count once. ``least`` texts are needed where the share is of less.
+    """
+    texts = materialize(docs.select("text").where("text is not null").distinct().select(
+        F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("text", CANDIDATE, " ")), r"[^\p{L}]+"), lambda w: F.length(w).between(3, 20))).alias("words")
+    ), "texts-words")
+    needed = max(least, share * texts.count())
+    return texts.select(F.explode("words").alias("word")).groupBy("word").count().where(F.col("count") >= needed).select("word")
 
 
 def add_features(candidates: DataFrame, words: DataFrame) -> DataFrame:
@@ -152,7 +158,7 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
     Null, empty and blank texts have no candidates. Each occurrence is a finding, in
     repeated rows too. Other columns are ignored.
     """
-    found = materialize(add_features(find_candidates(docs), dictionary(docs)), "candidates")
+    found = materialize(add_features(materialize(find_candidates(docs), "spans"), dictionary(docs)), "candidates")
     forest = train_forest(labelled if labelled is not None else found.withColumn("label", certain_label()).where("label is not null"))
     if forest is None:
         scored = found.withColumn("score", F.coalesce(certain_label(), F.lit(0)).cast("double"))
