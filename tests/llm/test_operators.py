@@ -234,6 +234,20 @@ def test_main_text_of_pages(spark):
     assert html_extract.extract_main_text(pages.limit(0)).collect() == []
 
 
+def test_lines_beside_an_article_are_differenced(spark):
+    page = "<body><p>Welcome</p><div><p>{0} story</p><p>{0} more</p></div><article>{0} teaser</article><article class='comment'>{0} nice</article><p>Rights</p>"
+    wrapped = "<body><div class='{}'><main><p>text</p></main></div>"
+    rows = [(i, f"http://h.org/x/{i}", page.format(f"n{i}")) for i in (1, 2)]
+    names = ["content has-sidebar", "social-science", "main-sidebar", "sidebar", "site-footer", "comment-list"]
+    rows += [(10 + i, f"http://w{i}.org/", wrapped.format(c)) for i, c in enumerate(names)]
+    rows += [(20 + i, f"http://v{i}.org/", f"<body><p>a</p><div class='{c}'>b</div>") for i, c in enumerate(names)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages).collect()}
+    assert [found[i] for i in (1, 2)] == ["n1 story n1 more n1 teaser", "n2 story n2 more n2 teaser"]
+    assert [found[10 + i] for i in range(6)] == ["text", "text", "text", "", "text", "text"]
+    assert [found[20 + i] for i in range(6)] == ["a b", "a b", "a", "a", "a", "a"]
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     def longest(a, b):
         if not a or not b:

@@ -2,7 +2,7 @@
 
 A page becomes text lines, one for each block. Lines inside navigation, headers,
 footers, asides, forms, scripts and the like are dropped by their markup; lines
-inside an ``article`` or ``main`` element are the page's own. What is in neither is
+inside an ``article`` or ``main`` element are the page's own and stay. All others are
 compared with a neighbour: pages are sorted by host and path, each is paired with
 the one before or after it whose path shares the longer prefix, the lines of both
 are aligned by longest common subsequence, and shared lines are deleted.
@@ -32,12 +32,18 @@ INLINE = frozenset(
 )
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class or id that mark a block beside the main text.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu|nav\w*|newsletter|"
-    r"notices?|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words that, as a whole class, id or role, mark a block beside the main text.
+_WORDS = (
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu|nav\w*|newsletter|"
+    r"notices?|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
 )
+#: Words that may stand beside them in a compound such as site-footer or related_posts (fixed list).
+_PLACES = (
+    r"(?:site|page|main|top|bottom|left|right|global|primary|secondary|header|mobile|post|entry|article|blog|bar|box|list|links?|area|"
+    r"container|wrapper|wrap|section|block|slot|unit|buttons?|icons?|posts?|articles?|stories|items?|form|body|widgets?|[0-9]+)"
+)
+BESIDE = re.compile(_WORDS, re.IGNORECASE)
+COMPOUND = re.compile(rf"(?:{_PLACES}[_-]+)*{_WORDS}(?:[_-]+(?:{_WORDS}|{_PLACES}))*", re.IGNORECASE)
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|"
     r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
@@ -46,14 +52,20 @@ _MARKUP = re.compile(
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
 
+def _beside(attributes: str) -> int:
+    """2 where a whole class, id or role names a block beside the main text, 1 where only a compound does, else 0."""
+    names = [name for found in _NAMES.findall(attributes) for name in "".join(found).split()]
+    return 2 if any(map(BESIDE.fullmatch, names)) else int(any(map(COMPOUND.fullmatch, names)))
+
+
 def text_lines(page: str) -> list[tuple[str, bool]]:
     """The lines outside dropped zones, and whether each lies in an article or main element."""
     lines: list[tuple[str, bool]] = []
     now: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, dropped, own
+    stack: list[tuple[str, int, bool]] = []  # element, dropped (1: by a compound name, which an article or main inside overrules), own
 
-    def state() -> tuple[bool, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, False)
+    def state() -> tuple[int, bool]:
+        return (stack[-1][1], stack[-1][2]) if stack else (0, False)
 
     def end_line() -> None:
         if now:
@@ -85,11 +97,15 @@ def text_lines(page: str) -> list[tuple[str, bool]]:
             stack.pop()
             dropped, own = state()
         if name in ("article", "main"):
+            if dropped == 1:
+                dropped = 0
+            if name == "article" and m.group(4):
+                dropped = max(dropped, 2 * bool(_beside(m.group(4))))
             own = True
         elif name in DROPPED or name == "header" and not own:
-            dropped = True
+            dropped = 2
         elif name not in ("html", "body") and m.group(4):
-            dropped = dropped or any(BESIDE.search("".join(filter(None, v))) for v in _NAMES.findall(m.group(4)))
+            dropped = max(dropped, _beside(m.group(4)))
         stack.append((name, dropped, own))
     if at < len(page) and not state()[0]:
         now.append(page[at:])
@@ -130,13 +146,11 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(lines: list[tuple[str, bool]], neighbour: list[tuple[str, bool]] | None) -> str:
-    """A page's text without the lines that it shares with its neighbour; its own article stays whole."""
-    own = [line for line, inside in lines if inside]
-    if own:
-        return " ".join(own)
-    texts = [line for line, _ in lines]
-    gone = shared_lines(texts, [line for line, _ in neighbour]) if neighbour else set()
-    return " ".join(line for i, line in enumerate(texts) if i not in gone)
+    """A page's text without the lines that it shares with its neighbour; lines of its own article stay in any case."""
+    loose = [i for i, (_, inside) in enumerate(lines) if not inside]
+    shared = shared_lines([lines[i][0] for i in loose], [line for line, _ in neighbour]) if neighbour else set()
+    gone = {loose[i] for i in shared}
+    return " ".join(line for i, (line, _) in enumerate(lines) if i not in gone)
 
 
 def extract_main_text(pages: DataFrame, partition_bytes: int = 32 << 20) -> DataFrame:
