@@ -248,6 +248,15 @@ def test_lines_beside_an_article_are_differenced(spark):
     assert [found[20 + i] for i in range(6)] == ["a b", "a b", "a", "a", "a", "a"]
 
 
+def test_neighbours_do_not_depend_on_the_dealing(spark):
+    loose = "<body><p>Welcome to {0}</p><p>{1}</p><p>Rights of {0}</p>"
+    rows = [(i, f"http://h{i // 2 % 7}.org/x/{i}", loose.format(i // 2 % 7, f"story {i}")) for i in range(60)] + [(None, None, "a"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for size in (100, 500, 1 << 20):
+        found = [(r["page_id"], r["text"]) for r in html_extract.extract_main_text(pages, size).collect()]
+        assert len(found) == 62 and sorted(f for f in found if f[0] is not None) == [(i, f"story {i}") for i in range(60)]
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     def longest(a, b):
         if not a or not b:

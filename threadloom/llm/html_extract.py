@@ -11,6 +11,7 @@ are aligned by longest common subsequence, and shared lines are deleted.
 from __future__ import annotations
 
 import html
+import math
 import os.path
 import re
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import block_count
+from threadloom.llm.common import block_count, materialize
 
 #: Elements without main text, whatever is in them.
 DROPPED = frozenset(
@@ -157,29 +158,51 @@ def extract_main_text(pages: DataFrame, partition_bytes: int = 32 << 20) -> Data
     """page_id, url, text and n_chars (code points) of every row of ``pages(page_id, url, html)``.
 
     Null or empty html gives an empty text. A null url counts as one of an empty host
-    and path. Pages are neighbours within their range of sorted URLs: a page that is
-    alone of its host there is not compared. A page and its exact copy share all
-    lines; their articles stay, loose lines go. Columns beyond the three are ignored.
+    and path. Pages are dealt by ranges of sorted URLs, each with a copy of the last
+    page before it and the first one behind it, so that the dealing changes no result.
+    A page that is alone of its host is not compared. A page and its exact copy share
+    all lines; their articles stay, loose lines go. Columns beyond the three are ignored.
     """
     id_type = pages.schema["page_id"].dataType.simpleString()
     read = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     address = F.coalesce(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?", ""), F.lit(""))
     host = F.lower(F.regexp_extract(address, r"^[^/?#:]*", 0))
     path = F.regexp_extract(address, r"^[^/?#]*([^#]*)", 1)
-    placed = read.withColumn("host", host).withColumn("path", path)
-    dealt = placed.repartitionByRange(block_count(read, "html", partition_bytes), "host", "path", "page_id")
+    order = ["host", "path", "page_id", "draw"]  # draw orders different pages of one URL and id
+    placed = read.withColumns({"host": host, "path": path, "draw": F.xxhash64("html")})
+    key = F.struct(*order)
+    ranges = placed.select(*order).repartitionByRange(block_count(read, "html", partition_bytes), *order).select(F.spark_partition_id().alias("range"), key.alias("key"))
+    ends = materialize(ranges.groupBy("range").agg(F.min("key").alias("first"), F.max("key").alias("last")).drop("range"), "ranges")
+    # a page's range is the number of first keys up to its own, looked up in two steps
+    count = max(1, ends.count())
+    step = math.isqrt(count - 1) + 1
+    firsts = ends.agg(F.array_sort(F.collect_list("first")).alias("firsts")).withColumn("every", F.expr(f"filter(firsts, (k, i) -> i % {step} = 0)"))
+    looked = placed.withColumn("key", key).join(F.broadcast(firsts))
+    looked = looked.withColumn("skipped", F.expr(f"(size(filter(every, k -> k <= key)) - 1) * {step}"))
+    looked = looked.withColumn("range", F.expr(f"skipped + size(filter(slice(firsts, skipped + 1, {step}), k -> k <= key)) - 1"))
+    columns = ["range", "page_id", "url", "html", *order[:2], "draw"]
+    sorted_ends = ends.agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ends")).select(F.posexplode("ends").alias("at", "end"))
+    beside = sorted_ends.select(F.explode(F.array(
+        F.struct((F.col("at") - 1).alias("range"), F.col("end.first").alias("key")), F.struct((F.col("at") + 1).alias("range"), F.col("end.last").alias("key"))
+    )).alias("c")).select(F.col("c.range").alias("range"), *[F.col(f"c.key.{k}").alias(f"_{k}") for k in order]).where((F.col("range") >= 0) & (F.col("range") < count))
+    same = [placed[k].eqNullSafe(F.col(f"_{k}")) for k in order]
+    lent = placed.join(F.broadcast(beside), same).select(*columns).dropDuplicates(["range", "draw", "host", "path", "page_id"])
+    dealt = looked.select(*columns, F.lit(False).alias("lent")).unionByName(lent.withColumn("lent", F.lit(True)))
+    dealt = dealt.repartitionById(count, F.col("range").cast("int"))
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                yield row.page_id, row.url, row.host, row.path, text_lines(row.html)
+                yield row.page_id, row.url, row.host, row.path, text_lines(row.html), row.range, row.lent
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         before, page = None, None
 
         def finish(after: tuple | None) -> None:
-            near = [p for p in (before, after) if p and p[2] == page[2]]
+            if page[6]:
+                return
+            near = [p for p in (before, after) if p and p[2] == page[2] and p[5] == page[5]]
             near.sort(key=lambda p: len(os.path.commonprefix([p[3], page[3]])), reverse=True)
             text = main_text(page[4], near[0][4] if near else None)
             out.append((page[0], page[1], text, len(text)))
@@ -196,5 +219,5 @@ def extract_main_text(pages: DataFrame, partition_bytes: int = 32 << 20) -> Data
         if out:
             yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"])
 
-    ordered = dealt.sortWithinPartitions("host", "path", "page_id")
+    ordered = dealt.sortWithinPartitions("range", *order)
     return ordered.mapInPandas(extract, f"page_id {id_type}, url string, text string, n_chars long")
