@@ -417,6 +417,25 @@ def test_languages_of_held_out_texts(spark):
     assert right / all_ > 0.98
 
 
+def test_languages_of_short_long_and_many_lettered_texts(spark):
+    rng = random.Random(4)
+
+    def words(letters, n, size):
+        return " ".join("".join(rng.choice(letters) for _ in range(size)) for _ in range(n))
+
+    han = [[chr(start + rng.randrange(2000)) * 2 + chr(start + rng.randrange(2000)) for _ in range(40)] for start in (0x4E00, 0x6E00, 0x20000)]
+    rows = []
+    for i in range(30):
+        rows += [(f"short{i}", words("abcde", 4, 5), "short"), (f"long{i}", words("uvwxy", 2000, 5), "long")]
+        rows += [(f"han{k}-{i}", "".join(rng.choice(texts) for _ in range(200)), f"han{k}") for k, texts in enumerate(han)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    samples = language_id.sample_by_language(docs, F.lit(True))
+    assert set(samples) == {"short", "long", "han0", "han1", "han2"} and max(map(len, samples.values())) <= language_id.SAMPLE_CHARS
+    assert len(samples["long"]) > 20_000 and len(samples["short"].split("\n")) == 30
+    found = language_id.identify_languages(docs, F.crc32("doc_id") % 3 > 0).join(docs, "doc_id").collect()
+    assert len(found) == 150 and all(r["lang_pred"] == r["lang"] for r in found)
+
+
 def test_reworded_passages_are_found(spark):
     rng = random.Random(6)
     item = prose(40, rng).split()

@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import pieces
 
-#: Characters of the text behind each language's automaton at most.
+#: Characters (at most four symbols each) and symbols of the text behind each language's automaton at most.
 SAMPLE_CHARS = 40_000
-#: Characters that are told apart; all others count as a space.
-SYMBOLS = 96
+#: Letters with a symbol of their own, a space among them. Any other letter is spelled out: a lead symbol and three digits of 5 bits.
+COMMON, LEADS, DIGITS = 96, 8, 32
+SYMBOLS = COMMON + LEADS + DIGITS
+SPELLED = 255
 #: Characters of a segment; a phrase ends with its segment.
 SEGMENT = 1024
 
@@ -66,29 +68,42 @@ def suffix_automaton(codes: np.ndarray, symbols: int) -> np.ndarray:
 class CrossParser:
     """The automata of all languages, side by side in one table."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], sample_symbols: int = SAMPLE_CHARS):
         self.languages = sorted(samples)
         texts = {k: _plain(samples[k]) for k in self.languages}
         counts: dict[str, int] = {}
         for text in texts.values():
             for c in text:
                 counts[c] = counts.get(c, 0) + 1
-        kept = sorted(counts, key=lambda c: (c != " ", -counts[c], c))[:SYMBOLS]
-        self.code = np.zeros(0x110000, np.uint8)  # a space has the code 0
-        for i, c in enumerate(kept):
+        kept = sorted(counts, key=lambda c: (c != " ", -counts[c], c))
+        kept = [" ", *(c for c in kept if c != " ")][:COMMON]
+        self.code = np.full(0x110000, SPELLED, np.uint8)
+        for i, c in enumerate(kept):  # a space has the code 0
             self.code[ord(c)] = i
         tables, self.roots, at = [], [], 0
-        for k in self.languages:
-            table = suffix_automaton(self.encode(texts[k]), SYMBOLS)
+        codes = [self.encode(texts[k])[:sample_symbols] for k in self.languages]
+        for text in codes:
+            table = suffix_automaton(text, SYMBOLS)
             tables.append(np.where(table >= 0, table + at, -1).astype(np.int32))
             self.roots.append(at)
             at += len(table)
         self.step = np.concatenate(tables) if tables else np.empty((0, SYMBOLS), np.int32)
         # fewer phrases are needed against a longer text, by the ratio of the logarithms
-        self.weight = np.log2(np.array([max(4, len(texts[k])) for k in self.languages]))
+        self.weight = np.log2(np.array([max(4, len(text)) for text in codes]))
 
     def encode(self, plain: str) -> np.ndarray:
-        return self.code[np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        letters = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = self.code[letters]
+        spelled = codes == SPELLED
+        if not spelled.any():
+            return codes
+        sizes = np.where(spelled, 4, 1)
+        out = np.repeat(codes, sizes)
+        first, rare = (np.cumsum(sizes) - sizes)[spelled], letters[spelled]
+        out[first] = COMMON + (rare >> 15)  # no letter is beyond 0x3FFFF
+        for i, shift in enumerate((10, 5, 0), 1):
+            out[first + i] = COMMON + LEADS + (rare >> shift & 31)
+        return out
 
     def phrases(self, plain: list[str]) -> np.ndarray:
         """Phrases of each text (rows) against each language (columns)."""
@@ -139,25 +154,26 @@ class CrossParser:
 
 
 def sample_by_language(docs: DataFrame, training: Column, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """For each language, whole training texts in the order of a hash, ``sample_chars`` together at most.
+    """For each language, training texts in the order of their hash, ``sample_chars`` together at most.
 
-    Only texts of up to a tenth of that are taken, so that several are; the documents
-    are drawn by id before their texts are read.
+    Texts of any length are drawn, each once however many copies it has. Of those
+    longer than a tenth of that, as much is taken at an offset given by the hash, so
+    that several are. Rows are thinned by hash first, so that few are left to order.
     """
-    read = docs.where(training).where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    drawn = read.select("doc_id", "lang", F.xxhash64("doc_id", "text").alias("draw"), F.length("text").alias("n"))
-    drawn = drawn.where(F.col("n").between(200, sample_chars // 10))
-    first = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(
-        F.col("place") <= sample_chars // 200
-    )
-    before = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chosen = first.withColumn("total", F.sum("n").over(before)).where(F.col("total") <= sample_chars).select("lang", "draw")
-    keyed = read.withColumn("draw", F.xxhash64("doc_id", "text"))
-    rows = keyed.join(chosen, ["lang", "draw"], "left_semi").orderBy("lang", "draw").select("lang", "text").collect()
+    most = max(1, sample_chars // 10)
+    read = docs.where(training).where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("draw"))
+    texts = read.select("lang", "draw", F.least(F.length("text"), F.lit(most)).alias("n")).where("n > 0").distinct()
+    # four times what is needed, so that a language without any is out of the question
+    shares = texts.groupBy("lang").agg((F.lit(4 * sample_chars) / F.sum("n")).alias("share"))
+    drawn = texts.join(shares, "lang").where(F.expr("pmod(xxhash64(draw), 1000000007) / 1000000007") < F.col("share"))
+    before = Window.partitionBy("lang").orderBy("draw", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = drawn.withColumn("total", F.sum("n").over(before)).where(F.col("total") <= sample_chars).select("lang", "draw")
+    offset = F.expr(f"1 + pmod(draw, greatest(length(text) - {most}, 0) + 1)").cast("int")
+    rows = read.join(F.broadcast(chosen), ["lang", "draw"], "left_semi").withColumn("text", F.substring("text", offset, F.lit(most)))
     samples: dict[str, list[str]] = {}
-    for row in rows:  # sample_chars for each language at most, repeated rows apart
+    for row in rows.distinct().orderBy("lang", "draw", "text").collect():
         samples.setdefault(row["lang"], []).append(row["text"])
-    return {lang: "\n".join(dict.fromkeys(texts))[:sample_chars] for lang, texts in samples.items()}
+    return {lang: "\n".join(found)[:sample_chars] for lang, found in samples.items()}
 
 
 def identify_languages(docs: DataFrame, training: Column, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
@@ -173,7 +189,7 @@ def identify_languages(docs: DataFrame, training: Column, sample_chars: int = SA
     samples = sample_by_language(docs, training, sample_chars)
 
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = CrossParser(samples)
+        parser = CrossParser(samples, sample_chars)
         for frame in frames:
             for part in pieces(frame, "text", 2 << 20):
                 languages, scores = parser.predict(part["text"].tolist())
