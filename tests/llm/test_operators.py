@@ -306,6 +306,14 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(pairs) / len(pairs) > 0.97
 
 
+def test_compression_measures_whole_texts():
+    clean = prose(20_000)
+    assert len(clean) > 65536
+    assert quality_classifier.measures(clean + " again and again" * 10_000)[-1] < 0.6 * quality_classifier.measures(clean)[-1]
+    cyrillic = clean.translate({ord(c): chr(0x430 + i) for i, c in enumerate("abcdefghij")})
+    assert quality_classifier.measures(cyrillic)[-1] == len(zlib.compress(cyrillic.encode(), 1)) / len(cyrillic.encode())
+
+
 # --- secrets and personal data -------------------------------------------------------
 
 

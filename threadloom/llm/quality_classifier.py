@@ -37,6 +37,7 @@ _UPPER, _DIGITS = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[0-9]")
 def measures(text: str | None) -> list[float]:
     """Numbers that describe a text's form; none depends on a word list or a language."""
     text = text or ""
+    raw = text.encode("utf-8", "surrogatepass")
     words, lines = text.split(), [line for line in text.split("\n") if line.strip()]
     n, chars = max(1, len(words)), max(1, len(text))
     counts = Counter(words)
@@ -57,7 +58,7 @@ def measures(text: str | None) -> list[float]:
         sum(a == b for a, b in zip(words[:-1], words[1:], strict=True)) / n,
         1 - len(set(lines)) / max(1, len(lines)),
         sum(w[0].isupper() for w in words) / n,
-        len(zlib.compress(text.encode("utf-8", "surrogatepass")[:65536], 1)) / min(65536, chars),
+        len(zlib.compress(raw, 1)) / max(1, len(raw)),
     ]
 
 
