@@ -138,9 +138,9 @@ def plain_context_tree(training, text, depth):
 
 @pytest.mark.parametrize("depth", [2, 4])
 def test_context_tree_equals_its_definition(spark, depth):
-    texts = ["abracadabra", "Abra abra kad", "banana band", "xyzzy", "", "abra banana"]
+    texts = ["abracadabra", "Abra abra kad", "banana band", "xyzzy", "", "abra banana", "band  abra\tkad banana xyz "]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in lm_scoring.context_tree_scores(docs, F.col("doc_id") < 3, depth, block_bytes=20).collect()}
+    rows = {r["doc_id"]: r for r in lm_scoring.context_tree_scores(docs, F.col("doc_id") < 3, depth, block_bytes=20, piece_bytes=5).collect()}
     training = [t.lower().encode() for t in texts[:3]]
     counts = Counter(w for t in training for w in [*t.split(), b""])
     n, v = sum(counts.values()), len(counts)

@@ -10,33 +10,41 @@ weighted probability
 are those of the training texts. A decision's probability mixes the estimates of
 the nodes along its context with the weights that Pe and Pw imply.
 
-Everything is counted from (depth + 1)-byte grams. Texts are dealt to blocks of
-bounded size; a block sends its distinct grams, the tree is built by grouping the
-grams by the nearest bytes of their contexts, and each block gets back the log-probabilities of its own grams.
+Everything is counted from (depth + 1)-byte grams. Texts fall into pieces and blocks of
+bounded size where they lie; a block sends its distinct grams, the tree is built by
+grouping the grams by the nearest bytes of their contexts, and each block's pieces are
+read again behind the log-probabilities of the block's grams, as one sorted stream.
 So no worker and no driver ever holds the whole model.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import block_count, lower_words, materialize
+from threadloom.llm.common import block_count, flags, materialize, word_hashes
 
 #: Stands before the first byte and behind the last; never part of UTF-8.
 EDGE = 0xFF
 #: Length of the contexts whose subtrees lie whole in a partition.
 ROOT_BYTES = 3
-#: Stands in for the gram in a word's row.
-NO_GRAM = -1
-#: Bytes whose grams are worked on at once.
-CHUNK = 1 << 20
+#: Stands for the hash of the end, which is a token without bytes.
+NO_WORD = -1
+#: Bytes of a piece of a text, and of pieces whose grams are worked on at once; rows of a batch that leaves a worker.
+CHUNK, OUT_ROWS = 1 << 19, 50_000
+PIECE = ["block", "row", "doc_id", "training", "piece", "last"]
+SCORED = ["row", "doc_id", "training", "natural", "n_tokens", "n_known", "base_score", "n_bytes"]
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_SEPARATORS = flags(b"\x20\x09\x0A\x0B\x0C\x0D" + bytes([EDGE]))
 
 
 def _log_gamma(x: Column) -> Column:
@@ -176,29 +184,79 @@ def gram_log_probabilities(grams: DataFrame, depth: int) -> DataFrame:
     return both.repartition("root").sortWithinPartitions("root").mapInPandas(downward, "gram long, ln_p double")
 
 
-def _grams(texts: list[bytes], depth: int) -> np.ndarray:
-    """The grams of texts, one for each byte and one for each text's end, text after text."""
-    edge = bytes([EDGE])
-    joined = np.frombuffer(b"".join([edge * depth + t + edge for t in texts]), np.uint8).astype(np.int64)
-    n = len(joined) - depth
+def _grams(data: np.ndarray, depth: int) -> np.ndarray:
+    """The grams that lie in these bytes, one for each byte but the first ``depth``."""
+    n = len(data) - depth
     keys = np.zeros(n, np.int64)
     for i in range(depth + 1):
         keys <<= 8
-        keys |= joined[i : i + n]
-    if len(texts) == 1:
-        return keys
-    keep = np.ones(n, dtype=bool)
-    ends = np.cumsum([len(t) + 1 + depth for t in texts])[:-1]
-    for i in range(depth):
-        keep[ends - depth + i] = False
-    return keys[keep]
-
-
-def _parts(texts: list[bytes]) -> list[slice]:
-    ends = np.cumsum([len(t) for t in texts])
-    cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) + 1, CHUNK), side="left")).tolist()
-    cuts = sorted({0, *cuts, len(texts)})
-    return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        keys |= data[i : i + n]
+    return keys
+
+
+class _Stretch:
+    """Consecutive pieces of a batch: their bytes, one after another, without copying them."""
+
+    def __init__(self, pieces: pa.BinaryArray, last: np.ndarray, depth: int):
+        _, offsets, data = pieces.buffers()
+        ends = np.frombuffer(offsets, np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+        self.data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+        self.starts, self.ends, self.last, self.depth = ends[:-1] - ends[0], ends[1:] - ends[0], last, depth
+
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Grams, and the numbers of their pieces, ``CHUNK`` bytes at a time."""
+        for at in range(0, len(self.data) - self.depth, CHUNK):
+            part = self.data[at : at + CHUNK + self.depth]
+            stop = at + len(part) - self.depth
+            first, final = np.searchsorted(self.ends, [at, stop - 1], side="right")
+            sizes = np.diff(np.minimum(self.ends[first : final + 1], stop), prepend=at)
+            piece = np.repeat(np.arange(first, final + 1, dtype=np.int32), sizes)
+            # the context must lie in the same piece as the byte behind it
+            whole = np.arange(at + self.depth, at + len(part)) < self.ends[piece]
+            yield _grams(part, self.depth)[whole], piece[whole]
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and hashes of words, and the numbers of their pieces; contexts have none."""
+        data = self.data.copy()
+        for i in range(self.depth):
+            data[self.starts + i] = EDGE
+        starts, ends, hashes = word_hashes(data, _SEPARATORS)
+        return starts, ends, hashes.view(np.int64), np.searchsorted(self.ends, starts, side="right")
+
+
+def _stretches(batch: pa.RecordBatch, first: int, stop: int, depth: int) -> Iterator[tuple[int, int, _Stretch]]:
+    """Rows ``first`` to ``stop`` of a batch in stretches of about ``CHUNK`` bytes."""
+    sizes = np.cumsum(pc.binary_length(batch.column("piece").slice(first, stop - first)).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(sizes // CHUNK, prepend=-1)).tolist() + [stop - first]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        last = batch.column("last").slice(first + a, b - a).to_numpy(zero_copy_only=False).astype(bool)
+        yield first + a, first + b, _Stretch(batch.column("piece").slice(first + a, b - a), last, depth)
+
+
+def _runs_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int]]:
+    """Blocks of a batch, each with its first row and the one behind it."""
+    blocks = batch.column("block").to_numpy()
+    cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield int(blocks[a]), a, b
+
+
+def _split(text: bytes, depth: int, size: int) -> Iterator[tuple[bytes, bool]]:
+    """Pieces of about ``size`` bytes that end before white space, each behind ``depth`` bytes of context; whether it is the last.
+
+    The last piece ends with the edge. A word is never cut, however long.
+    """
+    edge = bytes([EDGE])
+    start = 0
+    while True:
+        space = _SPACE.search(text, start + size) if len(text) - start > size else None
+        stop = space.start() if space else len(text)
+        context = text[max(0, start - depth) : start]
+        yield edge * (depth - len(context)) + context + text[start:stop] + (b"" if space else edge), space is None
+        if space is None:
+            return
+        start = stop
 
 
 def _sum_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,11 +267,102 @@ def _sum_by(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.add.reduceat(n[order], starts)
 
 
-def _lowered(texts: pd.Series) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+class _Counts:
+    """Grams and words of one block, with their counts in training texts; words are told by hashes."""
+
+    def __init__(self, block: int):
+        self.block = block
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words: list[tuple[np.ndarray, np.ndarray]] = []
+        self.spelled: list[tuple[np.ndarray, pa.Array]] = []
+
+    def add(self, stretch: _Stretch, training: np.ndarray) -> None:
+        for grams, piece in stretch.grams():
+            distinct, n = np.unique((grams << 1) | training[piece], return_counts=True)
+            self.grams.append(_sum_by(distinct >> 1, n * (distinct & 1)))
+        starts, ends, hashes, piece = stretch.words()
+        distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        self.words.append((distinct, np.bincount(of, weights=training[piece], minlength=len(distinct)).astype(np.int64)))
+        known = self.spelled[0][0] if self.spelled else np.empty(0, np.int64)
+        new = ~np.isin(distinct, known, assume_unique=True)
+        self.spelled.append((distinct[new], pa.array([stretch.data[a:b].tobytes() for a, b in zip(starts[first[new]], ends[first[new]], strict=True)], pa.binary())))
+        self.words.append((np.array([NO_WORD]), np.array([int((training & stretch.last).sum())])))
+        if len(self.grams) >= 6:
+            self._merge()
+
+    def _merge(self) -> None:
+        self.grams = [_sum_by(*map(np.concatenate, zip(*self.grams, strict=True)))]
+        self.words = [_sum_by(*map(np.concatenate, zip(*self.words, strict=True)))]
+        hashes, first = np.unique(np.concatenate([h for h, _ in self.spelled]), return_index=True)
+        self.spelled = [(hashes, pa.concat_arrays([w for _, w in self.spelled]).take(pa.array(first)))]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        self._merge()
+        (keys, n), (words, times), (hashes, spelled) = self.grams[0], self.words[0], self.spelled[0]
+        place = np.searchsorted(hashes, words)
+        known = (place < len(hashes)) & (hashes[np.minimum(place, len(hashes) - 1)] == words) if len(hashes) else np.zeros(len(words), bool)
+        spelled = spelled.take(pa.array(np.where(known, place, 0), mask=~known)).fill_null(b"")
+        for key, word, count in ((keys, None, n), (words, spelled, times)):
+            for at in range(0, len(key), OUT_ROWS):
+                size = min(OUT_ROWS, len(key) - at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, self.block)), pa.array(key[at : at + size]), pa.nulls(size, pa.binary()) if word is None else word.slice(at, size), pa.array(count[at : at + size])],
+                    ["block", "gram", "word", "n"],
+                )
+
+
+class _Table:
+    """Numbers by 64-bit key; a key that wasn't added has the number ``other``."""
+
+    def __init__(self, other: float) -> None:
+        self.other = other
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.index: pd.Index | None = None
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.parts.append((keys, values))
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        if self.index is None:
+            keys_of, values_of = zip((np.empty(0, np.int64), np.empty(0, np.float32)), *self.parts, strict=True)
+            known, first = np.unique(np.concatenate(keys_of), return_index=True)
+            self.values = np.concatenate(values_of)[first]
+            self.index, self.parts = pd.Index(known), []
+        at = self.index.get_indexer(keys)
+        return np.where(at < 0, self.other, self.values[at]) if len(self.values) else np.full(len(keys), self.other)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of block, is_word, key and value, many of a block in one row."""
+    waiting: list[pa.RecordBatch] = []
+
+    def pack() -> pa.RecordBatch:
+        table = pa.Table.from_batches(waiting)
+        block, is_word, key, value = (table.column(c).to_numpy() for c in ("block", "is_word", "key", "value"))
+        group = block * 2 + is_word.astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order], prepend=-1)).tolist() + [len(order)]
+        parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(block[p[0]]) for p in parts], pa.int64()),
+                pa.array([bool(is_word[p[0]]) for p in parts]),
+                pa.array([key[p].tobytes() for p in parts], pa.binary()),
+                pa.array([value[p].tobytes() for p in parts], pa.binary()),
+            ],
+            ["block", "is_word", "keys", "values"],
+        )
+
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= 10 * OUT_ROWS:
+            yield pack()
+            waiting = []
+    if any(b.num_rows for b in waiting):
+        yield pack()
 
 
-def context_tree_scores(docs: DataFrame, training: Column, depth: int = 5, block_bytes: int = 24 << 20) -> DataFrame:
+def context_tree_scores(docs: DataFrame, training: Column, depth: int = 5, block_bytes: int = 64 << 20, piece_bytes: int = CHUNK) -> DataFrame:
     """Score every text by the context tree learned from the rows where ``training`` holds.
 
     ``depth`` is 6 at most, so that a gram fits a long.
@@ -228,78 +377,97 @@ def context_tree_scores(docs: DataFrame, training: Column, depth: int = 5, block
 
     A null text counts as empty: it has one token, the end. A null ``training`` is
     false. Without training rows every estimate is 1/2 and every count 0. Repeated
-    rows are learned from and scored once each.
+    rows are learned from and scored once each. Long texts fall into pieces of about
+    ``piece_bytes`` with the context before them, so that no task holds more than a
+    block's distinct grams and words and a batch of pieces.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("training"))
     blocks = block_count(read, "text", block_bytes)
-    dealt = read.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        texts, training = _lowered(frame["text"]), frame["training"].to_numpy(bool)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for part in _parts(texts):
-            keys = _grams(texts[part], depth)
-            marks = np.repeat(training[part], [len(t) + 1 for t in texts[part]])
-            distinct, n = np.unique((keys << 1) | marks, return_counts=True)
-            found.append(_sum_by(distinct >> 1, n * (distinct & 1)))
-            if len(found) == 6:
-                found = [_sum_by(*map(np.concatenate, zip(*found, strict=True)))]
-        grams, n_gram = _sum_by(*map(np.concatenate, zip(*found, strict=True)))
-        words: dict[bytes, int] = {b"": int(training.sum())}
-        get = words.get
-        for text, learned in zip(texts, training, strict=True):
-            if learned:
-                for w in text.split():
-                    words[w] = get(w, 0) + 1
-            else:
-                for w in text.split():
-                    words.setdefault(w, 0)
-        block = int(frame["block"].iloc[0])
-        return pd.concat([
-            pd.DataFrame({"block": block, "gram": grams, "word": None, "n": n_gram}),
-            pd.DataFrame({"block": block, "gram": NO_GRAM, "word": list(words), "n": list(words.values())}),
-        ])
-
-    counted = dealt.groupBy("block").applyInPandas(count, "block long, gram long, word binary, n long")
-    counted = materialize(counted, "counted")
+    read = read.coalesce(blocks).withColumn("row", F.monotonically_increasing_id())
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        first, total = TaskContext.get().partitionId() << 24, 0
+        for frame in frames:
+            out, size = [], 0
+            for row, doc, text, marked in zip(frame["row"], frame["doc_id"], frame["text"], frame["training"], strict=True):
+                lowered = text.encode("utf-8", "surrogatepass").lower() if text else b""
+                for piece, last in _split(lowered, depth, piece_bytes):
+                    out.append((first + total // block_bytes, row, doc, marked, piece, last))
+                    total, size = total + len(piece), size + len(piece)
+                    if size >= 4 * CHUNK:
+                        yield pd.DataFrame(out, columns=PIECE)
+                        out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=PIECE)
+
+    pieces = materialize(read.mapInPandas(cut, f"block long, row long, doc_id {id_type}, training boolean, piece binary, last boolean"), "pieces", "zstd")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: _Counts | None = None
+        for batch in batches:
+            training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)
+            for block, first, stop in _runs_of(batch):
+                if now and now.block != block:
+                    yield from now.rows()
+                    now = None
+                now = now or _Counts(block)
+                for a, b, stretch in _stretches(batch, first, stop, depth):
+                    now.add(stretch, training[a:b])
+        if now:
+            yield from now.rows()
+
+    counted = pieces.select("block", "training", "piece", "last").mapInArrow(count, "block long, gram long, word binary, n long")
+    counted = materialize(counted, "counted", "zstd")
     grams = counted.where(F.col("word").isNull()).select("block", "gram", "n")
-    words = counted.where(F.col("word").isNotNull()).select("block", "word", "n")
+    words = counted.where(F.col("word").isNotNull()).select("block", F.col("gram").alias("hash"), "word", "n")
     ln_p = gram_log_probabilities(materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams"), depth)
-    totals = materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    totals = materialize(words.groupBy("word").agg(F.first("hash").alias("hash"), F.sum("n").alias("n")), "words")
     all_tokens, distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    answers = grams.join(ln_p, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), F.col("ln_p").alias("value")).union(
-        words.select("block", "word").join(totals, "word").select("block", F.lit(NO_GRAM).cast("long"), "word", F.col("n").cast("double"))
+    answers = grams.join(ln_p, "gram").select("block", F.lit(False).alias("is_word"), F.col("gram").alias("key"), F.col("ln_p").cast("float").alias("value")).union(
+        # most words were learned once: a block isn't told these
+        words.select("block", "hash").join(totals.where("n <> 1"), "hash").select("block", F.lit(True), "hash", F.col("n").cast("float"))
     )
-    columns = ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
-
-    def score(frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        if not len(frame):
-            return pd.DataFrame(columns=columns)
-        of_words = answers["word"].notna().to_numpy()
-        values = answers["value"].to_numpy()
-        times = dict(zip(answers["word"].to_numpy()[of_words], values[of_words], strict=True))
-        index, ln = pd.Index(answers["gram"].to_numpy()[~of_words]), values[~of_words]
-        texts = _lowered(frame["text"])
-        scores = []
-        for part in _parts(texts):
-            sums = np.concatenate([[0.0], np.cumsum(ln[index.get_indexer(_grams(texts[part], depth))])])
-            ends = np.cumsum([len(t) + 1 for t in texts[part]])
-            scores.append(np.diff(sums[np.concatenate([[0], ends])]))
-        natural = np.concatenate(scores)
-        rest = math.log10(all_tokens + 0.5 * (distinct + 1))
-        tokens, known, base = [], [], []
-        for text in texts:
-            found = np.fromiter(map(times.__getitem__, [*text.split(), b""]), float)
-            tokens.append(len(found))
-            known.append(int((found > 0).sum()))
-            base.append(float(np.log10(found + 0.5).sum() - len(found) * rest))
-        sizes = np.array([len(t) for t in texts])
-        bits = -natural / math.log(2)
-        return pd.DataFrame({
-            "doc_id": frame["doc_id"].to_numpy(), "training": frame["training"].to_numpy(), "n_tokens": tokens, "n_known": known,
-            "train_tokens": all_tokens, "base_score": base, "score": natural / math.log(10), "n_bytes": sizes, "bits_per_byte": bits / np.maximum(sizes, 1),
-        })
-
-    schema = f"doc_id {id_type}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema)
+    # a block's answers come first, its pieces after them
+    both = answers.mapInArrow(_packed, "block long, is_word boolean, keys binary, values binary").unionByName(pieces, allowMissingColumns=True)
+    both = both.repartition(4 * blocks, "block").withColumn("is_piece", F.col("piece").isNotNull()).sortWithinPartitions("block", "is_piece")
+    rest = math.log10(all_tokens + 0.5 * (distinct + 1))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ln_p, times = None, _Table(math.nan), _Table(1.0)
+        for batch in batches:
+            for block, first, stop in _runs_of(batch):
+                if block != now:
+                    now, ln_p, times = block, _Table(math.nan), _Table(1.0)
+                middle = stop - int(batch.column("is_piece").slice(first, stop - first).to_numpy(zero_copy_only=False).sum())
+                if middle > first:
+                    told = batch.slice(first, middle - first)
+                    for is_word, keys, values in zip(*(told.column(c).to_pylist() for c in ("is_word", "keys", "values")), strict=True):
+                        (times if is_word else ln_p).add(np.frombuffer(keys, np.int64), np.frombuffer(values, np.float32))
+                for a, b, stretch in _stretches(batch, middle, stop, depth):
+                    yield scored(batch.slice(a, b - a), stretch, ln_p, times)
+
+    def scored(rows: pa.RecordBatch, stretch: _Stretch, ln_p: _Table, times: _Table) -> pa.RecordBatch:
+        n = rows.num_rows
+        natural = np.zeros(n)
+        for grams, piece in stretch.grams():
+            natural += np.bincount(piece, weights=ln_p.get(grams), minlength=n)
+        _, _, hashes, piece = stretch.words()
+        # each text's end is a token of its own
+        piece = np.concatenate([piece, np.flatnonzero(stretch.last)])
+        found = times.get(np.concatenate([hashes, np.full(int(stretch.last.sum()), NO_WORD)]))
+        tokens = np.bincount(piece, minlength=n)
+        known = np.bincount(piece, weights=found > 0, minlength=n).astype(np.int64)
+        base = np.bincount(piece, weights=np.log10(found + 0.5), minlength=n) - tokens * rest
+        sizes = stretch.ends - stretch.starts - depth - stretch.last
+        own = [rows.column(c) for c in ("row", "doc_id", "training")]
+        return pa.RecordBatch.from_arrays([*own, *map(pa.array, (natural, tokens, known, base, sizes))], SCORED)
+
+    schema = f"row long, doc_id {id_type}, training boolean, natural double, n_tokens long, n_known long, base_score double, n_bytes long"
+    whole = both.mapInArrow(score, schema).groupBy("row", "doc_id", "training").agg(*[F.sum(c).alias(c) for c in SCORED[3:]])
+    return whole.select(
+        "doc_id", "training", "n_tokens", "n_known", F.lit(all_tokens).cast("long").alias("train_tokens"), "base_score",
+        (F.col("natural") / math.log(10)).alias("score"), "n_bytes", (-F.col("natural") / math.log(2) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+    )
