@@ -1,16 +1,16 @@
 """Benchmark passages in documents, also reworded ones, by latent semantic retrieval.
 
-1. Documents fall into overlapping windows of words. One pass counts, for hashed
-   words, in how many windows they occur, and applies the windows' Gram matrix to a
-   random matrix: one step of a randomised singular value decomposition. As the
-   random matrix is divided by the inverse document frequencies, which the same pass
-   counts, the step is that of the TF-IDF matrix.
-2. The orthonormal basis of the result spans the latent space. Benchmark items are
-   projected into it as wholes, windows from running sums of projected words.
+1. Documents fall into passages of 16 words. One pass sketches the passages' TF-IDF
+   matrix from the left: each passage is added, with a random sign, to one of a few
+   rows. The words' document frequencies come from the same pass, and since they
+   scale columns only, they are applied to the sketch afterwards. The right singular
+   vectors of the sketch approximate those of the matrix.
+2. A word's place in latent space is its direction there, weighted by its inverse
+   document frequency. Benchmark items and the documents' windows are sums of places.
 3. Windows whose cosine with an item is high are candidates. For each, the document's
    words around it are aligned with the item's by longest common subsequence; the
-   item counts as found if enough of it is there, and its rarest words (the answer)
-   are among them.
+   item counts as found if enough of it is there, and some of its rarest words (the
+   answer) are among them.
 """
 
 from __future__ import annotations
@@ -23,125 +23,95 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import materialize, pieces
-
-#: Hashed words, latent dimensions and extra ones for the randomised decomposition.
-BUCKETS, RANK, EXTRA = 1 << 15, 24, 8
-#: Words of a window and between the starts of two.
-WINDOW, STEP = 16, 4
-#: Above a word's bucket stands its number among the answer words, if it is one.
-SHIFT = 16
-#: A word in more windows than this share is too common for an answer.
-COMMON = 0.005
-#: Items, and words of them all, that a task may hold; larger benchmarks go in parts.
-PART_ITEMS = 2000
-
-_WORDS = re.compile(r"\w+")
-
-
-def plain_words(text: str | None) -> list[str]:
-    """The letter and digit runs of a text in lower case."""
-    return _WORDS.findall(text.lower()) if text else []
-
-
-class _Buckets(dict):
-    """Hash buckets of words, computed once each, and above them the numbers (from 1) that some words have."""
-
-    def __init__(self, numbers: dict[str, int] | None = None):
-        super().__init__()
-        self.numbers = numbers or {}
-
-    def __missing__(self, word: str) -> int:
-        import zlib
-
-        if len(self) >= 400_000:
-            self.clear()
-        bucket = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
-        value = self[word] = bucket | self.numbers.get(word, 0) << SHIFT
-        return value
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-
-
-def _starts(n: int) -> np.ndarray:
-    """Where a text's windows begin; the last one ends with the text."""
-    if n <= WINDOW:
-        return np.zeros(1, np.int64)
-    return np.append(np.arange(0, n - WINDOW, STEP), n - WINDOW)
-
-
-def _random() -> np.ndarray:
-    return np.random.default_rng(161803).standard_normal((BUCKETS, RANK + EXTRA)).astype(np.float32)
-
-
-def latent_basis(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Inverse document frequencies of the buckets, and for each bucket its place in latent space.
-
-    Both have a fixed size whatever the corpus. Non-overlapping windows of all
-    documents are counted; tasks send sums by bucket, which Spark adds up.
+from threadloom.llm.common import common_positions, flags, materialize, pieces, word_hashes
+
+#: Hashed words, latent dimensions and rows of the sketch.
+BUCKETS, RANK, SKETCH = 1 << 15, 48, 64
+#: Leading directions, which tell languages apart and not passages, are left out.
+LEADING = 16
+#: Words of a passage, words between the starts of two windows, and windows' lengths in such steps.
+PASSAGE, STEP, SPANS = 16, 8, (2, 4)
+#: Cells of an item's word filter.
+CELLS = 1024
+#: Items that a task holds at most; a larger benchmark goes in parts of this size.
+PART_ITEMS = 50_000
+#: Cosines that are computed at once.
+AT_ONCE = 1 << 21
+
+#: Marks beyond ASCII that separate words; ASCII separators are all but letters, digits and the underscore.
+_MARKS = re.compile("[\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]")
+_SEPARATORS = flags(bytes(c for c in range(128) if not (chr(c).isalnum() or c == 0x5F)))
+
+
+def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words in lower case, and where each text's begin; the last entry is their number."""
+    parts = []
+    for text in texts:
+        text = (text or "").lower()
+        parts.append((text if text.isascii() else _MARKS.sub(" ", text)).encode("utf-8", "surrogatepass"))
+    starts, _, hashes = word_hashes(np.frombuffer(b"\n".join(parts), np.uint8), _SEPARATORS)
+    return hashes, np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)]))
+
+
+def _laid_out(hashes: np.ndarray, first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words, each text filled up to a multiple of ``step`` with ``BUCKETS``; and each text's first step."""
+    steps = np.concatenate([[0], np.cumsum(-(-np.diff(first) // step))])
+    slots = np.arange(len(hashes)) + np.repeat(steps[:-1] * step - first[:-1], np.diff(first))
+    laid = np.full(int(steps[-1]) * step, BUCKETS, np.int32)
+    laid[slots] = (hashes & np.uint64(BUCKETS - 1)).astype(np.int32)
+    return laid.reshape(-1, step), steps
+
+
+def latent_space(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse document frequencies of the buckets, and their places in latent space (a last row stands for no word).
+
+    Both have a fixed size whatever the corpus. Tasks send sums by bucket, which
+    Spark adds up.
     """
-    width = RANK + EXTRA
 
-    def gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets, random = _Buckets(), _random()
-        seen, image, windows = np.zeros(BUCKETS), np.zeros((BUCKETS, width), np.float32), 0
+    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng([161803, TaskContext.get().partitionId()])
+        seen, sums, passages = np.zeros(BUCKETS + 1), np.zeros((BUCKETS + 1) * SKETCH, np.float32), 0
         for frame in frames:
             for part in pieces(frame, "text", 1 << 20):
-                found = [buckets.of(plain_words(t)) for t in part["text"]]
-                sizes = np.array([-(-len(f) // WINDOW) for f in found])
-                first = np.cumsum(sizes) - sizes
-                words = np.concatenate(found) if found else np.empty(0, np.int32)
-                if not len(words):
+                laid, _ = _laid_out(*_words(part["text"].tolist()), PASSAGE)
+                if not len(laid):
                     continue
-                of = np.concatenate([at + np.arange(len(f)) // WINDOW for at, f in zip(first, found, strict=True)])
-                cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                sums = np.add.reduceat(random[words], cuts, axis=0)
-                order = np.argsort(words.astype(np.uint16), kind="stable")
-                by_word, of = words[order], of[order]
-                other = np.concatenate([[True], by_word[1:] != by_word[:-1]])
-                edges = np.flatnonzero(other)
-                image[by_word[edges]] += np.add.reduceat(sums[of], edges, axis=0)
-                # a word's windows stand in order, so that repeats in one window are neighbours
-                other[1:] |= of[1:] != of[:-1]
-                seen += np.bincount(by_word[other], minlength=BUCKETS)
-                windows += len(cuts)
-        yield pd.DataFrame({"bucket": np.arange(-1, BUCKETS), "seen": [windows, *seen], "image": [np.zeros(width, np.float32), *image]})
-
-    sums = [F.sum(F.col("image")[i]).alias(f"x{i}") for i in range(width)]
-    rows = docs.select("text").mapInPandas(gram, "bucket long, seen double, image array<float>")
+                laid.sort(axis=1)
+                once = np.ones(laid.shape, dtype=bool)
+                once[:, 1:] = laid[:, 1:] != laid[:, :-1]
+                seen += np.bincount(laid[once], minlength=BUCKETS + 1)
+                passages += len(laid)
+                sign = rng.integers(0, 2, len(laid)) * 2.0 - 1
+                cell = laid.astype(np.int64) * SKETCH + rng.integers(0, SKETCH, len(laid))[:, None]
+                sums += np.bincount(cell.ravel(), weights=np.repeat(sign, PASSAGE), minlength=len(sums)).astype(np.float32)
+        used = np.flatnonzero(seen[:BUCKETS])
+        rows = sums.reshape(-1, SKETCH)[used]
+        yield pd.DataFrame({"bucket": np.append(used, -1), "seen": np.append(seen[used], passages), "row": [*rows, np.zeros(SKETCH, np.float32)]})
+
+    sums = [F.sum(F.col("row")[i]).cast("float").alias(f"x{i}") for i in range(SKETCH)]
+    rows = docs.select("text").mapInPandas(sketch, "bucket long, seen double, row array<float>")
     table = rows.groupBy("bucket").agg(F.sum("seen").alias("seen"), *sums).toPandas()  # BUCKETS + 1 rows at most
-    seen, image = np.zeros(BUCKETS + 1), np.zeros((BUCKETS + 1, width))
+    seen, image = np.zeros(BUCKETS + 1), np.zeros((BUCKETS + 1, SKETCH))
     seen[table["bucket"] + 1] = table["seen"]
     image[table["bucket"] + 1] = table.iloc[:, 2:].to_numpy()
     idf = np.log((1 + seen[0]) / (1 + seen[1:])) + 1
-    basis, _ = np.linalg.qr(image[1:] * idf[:, None])
-    # a word's TF-IDF weight, and the squared weight again, so that rare words tell windows apart
-    return idf.astype(np.float32), (basis[:, :RANK] * idf[:, None] ** 3).astype(np.float32)
-
-
-def common_subsequence(item: list[str], words: list[str]) -> list[int]:
-    """Positions in ``words`` of a longest common subsequence with ``item``."""
-    table = np.zeros((len(item) + 1, len(words) + 1), np.int32)
-    codes: dict[str, int] = {}
-    a = np.array([codes.setdefault(w, len(codes)) for w in item])
-    b = np.array([codes.setdefault(w, len(codes)) for w in words])
-    for i in range(1, len(a) + 1):
-        table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, 1:], np.where(b == a[i - 1], table[i - 1, :-1] + 1, 0)))
-    at, i, j = [], len(a), len(b)
-    while i and j:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
-        else:
-            at.append(j - 1)
-            i, j = i - 1, j - 1
-    return at[::-1]
+    place = np.linalg.svd(image[1:] * idf[:, None], full_matrices=False)[0][:, LEADING : LEADING + RANK]
+    # buckets that no passage holds get directions of their own
+    rest = np.random.default_rng(271828).standard_normal((BUCKETS, RANK))
+    place = np.where(np.linalg.norm(place, axis=1, keepdims=True) > 1e-12, place, rest)
+    place *= (idf / np.linalg.norm(place, axis=1))[:, None]
+    return idf, np.vstack([place, np.zeros(RANK)]).astype(np.float32)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def benchmark_leaks(
-    docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.4, min_overlap: float = 0.6, answer_words: int = 8, min_answer: float = 0.5
+    docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.4, min_overlap: float = 0.6, answer_words: int = 8, min_answer: float = 0.25
 ) -> DataFrame:
     """Documents that hold a benchmark item or most of it, in its words' order.
 
@@ -151,115 +121,116 @@ def benchmark_leaks(
     answer_overlap (share of its ``answer_words`` rarest words among them), start and
     length (in words of the document).
 
-    Answer words are rare; an item without enough rare words has its rarest three. A
-    leak needs ``min_answer`` of them within twice the item's length, so windows are
-    projected and compared with an item only where as many of its answer words are near.
+    Every window of every document is compared with every item by cosine; a leak needs
+    ``min_overlap`` of the item's words in order and ``min_answer`` of its answer words.
 
     Null or blank texts on either side match nothing. Equal items are all reported,
-    repeated documents each. The benchmark is worked through in parts of about
-    ``PART_ITEMS`` items, each of which tasks hold whole.
+    repeated documents each. Tasks hold the benchmark's words: a benchmark of more
+    than ``PART_ITEMS`` items is worked through in parts, each a pass over the documents.
     """
     docs = docs.select("doc_id", "text")
     id_type, item_type = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
     schema = f"doc_id {id_type}, item_id {item_type}, cosine double, overlap double, answer_overlap double, start long, length long"
-    idf, place = latent_basis(docs)
+    idf, place = latent_space(docs)
     read = benchmark.select("item_id", "text").where("text is not null")
-    parts = -(-read.count() // PART_ITEMS)
+    parts = max(1, -(-read.count() // PART_ITEMS))
     found: DataFrame | None = None
-    for k in range(max(1, parts)):
-        rows = read.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, parts))) == k).collect()
-        items = [(r["item_id"], w) for r in rows if (w := plain_words(r["text"]))]
-        hits = docs.mapInPandas(_search(items, idf, place, min_cosine, min_overlap, answer_words, min_answer), schema)
+    for k in range(parts):
+        rows = read.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
+        search = _Search([(r["item_id"], r["text"]) for r in rows], idf, place, min_cosine, min_overlap, answer_words, min_answer)
+        hits = docs.mapInPandas(search, schema)
         found = hits if found is None else found.union(hits)
     return found
 
 
-def _search(items, idf, place, min_cosine, min_overlap, answer_words, min_answer):
-    plain = _Buckets()
-    rare = 1 - np.log(COMMON)  # the idf at that share of windows
-    numbers: dict[str, int] = {}
-    answers, probes = [], []
-    for _, words in items:
-        ordered = sorted(set(words), key=lambda w: (-idf[plain[w]], w))
-        answers.append(frozenset(w for i, w in enumerate(ordered[:answer_words]) if i < 3 or idf[plain[w]] >= rare))
-        for w in answers[-1]:
-            numbers.setdefault(w, len(numbers) + 1)
-        # an item longer than a window is looked for by its windows
-        own = place[plain.of(words)]
-        probe = np.array([own[start : start + WINDOW].sum(axis=0) for start in _starts(len(words))])
-        probes.append(probe / np.maximum(np.linalg.norm(probe, axis=1, keepdims=True), 1e-12))
-    sizes = np.array([len(words) for _, words in items])
-    needed = np.array([int(np.ceil(min_answer * len(a))) for a in answers])
-    # for each answer word the items it answers
-    pairs = sorted((numbers[w], i) for i, a in enumerate(answers) for w in a)
-    item_of = np.array([i for _, i in pairs], np.int64)
-    first = np.searchsorted([w for w, _ in pairs], np.arange(len(numbers) + 2))
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not items:
+class _Search:
+    """Looks for the items in batches of documents."""
+
+    def __init__(self, items, idf, place, min_cosine, min_overlap, answer_words, min_answer, min_weight=0.25):
+        hashes, first = _words([text for _, text in items])
+        words = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+        kept = [i for i, w in enumerate(words) if len(w)]
+        self.ids, self.words = [items[i][0] for i in kept], [words[i] for i in kept]
+        self.place, self.min_cosine, self.min_overlap = place, min_cosine, min_overlap
+        self.sizes = np.array([len(w) for w in self.words])
+        self.answers, self.needed = [], []
+        self.filter = np.zeros((len(kept), CELLS + 1), np.uint8)
+        self.least = np.zeros(len(kept))
+        probes: dict[int, list[tuple[int, np.ndarray]]] = {span: [] for span in SPANS}
+        for i, own in enumerate(self.words):
+            buckets = (own & np.uint64(BUCKETS - 1)).astype(np.int64)
+            weights = np.minimum(255, 10 * idf[buckets]).astype(np.uint8)
+            np.maximum.at(self.filter[i], buckets % CELLS, weights)
+            self.least[i] = min_weight * weights.sum(dtype=float) / len(own)
+            distinct, at = np.unique(own, return_index=True)
+            rarest = distinct[np.lexsort((distinct, -idf[buckets[at]]))][:answer_words]
+            self.answers.append(np.sort(rarest))
+            self.needed.append(max(1, int(np.ceil(min_answer * len(rarest)))))
+            # an item is looked for by windows of about its length, a long one by several of its stretches
+            span = SPANS[0] if len(own) <= 1.5 * STEP * SPANS[0] else SPANS[-1]
+            count = max(1, round(len(own) / (1.25 * STEP * span)))
+            probes[span] += [(i, place[part].sum(axis=0)) for part in np.array_split(buckets, count)]
+        self.probes = {s: (np.array([i for i, _ in p]), _unit(np.array([v for _, v in p]))) for s, p in probes.items() if p}
+
+    def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames if self.ids else ():
+            for part in pieces(frame, "text", 1 << 19):
+                hashes, first = _words(part["text"].tolist())
+                ids = part["doc_id"].tolist()
+                out = [(ids[doc], self.ids[item], *hit) for doc, item, hit in self.leaks(hashes, first)]
+                if out:
+                    yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "overlap", "answer_overlap", "start", "length"])
+
+    def leaks(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, tuple]]:
+        laid, steps = _laid_out(hashes, first, STEP)
+        if not len(laid):
             return
-        buckets = _Buckets(numbers)
-
-        def leaks(words: list[str]) -> dict[int, tuple]:
-            codes = buckets.of(words)
-            at = np.flatnonzero(codes >> SHIFT)
-            number = codes[at] >> SHIFT
-            times = first[number + 1] - first[number]
-            near = np.repeat(at, times)
-            # the items of each answer word: consecutive from its first one
-            steps = np.arange(len(near)) - np.repeat(np.cumsum(times) - times, times)
-            named = item_of[np.repeat(first[number], times) + steps]
-            found: dict[int, tuple] = {}
-            for item in np.flatnonzero(np.bincount(named, minlength=len(items)) >= needed):
-                places = near[named == item]
-                span, k = 2 * sizes[item] + WINDOW, needed[item]
-                close = places[: len(places) - k + 1][places[k - 1 :] - places[: len(places) - k + 1] <= span]
-                if len(close) and (hit := best(words, codes, int(item), close)):
-                    found[int(item)] = hit
-            return found
-
-        def best(words: list[str], codes: np.ndarray, item: int, close: np.ndarray) -> tuple | None:
-            wanted, hit = items[item][1], None
-            # windows around the places, each once
-            starts = np.unique((close[:, None] + np.arange(-WINDOW, 2 * len(wanted) + 1, STEP)).ravel())
-            starts = np.unique(np.clip(starts, 0, max(0, len(words) - WINDOW)))
-            ends = np.minimum(starts + WINDOW, len(words))
-            low = int(starts[0])
-            sums = np.zeros((int(ends[-1]) - low + 1, RANK))
-            np.cumsum(place[codes[low : int(ends[-1])] & (BUCKETS - 1)], axis=0, out=sums[1:], dtype=np.float64)
-            window = sums[ends - low] - sums[starts - low]
-            window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-12)
-            cosine = (window @ probes[item].T).max(axis=1)
-            seen = -1
-            for i in np.flatnonzero(cosine >= min_cosine):
-                begin, end = max(0, int(starts[i]) - len(wanted)), int(starts[i]) + WINDOW + len(wanted)
-                if end <= seen:
-                    continue
-                near = words[begin:end]
-                if len(answers[item].intersection(near)) < needed[item]:
-                    continue
-                seen = begin + WINDOW + len(wanted)
-                got = common_subsequence(wanted, near)
-                overlap = len(got) / len(wanted)
-                matched = len(answers[item].intersection(near[g] for g in got))
-                if overlap >= min_overlap and matched >= needed[item]:
-                    new = (float(cosine[i]), overlap, matched / len(answers[item]), begin + got[0], got[-1] - got[0] + 1)
-                    if hit is None or (new[1], new[0]) > (hit[1], hit[0]):
-                        hit = new
-                if hit and hit[1] == 1:
-                    break
-            return hit
-
-        columns = ["doc_id", "item_id", "cosine", "overlap", "answer_overlap", "start", "length"]
-        for frame in frames:
-            out = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                if words := plain_words(text):
-                    out += [(doc, items[number][0], *hit) for number, hit in leaks(words).items()]
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-
-    return search
+        of = np.repeat(np.arange(len(first) - 1), np.diff(steps))
+        sums = np.zeros((len(laid) + 1, RANK), np.float32)
+        np.cumsum(self.place[laid].sum(axis=1), axis=0, out=sums[1:])
+        cells = np.where(laid == BUCKETS, CELLS, laid % CELLS)
+        found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+        for span, (item_of, probes) in self.probes.items():
+            ends = np.minimum(np.arange(len(laid)) + span, steps[of + 1])
+            windows = _unit(sums[ends] - sums[: len(laid)])
+            rows = max(1, AT_ONCE // len(probes))
+            for at in range(0, len(windows), rows):
+                cosine = windows[at : at + rows] @ probes.T
+                window, probe = np.nonzero(cosine >= self.min_cosine)
+                value, window, item = cosine[window, probe], window + at, item_of[probe]
+                # the weight of the window's words that may be the item's
+                near = np.minimum(window[:, None] + np.arange(span), len(laid) - 1)
+                inside = near < ends[window][:, None]
+                weight = (self.filter[item[:, None, None], cells[near]] * inside[:, :, None]).sum(axis=(1, 2))
+                good = weight >= self.least[item] * np.minimum(span * STEP, self.sizes[item])
+                for w, i, c in zip(window[good].tolist(), item[good].tolist(), value[good].tolist(), strict=True):
+                    found.setdefault((int(of[w]), i), []).append((w, span, c))
+        for (doc, item), windows in sorted(found.items()):
+            if hit := self.best(hashes[first[doc] : first[doc + 1]], int(steps[doc]), item, sorted(windows)):
+                yield doc, item, hit
+
+    def best(self, words: np.ndarray, base: int, item: int, windows: list[tuple[int, int, float]]) -> tuple | None:
+        """The best alignment around these windows, if it is a leak."""
+        wanted, answer, hit, seen = self.words[item], self.answers[item], None, -1
+        for window, span, cosine in windows:
+            start = (window - base) * STEP
+            begin, end = max(0, start - len(wanted)), min(len(words), start + span * STEP + len(wanted))
+            if end <= seen:
+                continue
+            near = words[begin:end]
+            if np.isin(wanted, near).sum() < self.min_overlap * len(wanted):
+                continue
+            seen = start + span * STEP + len(wanted) // 2
+            got = [j for _, j in common_positions(wanted, near)]
+            overlap = len(got) / len(wanted)
+            matched = int(np.isin(answer, near[got]).sum())
+            if overlap >= self.min_overlap and matched >= self.needed[item]:
+                new = (cosine, overlap, matched / len(answer), begin + got[0], got[-1] - got[0] + 1)
+                if hit is None or new[1::-1] > hit[1::-1]:
+                    hit = new
+            if hit and hit[1] == 1:
+                break
+        return hit
 
 
 def leaked_documents(docs: DataFrame, benchmark: DataFrame, **limits: float) -> DataFrame:
