@@ -1,11 +1,13 @@
-"""Main text of web pages: markup zones, and lines shared with the page of the nearest URL.
+"""Main text of web pages: lines shared with the page of the nearest URL go, and zones named by their markup.
 
 A page becomes text lines, one for each block. Lines inside navigation, headers,
-footers, asides, forms, scripts and the like are dropped by their markup; lines
-inside an ``article`` or ``main`` element are the page's own and stay. All others are
-compared with a neighbour: pages are sorted by host and path, each is paired with
+footers, asides, forms, scripts and the like are dropped by their markup. All others
+are compared with a neighbour: pages are sorted by host and path, each is paired with
 the one before or after it whose path shares the longer prefix, the lines of both
-are aligned by longest common subsequence, and shared lines are deleted.
+are aligned by longest common subsequence, and shared lines are deleted. Of lines
+inside an ``article`` or ``main`` element only shared link lists go: two articles may
+well quote the same passage, and a copy of an article must not delete it. A neighbour
+with the very same lines is a copy, which tells nothing about the site, and is passed over.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import block_count, materialize
+from threadloom.llm.common import block_count, common_positions, materialize
 
 #: Elements without main text, whatever is in them.
 DROPPED = frozenset(
@@ -45,9 +47,10 @@ _PLACES = (
 )
 BESIDE = re.compile(_WORDS, re.IGNORECASE)
 COMPOUND = re.compile(rf"(?:{_PLACES}[_-]+)*{_WORDS}(?:[_-]+(?:{_WORDS}|{_PLACES}))*", re.IGNORECASE)
+#: Quotes count behind an equals sign only; what isn't closed runs to the end, so that no page is read twice.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|"
-    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*+(?:>|\Z)|"
+    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*+(?:\"(?:[^\"]*+\"|[^>]*+)|'(?:[^']*+'|[^>]*+))?+|[^=>])*+)(?:>|\Z)",
     re.IGNORECASE | re.DOTALL,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -59,43 +62,58 @@ def _beside(attributes: str) -> int:
     return 2 if any(map(BESIDE.fullmatch, names)) else int(any(map(COMPOUND.fullmatch, names)))
 
 
-def text_lines(page: str) -> list[tuple[str, bool]]:
-    """The lines outside dropped zones, and whether each lies in an article or main element."""
-    lines: list[tuple[str, bool]] = []
+#: A line outside dropped zones, whether it lies in an article or main element, and whether most of it is link text.
+Line = tuple[str, bool, bool]
+
+
+def text_lines(page: str) -> list[Line]:
+    """The lines outside dropped zones."""
+    lines: list[Line] = []
     now: list[str] = []
+    linked, in_link = 0, False
+    depth: dict[str, int] = {}  # open elements by name
     stack: list[tuple[str, int, bool]] = []  # element, dropped (1: by a compound name, which an article or main inside overrules), own
 
     def state() -> tuple[int, bool]:
         return (stack[-1][1], stack[-1][2]) if stack else (0, False)
 
     def end_line() -> None:
+        nonlocal linked
         if now:
             if line := " ".join(html.unescape("".join(now)).split()):
-                lines.append((line, state()[1]))
+                lines.append((line, state()[1], 2 * linked >= sum(map(len, now))))
             now.clear()
+        linked = 0
+
+    def leave() -> str:
+        name = stack.pop()[0]
+        depth[name] -= 1
+        return name
 
     at = 0
     for m in _MARKUP.finditer(page):
         if m.start() > at and not state()[0]:
             now.append(page[at : m.start()])
+            linked += in_link * (m.start() - at)
         at = m.end()
         name = m.group(3)
         if name is None:
             continue
         name = name.lower()
         if name in INLINE:
+            in_link = not m.group(2) if name == "a" else in_link
             continue
         end_line()
         dropped, own = state()
         if name in VOID or m.group(4).endswith("/"):
             continue
         if m.group(2):
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+            if depth.get(name):
+                while leave() != name:
                     pass
             continue
         if stack and stack[-1][0] == "p" or name == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
+            leave()
             dropped, own = state()
         if name in ("article", "main"):
             if dropped == 1:
@@ -108,6 +126,7 @@ def text_lines(page: str) -> list[tuple[str, bool]]:
         elif name not in ("html", "body") and m.group(4):
             dropped = max(dropped, _beside(m.group(4)))
         stack.append((name, dropped, own))
+        depth[name] = depth.get(name, 0) + 1
     if at < len(page) and not state()[0]:
         now.append(page[at:])
     end_line()
@@ -126,32 +145,15 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     a, b = a[low : len(a) - high], b[low : len(b) - high]
     common = set(a) & set(b)
     places = [i for i, line in enumerate(a) if line in common]
-    codes: dict[str, int] = {}
-    x = np.array([codes.setdefault(a[i], len(codes)) for i in places])
-    y = np.array([codes[line] for line in b if line in common])
-    if not len(x):
-        return found
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(1, len(x) + 1):
-        table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, 1:], np.where(y == x[i - 1], table[i - 1, :-1] + 1, 0)))
-    i, j = len(x), len(y)
-    while i and j:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
-        else:
-            found.add(low + places[i - 1])
-            i, j = i - 1, j - 1
-    return found
-
-
-def main_text(lines: list[tuple[str, bool]], neighbour: list[tuple[str, bool]] | None) -> str:
-    """A page's text without the lines that it shares with its neighbour; lines of its own article stay in any case."""
-    loose = [i for i, (_, inside) in enumerate(lines) if not inside]
-    shared = shared_lines([lines[i][0] for i in loose], [line for line, _ in neighbour]) if neighbour else set()
-    gone = {loose[i] for i in shared}
-    return " ".join(line for i, (line, _) in enumerate(lines) if i not in gone)
+    codes = {line: i for i, line in enumerate(common)}
+    x, y = np.array([codes[a[i]] for i in places], int), np.array([codes[line] for line in b if line in common], int)
+    return found | {low + places[i] for i, _ in common_positions(x, y)}
+
+
+def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
+    """A page's text without the lines that it shares with its neighbour; of its own article's only link lists go."""
+    shared = shared_lines([line for line, *_ in lines], [line for line, *_ in neighbour]) if neighbour else set()
+    return " ".join(line for i, (line, inside, links) in enumerate(lines) if i not in shared or inside and not links)
 
 
 def extract_main_text(pages: DataFrame, partition_bytes: int = 32 << 20) -> DataFrame:
@@ -160,8 +162,8 @@ def extract_main_text(pages: DataFrame, partition_bytes: int = 32 << 20) -> Data
     Null or empty html gives an empty text. A null url counts as one of an empty host
     and path. Pages are dealt by ranges of sorted URLs, each with a copy of the last
     page before it and the first one behind it, so that the dealing changes no result.
-    A page that is alone of its host is not compared. A page and its exact copy share
-    all lines; their articles stay, loose lines go. Columns beyond the three are ignored.
+    A page that is alone of its host, or whose neighbours are all exact copies of it,
+    is not compared. Columns beyond the three are ignored.
     """
     id_type = pages.schema["page_id"].dataType.simpleString()
     read = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -202,7 +204,7 @@ def extract_main_text(pages: DataFrame, partition_bytes: int = 32 << 20) -> Data
         def finish(after: tuple | None) -> None:
             if page[6]:
                 return
-            near = [p for p in (before, after) if p and p[2] == page[2] and p[5] == page[5]]
+            near = [p for p in (before, after) if p and p[2] == page[2] and p[5] == page[5] and p[4] != page[4]]
             near.sort(key=lambda p: len(os.path.commonprefix([p[3], page[3]])), reverse=True)
             text = main_text(page[4], near[0][4] if near else None)
             out.append((page[0], page[1], text, len(text)))

@@ -202,9 +202,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     Words are lower-cased in A-Z. A text with fewer than ``shingle_words`` words is
     one shingle; null, empty and blank texts have none, are linked with nothing and
-    are kept, as are rows without a doc_id. Rows with equal ids count as one
-    document, which may have several texts: they share a component, and all are kept
-    or none. A pair at the threshold is missed by all bands with a chance below 1e-8.
+    are kept. Rows without a doc_id are linked with nothing and kept; they have no
+    component. Rows with equal ids and texts are alike; with different texts each has
+    the component of its own text. A pair at the threshold is missed by all bands with a chance below 1e-8.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     base = materialize(_sketches(docs, shingle_words), "sketches")
@@ -325,5 +325,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     result = base.drop("sketch").join(of_class, "class", "left")
     component = F.coalesce("component_id", "doc_id")
     return result.select(
-        "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
+        (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"),
     )

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import block_count, pieces
+from threadloom.llm.common import pieces
 
 PIECES = (
     "doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -26,6 +26,8 @@ PIECES = (
 )
 #: The curve's dimensions and the bits of each.
 DIMS, BITS = 4, 8
+#: The curve's stretches by which its bytes are counted: 2**CELL_BITS of equal length.
+CELL_BITS = 16
 #: Byte pairs are hashed to so many counters before they are projected.
 PAIR_BUCKETS = 8192
 #: Pieces between spaces whose ids a worker remembers.
@@ -154,7 +156,8 @@ def pack_documents(
     length, ids_crc32 (of its ids as little-endian unsigned 32-bit numbers),
     doc_tokens (with the end id), sequence_id and offset (place in the sequence).
 
-    Every partition is a run of the curve and is cut every ``sequence_tokens``
+    Every partition is a run of the curve of about ``partition_bytes`` (a stretch of
+    the curve that holds more is dealt to several by hash) and is cut every ``sequence_tokens``
     ids. What remains at its end is cut into powers of two, largest first, so that
     no sequence needs padding.
 
@@ -164,6 +167,7 @@ def pack_documents(
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    read = read.withColumn("draw", F.xxhash64("doc_id", "text"))
     # ids rise within a partition; partitions are told apart by the upper bits
     shift = 1 << 36
 
@@ -212,6 +216,25 @@ def pack_documents(
         if out:
             yield pd.DataFrame(out, columns=columns)
 
-    keyed = read.mapInPandas(with_key, f"doc_id {id_type}, text string, curve long")
-    dealt = keyed.repartitionByRange(block_count(read, "text", partition_bytes), "curve", "doc_id")
-    return dealt.sortWithinPartitions("curve", "doc_id", "text").mapInPandas(cut, PIECES.format(id_type=id_type))
+    keyed = read.mapInPandas(with_key, f"doc_id {id_type}, text string, draw long, curve long")
+    # bytes of each stretch of the curve, 65,536 of them at most
+    stretch = F.shiftright("curve", DIMS * BITS - CELL_BITS).alias("stretch")
+    sizes = keyed.groupBy(stretch).agg(F.sum(F.octet_length("text")).alias("size")).orderBy("stretch").toPandas()
+    parts = np.maximum(1, np.ceil(sizes["size"].to_numpy(float) / partition_bytes)).astype(np.int64)
+    full = np.cumsum(sizes["size"].to_numpy(float)) // partition_bytes
+    # small stretches share a range until it is full, a large one has ranges of its own
+    alone = parts > 1
+    opens = np.concatenate([[True], (full[1:] != full[:-1]) | alone[1:] | alone[:-1]]) if len(sizes) else np.empty(0, bool)
+    ends = np.cumsum(np.where(opens, parts, 0)) if len(sizes) else np.empty(0, np.int64)
+    first = np.zeros(1 << CELL_BITS, np.int64)
+    many = np.ones(1 << CELL_BITS, np.int64)
+    first[sizes["stretch"]], many[sizes["stretch"]] = ends - parts, parts
+    count = int(ends[-1]) if len(sizes) else 1
+
+    def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in with_key(frames):
+            at = part["curve"].to_numpy() >> (DIMS * BITS - CELL_BITS)
+            yield part.drop(columns="draw").assign(range=first[at] + part["draw"].to_numpy() % many[at])
+
+    ranged = read.mapInPandas(dealt, f"doc_id {id_type}, text string, curve long, range int").repartitionById(count, "range")
+    return ranged.sortWithinPartitions("curve", "doc_id", "text").mapInPandas(cut, PIECES.format(id_type=id_type))
