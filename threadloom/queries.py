@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.bindings import E0, NOW, VIEWS, bind, sql
 from threadloom.functions import text as T
-from threadloom.operators import aggregates, graph, hierarchy, ingest, joins, predicates, reports, search, vectors, windows
+from threadloom.operators import aggregates, graph, hierarchy, ingest, joins, predicates, reports, search, upkeep, vectors, windows
 from threadloom.streaming import states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,11 +72,11 @@ def b2_resolve_device_scope(docs, machines):
 
 @query(
     "docs grants",
-    """SELECT document_id FROM docs d WHERE EXISTS (SELECT 1 FROM grants g WHERE g.user_id = 2 AND g.grant_id < 60
+    """SELECT document_id FROM docs d WHERE EXISTS (SELECT 1 FROM grants g WHERE g.user_id = 2
         AND (g.project IS NULL OR g.project = d.project) AND (g.tool_id IS NULL OR g.tool_id = d.tool_id))""",
 )
 def b3_visible_documents(docs, grants):
-    return predicates.visible_documents(docs, grants.where("grant_id < 60"), 2).select("document_id")
+    return predicates.visible_documents(docs, grants, 2).select("document_id")
 
 
 @query("docs", "SELECT document_id, relative_path FROM docs WHERE relative_path NOT LIKE '%.resolved%' AND relative_path NOT LIKE '%.meta.json%' AND relative_path NOT LIKE '%.metadata.json%'")
@@ -581,7 +581,7 @@ def h9_score_messages(messages):
 
 @query("messages")
 def h10_correct_queries(messages):
-    asked = messages.where("role = 'user'").select(F.substring("content", 1, 40).alias("query"))
+    asked = messages.where("role = 'user'").select(F.col("content").alias("query"))
     return search.correct_queries(asked, aggregates.build_lexicon(messages))
 
 
@@ -668,9 +668,9 @@ def i17_fingerprint(docs):
     return docs.select("document_id", T.fingerprint("document_id", "tool_id", "project").alias("digest"))
 
 
-@query("messages", "SELECT message_id, trim(substr(content, 1, 40)) AS text FROM messages")
+@query("messages", "SELECT message_id, trim(content) AS text FROM messages")
 def j20_strip_system_tags(messages):
-    tagged = F.concat(F.lit("<system-reminder>\nx</system-reminder>"), F.substring("content", 1, 40), F.lit("<command-name a='1'>y</command-name>"))
+    tagged = F.concat(F.lit("<system-reminder>\nx</system-reminder>"), F.col("content"), F.lit("<command-name a='1'>y</command-name>"))
     return messages.select("message_id", T.strip_system_tags(tagged).alias("text"))
 
 
@@ -970,9 +970,9 @@ def i19_tool_display_name(docs):
     return docs.select("document_id", reports.display_name(F.col("tool_id")).alias("name"))
 
 
-@query("messages", "SELECT message_id, CASE message_id % 3 WHEN 1 THEN 'system' ELSE 'user' END AS role, CASE message_id % 3 WHEN 1 THEN trim(concat('<environment_context> ', substr(content, 1, 30))) ELSE trim(substr(content, 1, 30)) END AS text FROM messages")
+@query("messages", "SELECT message_id, CASE message_id % 3 WHEN 1 THEN 'system' ELSE 'user' END AS role, CASE message_id % 3 WHEN 1 THEN trim(concat('<environment_context> ', content)) ELSE trim(content) END AS text FROM messages")
 def j6_split_codex_user(messages):
-    start, kind = F.substring("content", 1, 30), F.col("message_id") % 3
+    start, kind = F.col("content"), F.col("message_id") % 3
     payload = F.when(kind == 0, F.concat(F.lit("# Context from my IDE setup:\n\n## My request for Codex:\n"), start)).when(kind == 1, F.concat(F.lit("<environment_context> "), start)).otherwise(start)
     role, text = reports.split_codex_user(payload)
     return messages.select("message_id", role.alias("role"), text.alias("text"))
@@ -1103,3 +1103,142 @@ def o3_quiet_window(signals):
 @query("signals")
 def o4_activity_state(signals):
     return states.activity_state_batch(signals.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+# --- upkeep --------------------------------------------------------------------------
+
+
+@query("vectors", "SELECT vec_id FROM vectors WHERE vec_id % 3 = 0 OR (vec_id % 3 = 1 AND tier = 0)")
+def b18_compatible_vectors(chunks):
+    signature = F.when(F.col("vec_id") % 3 == 0, "p1").when(F.col("vec_id") % 3 == 2, "p2")
+    model = F.when(F.col("tier") == 0, "m1").otherwise("m2")
+    return upkeep.compatible_vectors(chunks.withColumns({"signature": signature, "model": model}), "p1", "m1").select("vec_id")
+
+
+@query(
+    "versions",
+    f"""SELECT o_orderkey FROM versions WHERE o_orderkey % 5 > 0 AND (o_orderkey % 3 = 0 OR {NOW} + (o_orderkey % 7 - 3) * 86400 > {NOW})
+    AND (o_orderkey % 4 = 0 OR document_id % 6 = 2 OR document_id % 9 = 2)""",
+)
+def b21_active_shares(versions):
+    key, document = F.col("o_orderkey"), F.col("document_id")
+    links = versions.select(
+        "o_orderkey", (key % 5 == 0).alias("revoked"), F.when(key % 3 != 0, NOW + (key % 7 - 3) * 86400).alias("expires"),
+        F.when(key % 4 == 0, "public").otherwise("user").alias("audience"), (document % 6).alias("directed_to"), (document % 9).alias("owner"),
+    )
+    return upkeep.active_shares(links, F.lit(2), NOW).select("o_orderkey")
+
+
+@query(
+    "messages",
+    """, q AS (SELECT message_id + 500 AS queued_id, document_id, content, ts - 60 - (message_id % 3) * 50000 AS qts,
+        row_number() OVER (PARTITION BY document_id, content ORDER BY ts - 60 - (message_id % 3) * 50000, message_id + 500) AS n FROM messages WHERE role = 'user' AND message_id % 2 = 0),
+    c AS (SELECT *, row_number() OVER (PARTITION BY document_id, content ORDER BY ts, message_id) AS n FROM messages WHERE role = 'user')
+    SELECT queued_id, message_id FROM c JOIN q USING (document_id, content, n) WHERE ts - qts BETWEEN 0 AND 86400""",
+)
+def c10_pair_queued_prompts(messages):
+    said = messages.where("role = 'user'").select("message_id", "document_id", "content", "ts", F.lit(False).alias("queued"))
+    early = F.col("ts") - 60 - (F.col("message_id") % 3) * 50000
+    queued = said.where("message_id % 2 = 0").select((F.col("message_id") + 500).alias("message_id"), "document_id", "content", early.alias("ts"), F.lit(True).alias("queued"))
+    return upkeep.pair_queued_prompts(said.unionByName(queued))
+
+
+@query("docs", ", t AS (SELECT category, count(*) AS n_outcome FROM docs GROUP BY ALL) SELECT machine_id, tool_id, relative_path AS path, category AS outcome, count(*) AS n, n_outcome FROM docs JOIN t USING (category) GROUP BY ALL")
+def d15_artifact_inventory(docs):
+    refs = docs.select("machine_id", "tool_id", F.col("relative_path").alias("path"), F.col("category").alias("outcome"))
+    return upkeep.artifact_inventory(refs)
+
+
+@query(
+    "docs",
+    """SELECT document_id, CASE document_id % 3 WHEN 0 THEN concat('/home/u/', project) WHEN 1 THEN '/home/u/other' ELSE concat('/home/u/', category) END AS root FROM docs""",
+)
+def d19_workspace_vote(docs):
+    own, other, kind = F.concat(F.lit("at /home/u/"), "project", F.lit("/a.md ")), F.lit("in /home/u/other/b.py "), F.concat(F.lit("see /home/u/"), "category", F.lit("/c "))
+    hidden = F.repeat(F.lit("and /home/u/.antigravity/d "), 4)
+    paths = F.when(F.col("document_id") % 3 == 0, F.concat(own, other)).when(F.col("document_id") % 3 == 1, F.concat(own, other, other)).otherwise(F.concat(own, kind, hidden, kind))
+    return upkeep.workspace_vote(docs.select("document_id", F.concat(paths, F.coalesce("content", F.lit(""))).alias("content")), r"(/home/u/[\w.-]+)/", r"/\.antigravity")
+
+
+@query(
+    "observations",
+    """, r AS (SELECT entity, concat('seen ', count(*), ' times') AS content, date '1996-01-01' AS observed FROM observations WHERE observed < date '1996-01-01' GROUP BY entity HAVING count(*) >= 5)
+    SELECT entity, content, strftime(observed, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT entity, content, observed FROM observations WHERE observed >= date '1996-01-01' OR entity NOT IN (SELECT entity FROM r)
+    UNION ALL SELECT * FROM r) GROUP BY ALL""",
+)
+def l8_apply_compaction(observations):
+    before = F.lit("1996-01-01").cast("date")
+    many = observations.where(F.col("observed") < before).groupBy("entity").agg(F.count("*").alias("n")).where("n >= 5")
+    replies = many.select("entity", F.format_string("seen %d times", "n").alias("content"), before.alias("observed"))
+    left = upkeep.apply_compaction(observations, replies, before)
+    return left.groupBy("entity", "content", F.date_format("observed", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "entities docs",
+    """, k AS (SELECT DISTINCT name, type FROM entities), s AS (SELECT DISTINCT CASE WHEN document_id % 2 = 0 THEN concat('Brand#', document_id % 60) ELSE project END AS name FROM docs)
+    SELECT name, type FROM k UNION ALL SELECT name, 'Note' FROM s WHERE name NOT IN (SELECT name FROM k)""",
+)
+def l15_store_observations(entities, docs):
+    even = F.col("document_id") % 2 == 0
+    rows = docs.select(F.when(even, F.concat(F.lit("Brand#"), F.col("document_id") % 60)).otherwise("  ").alias("entity"), F.concat(F.lit("  "), "project").alias("content"))
+    return upkeep.store_observations(entities, rows)
+
+
+@query(
+    "docs vectors",
+    """SELECT 'docs' AS name, count(*) AS n FROM docs WHERE machine_id <> 3 UNION ALL
+    SELECT 'vectors', count(*) FROM vectors WHERE document_id NOT IN (SELECT document_id FROM docs WHERE machine_id = 3)""",
+)
+def l16_reset_memory(docs, chunks):
+    left = upkeep.reset_memory({"docs": docs, "vectors": chunks}, docs.where("machine_id = 3"), "document_id")
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in left.items()]
+    return counts[0].union(counts[1])
+
+
+@query(
+    "conv_docs messages",
+    """SELECT m.document_id - CASE WHEN m.document_id % 8 IN (1, 7) AND c.document_id IS NOT NULL THEN 1 ELSE 0 END AS document_id, count(*) AS n
+    FROM messages m LEFT JOIN conv_docs c USING (document_id) GROUP BY ALL""",
+)
+def n17_consolidate_sessions(conv_docs, messages):
+    aliases = conv_docs.where("k in (1, 7)").select(F.col("document_id").alias("alias"), (F.col("document_id") - 1).alias("target"))
+    _, tables = upkeep.consolidate_sessions(conv_docs, aliases, {"messages": messages})
+    return tables["messages"].groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "docs messages",
+    """SELECT category, count(*) AS n FROM (SELECT CASE WHEN relative_path LIKE '%.meta.json' THEN 'state' ELSE category END AS category FROM docs) GROUP BY ALL
+    UNION ALL SELECT 'messages', count(*) FROM messages WHERE document_id NOT IN (SELECT document_id FROM docs WHERE relative_path LIKE '%.meta.json')""",
+)
+def n18_reclassify_sidecars(docs, messages):
+    changed, rest = upkeep.reclassify_sidecars(docs, messages)
+    return changed.groupBy("category").agg(F.count("*").alias("n")).union(rest.agg(F.count("*").alias("n")).select(F.lit("messages"), "n"))
+
+
+@query(
+    "docs messages machines",
+    """, g AS (SELECT document_id FROM docs WHERE machine_id IN (SELECT machine_id FROM machines WHERE user_id = 1))
+    SELECT 'documents' AS name, count(*) FILTER (document_id IN (SELECT document_id FROM g)) AS n_removed, count(*) FILTER (document_id NOT IN (SELECT document_id FROM g)) AS n_kept FROM docs
+    UNION ALL SELECT 'messages', count(*) FILTER (document_id IN (SELECT document_id FROM g)), count(*) FILTER (document_id NOT IN (SELECT document_id FROM g)) FROM messages""",
+)
+def n19_purge_scope(docs, messages, machines):
+    return upkeep.purge_scope(docs, messages, machines.where("user_id = 1"))
+
+
+@query(
+    "docs",
+    """SELECT document_id, r AS resource FROM (SELECT document_id, unnest(list_concat(['messages', 'metadata', 'dashboard', 'project'], CASE WHEN document_id % 5 = 0 OR document_id % 3 = 0 THEN ['prompts'] ELSE [] END,
+        CASE WHEN document_id % 5 = 0 OR document_id % 2 = 0 OR document_id % 7 = 0 THEN ['search'] ELSE [] END, CASE WHEN document_id % 4 = 0 THEN ['pending'] ELSE [] END)) AS r FROM docs)""",
+)
+def o12_change_sets(docs):
+    key = F.col("document_id")
+
+    def state(new):
+        return docs.select(
+            "document_id", (key % 5 == 0).alias("full"), F.when(key % 3 == 0, new).otherwise(0).alias("n_user"), F.when(key % 2 == 0, new).otherwise(0).alias("n_chars"),
+            F.when(key % 7 == 0, F.concat("title", F.lit(str(new)))).otherwise(F.col("title")).alias("title"), F.when(key % 4 == 0, new).alias("pending"), "project",
+        )
+
+    return upkeep.change_sets(state(1), state(2))

@@ -12,6 +12,9 @@ from pyspark.sql.types import StructType
 #: Longest record that is framed, in characters.
 MAX_RECORD = 16 << 20
 
+#: Rules of a path table at most.
+MAX_RULES = 1000
+
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """file, text and the parsed type, time and title of each non-blank line of JSONL files.
@@ -101,12 +104,22 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 def classify_paths(df: DataFrame, rules: DataFrame) -> DataFrame:
     """``df(path)`` with the tool, category and kind of the first of ``rules`` whose pattern the path meets.
 
-    ``rules(priority, pattern, tool, category, kind, excluded)`` is a short table; a
-    path whose first rule excludes it, and one that no rule knows, is dropped.
+    ``rules(priority, pattern, tool, category, kind, excluded)`` is a short table, which
+    becomes one ordered expression; more than ``MAX_RULES`` rules are an error. A path
+    whose first rule excludes it, and one that no rule knows, is dropped.
     """
-    known = df.select("path").distinct().join(F.broadcast(rules.limit(1000)), F.expr("path rlike pattern"))
-    first = known.groupBy("path").agg(F.min_by(F.struct("tool", "category", "kind", "excluded"), "priority").alias("r"))
-    return df.join(first, "path").where("not r.excluded").select(df["*"], "r.tool", "r.category", "r.kind")
+    rows = rules.orderBy("priority", "pattern").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    kind = F.lit(None).cast("int")
+    for i, r in reversed(list(enumerate(rows))):
+        kind = F.when(F.col("path").rlike(r["pattern"]), i).otherwise(kind)
+    known = df.withColumn("_rule", kind)
+    names = F.array(*[F.struct(*[F.lit(r[c]).cast("string").alias(c) for c in ("tool", "category", "kind")]) for r in rows]) if rows else None
+    if names is None:
+        return df.where("false").selectExpr("*", "'' AS tool", "'' AS category", "'' AS kind")
+    kept = known.where(F.col("_rule").isin([i for i, r in enumerate(rows) if not r["excluded"]]))
+    return kept.withColumn("_r", F.element_at(names, F.col("_rule") + 1)).select(*[F.col(c) for c in df.columns], "_r.tool", "_r.category", "_r.kind")
 
 
 def snapshot_tables(tables: dict[str, DataFrame], date: str, root: str) -> None:
