@@ -453,3 +453,39 @@ def test_reworded_passages_are_found(spark):
     benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     found = {r["doc_id"]: r for r in decontaminate.benchmark_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
     assert set(found) == {1, 2} and found[1]["overlap"] == 1 and found[1]["start"] <= 200 < found[1]["start"] + found[1]["length"]
+
+
+def test_recall_of_passages_with_replaced_words(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 8))) for _ in range(4000)]
+    items = [[rng.choice(words) for _ in range(30)] for _ in range(10)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(200))) for i in range(100)]
+    for n, item in enumerate(items):
+        for replaced in (0, 3, 5, 8, 10, 12):
+            new = list(item)
+            for at in rng.sample(range(30), replaced):
+                new[at] = rng.choice(words)
+            rows.append((1000 + 10 * n + len(rows) % 6, " ".join([*(rng.choice(words) for _ in range(50)), *new, *(rng.choice(words) for _ in range(50))])))
+    benchmark = spark.createDataFrame([(n, " ".join(item)) for n, item in enumerate(items)], "item_id long, text string")
+    found = decontaminate.benchmark_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert all(r["item_id"] == (r["doc_id"] - 1000) // 10 for r in found)
+    assert len({r["doc_id"] for r in found}) >= 0.9 * 60
+
+
+def test_rows_without_an_id_stay_alone(spark):
+    rows = [(3, "a b c d e f g"), (5, "a b c d e f g"), (5, "other words of that id stand here"), (None, "a b c d e f g")]
+    found = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in found) == [("3", "3", True), ("5", "3", False), ("5", "5", True), ("None", "None", True)]
+
+
+def test_copies_of_a_page_and_shared_link_lists(spark):
+    story = "<body><p>Welcome</p><p>one story</p>"
+    linked = "<article><p>{}</p><p>a quoted passage</p><p><a href=x>Share</a> <a href=y>Print</a></p></article>"
+    rows = [(1, "http://c.org/1", story), (2, "http://c.org/2", story), (3, "http://d.org/1", linked.format("first")), (4, "http://d.org/2", linked.format("second"))]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {1: "Welcome one story", 2: "Welcome one story", 3: "first a quoted passage", 4: "second a quoted passage"}
+
+
+def test_markup_that_is_never_closed():
+    assert html_extract.text_lines("<p>a</p>" + '<p a="' * 200_001) == [("a", False, False)]
+    assert html_extract.text_lines("<!" * 500_000) == []
