@@ -33,6 +33,10 @@ TASK_STATUS = {
 # Characters that separate tokens, and bounds of an index entry.
 SEPARATORS = r"""[\s　.,;:!?\-_/\\()\[\]{}"'`~@#$%^&*+=<>|]+"""
 INDEX_CHARS, INDEX_TOKENS, QUERY_TOKENS = 200_000, 50_000, 16
+#: Letters of scripts that write words without spaces: Han, Kana and Hangul.
+UNSPACED = "々㐀-䶿一-鿿ぁ-ヿ가-힣豈-﫿"
+#: Punctuation that ends their runs.
+MARKS = "、-〃〈-〟！-／：-＠［-｀｛-･"
 #: Constant parts of a text search query.
 QUERY_CHARS = 500
 
@@ -68,9 +72,26 @@ def normalize_query(text: Column) -> Column:
     return F.substring(collapse_space(text), 1, QUERY_CHARS)
 
 
+def _pairs(piece: Column) -> Column:
+    """A piece cut where its script changes; runs of unspaced letters as their overlapping pairs."""
+    runs = F.regexp_extract_all(piece, F.lit(f"[{UNSPACED}]+|[^{UNSPACED}{MARKS}]+"), F.lit(0))
+
+    def cut(run: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substr(run, i, F.lit(2)))
+        return F.when(run.rlike(f"^[{UNSPACED}]{{2,}}$"), pairs).otherwise(F.array(run))
+
+    return F.when(piece.rlike(f"[{UNSPACED}]"), F.flatten(F.transform(runs, cut))).otherwise(F.array(piece))
+
+
 def tokens(text: Column) -> Column:
-    """Index tokens: separated pieces in lower case, without single ASCII characters."""
-    pieces = F.split(F.lower(F.substring(text, 1, INDEX_CHARS)), SEPARATORS)
+    """Index tokens: separated pieces in lower case, without single ASCII characters.
+
+    Chinese, Japanese and Korean runs become overlapping pairs of letters, in texts as
+    in queries, so that words inside a sentence are found.
+    """
+    bounded = F.lower(F.substring(text, 1, INDEX_CHARS))
+    pieces = F.split(bounded, SEPARATORS)
+    pieces = F.when(bounded.rlike(f"[{UNSPACED}]"), F.flatten(F.transform(pieces, _pairs))).otherwise(pieces)
     return F.slice(F.filter(pieces, lambda t: (F.length(t) > 1) | t.rlike(r"^[^\x00-\x7F]$")), 1, INDEX_TOKENS)
 
 
@@ -167,6 +188,12 @@ def normalize_status(status: Column) -> Column:
     return F.try_element_at(table, F.regexp_replace(F.lower(F.trim(status)), "[ -]+", "_"))
 
 
+def clean_title(title: Column, size: int = 500) -> Column:
+    """A title on one line without control characters; null if it is empty, longer than ``size`` or a wrapper's tag."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(strip_terminal(title), r"[\x00-\x1f\x7f-\x9f]+", " "), r"\s+", " "))
+    return F.when((clean != "") & (F.length(clean) <= size) & ~clean.rlike("^<[a-z_-]+"), clean)
+
+
 def fingerprint(*columns: str) -> Column:
     """SHA-256 of the values as compact JSON."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)

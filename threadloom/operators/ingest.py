@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import compact_title
 from threadloom.operators.aggregates import activity_summary
 from threadloom.operators.windows import latest_assistant_line
 
@@ -41,6 +42,80 @@ def coalesce_chain(deliveries: DataFrame, max_bytes: int = 16 << 20, max_jobs: i
     return kept.groupBy("source").agg(F.count("*").alias("jobs"), F.sum("size").alias("size"), F.max("byte_offset").alias("byte_offset"), F.array_join(parts, "|").alias("chain"))
 
 
+def select_heads(deliveries: DataFrame) -> DataFrame:
+    """Per source its next job: the last full delivery and the deltas that follow it without a gap.
+
+    Returns head (offset of that full delivery, null without one), jobs and end of the
+    chain, superseded (deliveries before the head) and waiting (behind a gap). Without a
+    full delivery the chain must start at offset 0. Deliveries are told apart by offset
+    and hash (``dedup_deliveries``).
+    """
+    order = Window.partitionBy("source").orderBy("byte_offset", "hash")
+    full = F.col("mode") == "full"
+    rows = deliveries.withColumn("_head", F.max(F.when(full, F.col("byte_offset"))).over(Window.partitionBy("source")))
+    rows = rows.withColumn("_gap", ~full & (F.col("base_offset") != F.coalesce(F.lag("byte_offset").over(order), F.lit(0))))
+    old = F.coalesce(F.col("byte_offset") < F.col("_head"), F.lit(False))
+    rows = rows.withColumn("_old", old).withColumn("_broken", F.max(F.col("_gap") & ~F.col("_old")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chained = ~F.col("_old") & ~F.col("_broken")
+    return rows.groupBy("source").agg(
+        F.first("_head").alias("head"), F.count_if(chained).alias("jobs"), F.max(F.when(chained, F.col("byte_offset"))).alias("end"),
+        F.count_if("_old").alias("superseded"), F.count_if(~F.col("_old") & F.col("_broken")).alias("waiting"),
+    )
+
+
+def merge_documents(target: DataFrame, batch: DataFrame, protected: tuple[str, ...] = ("manual_title", "pinned")) -> DataFrame:
+    """``target`` after an upsert of ``batch``, both (document_id, title, project, hash, metadata map), with ``action``.
+
+    A manual title stays; else the batch's title stands if it has one. A project is never
+    emptied. Of the old metadata only the ``protected`` keys outlast a batch, which can't
+    change them.
+    """
+    old, new = target.alias("o"), batch.alias("n")
+    kept = F.map_filter(F.coalesce("o.metadata", F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*protected))
+    fresh = F.map_filter(F.coalesce("n.metadata", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(kept, k))
+    alone, arrived = F.col("n.document_id").isNull(), F.col("o.document_id").isNull()
+    manual = F.coalesce(F.map_contains_key(F.col("o.metadata"), "manual_title"), F.lit(False))
+    return old.join(new, F.col("o.document_id") == F.col("n.document_id"), "full").select(
+        F.coalesce("o.document_id", "n.document_id").alias("document_id"),
+        F.when(manual, F.col("o.title")).otherwise(F.coalesce(F.nullif("n.title", F.lit("")), "o.title")).alias("title"),
+        F.coalesce("n.project", "o.project").alias("project"), F.coalesce("n.hash", "o.hash").alias("hash"),
+        F.when(alone, F.col("o.metadata")).otherwise(F.map_concat(kept, fresh)).alias("metadata"),
+        F.when(alone, "keep").when(arrived, "insert").when(F.col("o.hash").eqNullSafe(F.col("n.hash")), "touch").otherwise("update").alias("action"),
+    )
+
+
+def collapse_user_mirrors(records: DataFrame) -> DataFrame:
+    """``records(document_id, record, kind, content, ts)`` of users without response items that the next record repeats.
+
+    That is an event at most 2 records and 1 second later with the same text, or one of
+    which is the start of the other. The event stays, with ``paired``.
+    """
+    order = Window.partitionBy("document_id").orderBy("record")
+
+    def mirrored(item: Column, event: Column) -> Column:
+        near = (event["record"] - item["record"] <= 2) & (F.abs(event["ts"] - item["ts"]) <= 1)
+        same = F.startswith(item["content"], event["content"]) | F.startswith(event["content"], item["content"])
+        return F.coalesce((item["kind"] == "response_item") & (event["kind"] == "user_message") & near & same, F.lit(False))
+
+    here = F.struct("record", "kind", "content", "ts")
+    rows = records.withColumn("_next", mirrored(here, F.lead(here).over(order))).withColumn("paired", mirrored(F.lag(here).over(order), here))
+    return rows.where("not _next").drop("_next")
+
+
+def first_prompt_title(conversations: DataFrame, messages: DataFrame, among: int = 25) -> DataFrame:
+    """``conversations(document_id, title)`` with opaque titles replaced by the first that a prompt yields.
+
+    Of each conversation the first ``among`` user rows are looked at. An opaque title is
+    null, blank or an id; without a prompt that yields a title it stays.
+    """
+    prompts = messages.where("role = 'user'").select("document_id", "line_number", compact_title(F.col("content")).alias("_found"))
+    prompts = prompts.withColumn("_n", F.row_number().over(Window.partitionBy("document_id").orderBy("line_number"))).where(F.col("_n") <= among)
+    found = prompts.where("_found is not null").groupBy("document_id").agg(F.min_by("_found", "_n").alias("_found"))
+    opaque = F.col("title").isNull() | F.col("title").rlike(r"^\s*$|^(rollout-|session-)|^[0-9a-f-]{32,36}$")
+    joined = conversations.join(found, "document_id", "left")
+    return joined.withColumn("title", F.when(opaque, F.coalesce("_found", "title")).otherwise(F.col("title"))).drop("_found")
+
+
 def update_sync_state(state: DataFrame, deliveries: DataFrame) -> DataFrame:
     """Per source the last offset and hash after a batch; offsets never go back."""
     both = state.select("source", "byte_offset", "hash").unionByName(deliveries.select("source", "byte_offset", "hash"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import query_tokens, tokens, trigram_similarity
 
 SEARCHED_ROLES = ("user", "assistant")
+#: Where chunks end, the strongest first.
+BREAKS = ("\n\n", "\n", ". ", "。", "；")
 
 
 def fts_match(docs: DataFrame, query: str, text: str = "content") -> DataFrame:
@@ -73,3 +79,55 @@ def replace_lexicon(new: DataFrame, old: DataFrame) -> DataFrame:
     joined = new.select("term", "frequency").join(old.select("term", F.col("frequency").alias("before")), "term", "full")
     action = F.when(F.col("frequency").isNull(), "delete").when(F.col("before").isNull(), "insert").when(F.col("frequency") == F.col("before"), "keep").otherwise("update")
     return joined.select("term", "frequency", action.alias("action"))
+
+
+def chunk_text(docs: DataFrame, size: int = 2000, overlap: int = 200, least: int = 50, most: int | None = None) -> DataFrame:
+    """document_id, chunk_index (from 0), chunk: overlapping chunks of ``docs(document_id, content)``.
+
+    A chunk of at most ``size`` characters ends behind the last separator in its second
+    half, the strongest kind that occurs there; the next one starts ``overlap``
+    characters before. Chunks are trimmed; those of ``least`` characters or fewer are
+    left out. A text within ``size`` is one chunk as it is, an empty or null one none.
+    """
+    id_type = docs.schema["document_id"].dataType.simpleString()
+
+    def spans(text: str) -> Iterator[tuple[int, int]]:
+        start = 0
+        while start < len(text):
+            end = start + size
+            if end < len(text):
+                window = text[start + size // 2 : end]
+                end -= next((len(window) - window.rindex(s) - len(s) for s in BREAKS if s in window), 0)
+            yield start, end
+            start = end - overlap
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lists = [
+                [text] if len(text) <= size else [c for c in (text[a:b].strip() for a, b in spans(text)) if len(c) > least][:most]
+                for text in frame["content"]
+            ]
+            counts = np.array([len(chunks) for chunks in lists], dtype=int)
+            yield pd.DataFrame({
+                "document_id": np.repeat(frame["document_id"].to_numpy(), counts),
+                "chunk_index": np.concatenate([np.arange(n, dtype="int32") for n in [0, *counts]]),
+                "chunk": [c for chunks in lists for c in chunks],
+            })
+
+    return docs.where("content <> ''").select("document_id", "content").mapInPandas(cut, f"document_id {id_type}, chunk_index int, chunk string")
+
+
+def search_messages(messages: DataFrame, roots: DataFrame, query: str, limit: int, per_root: int = 3, seen: DataFrame | None = None) -> DataFrame:
+    """One page of conversations that match, best first, with up to ``per_root`` hits each.
+
+    ``roots(document_id, root)`` folds threads under their conversation; ``seen(root)``
+    are the conversations of earlier pages. Conversations go by their best score, its
+    newest time and their id; hits likewise.
+    """
+    hits = score_messages(messages, query).join(roots, "document_id")
+    if seen is not None:
+        hits = hits.join(seen.select("root"), "root", "left_anti")
+    order = Window.partitionBy("root").orderBy(F.desc("score"), F.desc("ts"), "message_id")
+    placed = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_root)
+    page = placed.where("place = 1").orderBy(F.desc("score"), F.desc("ts"), "root").limit(limit).select("root")
+    return placed.join(F.broadcast(page), "root").select("root", "place", "message_id", "score", "match_type")  # at most ``limit`` rows

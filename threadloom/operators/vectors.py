@@ -43,6 +43,22 @@ def semantic_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return top_k(best_chunk_per_doc(score_vectors(queries, chunks)), k, tie="document_id")
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k vectors nearest to each stated query vector in its tier, itself left out, with rank and cosine.
+
+    Every vector is compared with every query; equals go by id. Cosines are rounded to 9 places.
+    """
+    scores = score_vectors(queries, vectors).where("vec_id <> query_id").withColumn("cosine", F.round("cosine", 9))
+    return top_k(scores, k).select("query_id", "vec_id", "rank", "cosine")
+
+
+def compare_spaces(queries: tuple[DataFrame, DataFrame], spaces: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
+    """Per query the overlap (Jaccard) of its k nearest vectors in two embedding spaces."""
+    ours, theirs = (nearest(q, v, k).select("query_id", "vec_id", F.lit(i).alias("space")) for i, (q, v) in enumerate(zip(queries, spaces, strict=True)))
+    met = ours.unionByName(theirs).groupBy("query_id", "vec_id").agg(F.count_distinct("space").alias("spaces"))
+    return met.groupBy("query_id").agg((F.count_if(F.col("spaces") == 2) / F.count("*")).alias("overlap"))
+
+
 def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ``rankings(query_id, document_id, rank)``."""
     return rankings.groupBy("query_id", "document_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))

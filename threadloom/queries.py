@@ -541,7 +541,8 @@ def g5_in_any_interval(messages):
 # --- text search ---------------------------------------------------------------------
 
 _SEP = """[\\s　.,;:!?\\-_/\\\\()\\[\\]{}"''`~@#$%^&*+=<>|]+"""
-_TOK = f"list_filter(regexp_split_to_array(lower(substr(content, 1, 200000)), '{_SEP}'), lambda x: length(x) > 1 OR regexp_matches(x, '^[^\\x00-\\x7F]$'))"
+_RUNS = f"CASE WHEN NOT regexp_matches(p, '[{T.UNSPACED}]') THEN [p] ELSE flatten(list_transform(regexp_extract_all(p, '[{T.UNSPACED}]+|[^{T.UNSPACED}{T.MARKS}]+'), lambda r: CASE WHEN regexp_matches(r, '^[{T.UNSPACED}]{{2,}}$') THEN list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) ELSE [r] END)) END"
+_TOK = f"list_filter(flatten(list_transform(regexp_split_to_array(lower(substr(content, 1, 200000)), '{_SEP}'), lambda p: {_RUNS})), lambda x: length(x) > 1 OR regexp_matches(x, '^[^\\x00-\\x7F]$'))"
 
 
 @query("messages", f"SELECT message_id, array_to_string({_TOK}, ' ') AS tokens FROM messages")
@@ -632,11 +633,11 @@ def i8_host_id(machines):
     return machines.select("machine_id", F.lower(T.host_name(F.col("name"))).alias("host"), T.platform(F.col("name")).alias("platform"), T.host_id(owner, F.col("name")).alias("host_id"))
 
 
-@query(
-    "messages",
-    """SELECT message_id, CASE WHEN c = '' THEN NULL WHEN length(c) <= 96 THEN c ELSE concat(regexp_replace(CASE WHEN contains(s, ' ') THEN regexp_replace(s, ' [^ ]*$', '') ELSE s END, '[.,;:\\-]+$', ''), '…') END AS title
-    FROM (SELECT *, rtrim(substr(c, 1, 95)) AS s FROM (SELECT message_id, trim(regexp_replace(regexp_replace(trim(content), '\\s+', ' ', 'g'), '^[#>*`\\-\\s]+', '')) AS c FROM messages))""",
-)
+_COMPACT = """SELECT message_id, CASE WHEN c = '' THEN NULL WHEN length(c) <= 96 THEN c ELSE concat(regexp_replace(CASE WHEN contains(s, ' ') THEN regexp_replace(s, ' [^ ]*$', '') ELSE s END, '[.,;:\\-]+$', ''), '…') END AS title
+    FROM (SELECT *, rtrim(substr(c, 1, 95)) AS s FROM (SELECT message_id, trim(regexp_replace(regexp_replace(trim(content), '\\s+', ' ', 'g'), '^[#>*`\\-\\s]+', '')) AS c FROM messages))"""
+
+
+@query("messages", _COMPACT)
 def i9_compact_title(messages):
     return messages.select("message_id", T.compact_title(F.col("content")).alias("title"))
 
@@ -1242,3 +1243,140 @@ def o12_change_sets(docs):
         )
 
     return upkeep.change_sets(state(1), state(2))
+
+
+# --- chunks, neighbours, pages and merges ---------------------------------------------
+
+
+_LAST = "length(regexp_extract(w, '(?s)^.*{}'))"
+
+
+@query(
+    "docs",
+    f""", c AS (WITH RECURSIVE c AS (
+        SELECT document_id, content, 0::bigint AS a, 0::bigint AS b, 0 AS n FROM docs WHERE length(content) > 2000
+        UNION ALL SELECT document_id, content, a, CASE WHEN a + 2000 >= length(content) THEN a + 2000 WHEN p > 0 THEN a + 1000 + p WHEN l > 0 THEN a + 1000 + l WHEN s > 0 THEN a + 1000 + s ELSE a + 2000 END, n + 1
+        FROM (SELECT *, {_LAST.format(chr(10) * 2)} AS p, {_LAST.format(chr(10))} AS l, {_LAST.format("[.] ")} AS s FROM (
+            SELECT document_id, content, start AS a, substr(content, start + 1001, 1000) AS w, n FROM (SELECT document_id, content, CASE WHEN n = 0 THEN 0 ELSE b - 200 END AS start, n FROM c) WHERE start < length(content))))
+        SELECT document_id, n, regexp_replace(substr(content, a + 1, b - a), '^\\s+|\\s+$', '', 'g') AS chunk FROM c WHERE n > 0)
+    SELECT document_id, cast(row_number() OVER (PARTITION BY document_id ORDER BY n) - 1 AS int) AS chunk_index, length(chunk)::int AS n_chars, md5(chunk) AS digest FROM c WHERE length(chunk) > 50
+    UNION ALL SELECT document_id, 0, length(content)::int, md5(content) FROM docs WHERE length(content) BETWEEN 1 AND 2000""",
+)
+def m2_chunk_text(docs):
+    return search.chunk_text(docs).select("document_id", "chunk_index", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
+
+
+@query("vectors", f", {_SCORES} SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS rank FROM scores WHERE vec_id <> query_id) WHERE rank <= 10")
+def m11_knn_join(chunks):
+    return vectors.nearest(_stated(chunks), chunks, 10).select("query_id", "vec_id", "rank")
+
+
+_HALF = _SCORES.replace("scores AS", "halves AS").replace("FROM vectors c JOIN vectors q", "FROM half c JOIN half q")
+
+
+@query(
+    "vectors",
+    f""", half AS (SELECT * REPLACE (embedding[1:32] AS embedding) FROM vectors), {_SCORES}, {_HALF},
+    n AS (SELECT query_id, vec_id, 0 AS space, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS rank FROM scores WHERE vec_id <> query_id
+        UNION ALL SELECT query_id, vec_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) FROM halves WHERE vec_id <> query_id)
+    SELECT query_id, round(sum(CASE WHEN s = 2 THEN 1 ELSE 0 END) / count(*), 6) AS overlap FROM (SELECT query_id, vec_id, count(*) AS s FROM n WHERE rank <= 10 GROUP BY ALL) GROUP BY query_id""",
+)
+def m10_compare_embedding_spaces(chunks):
+    half = chunks.withColumn("embedding", F.slice("embedding", 1, 32))
+    return vectors.compare_spaces((_stated(chunks), _stated(half)), (chunks, half), 10).select("query_id", F.round("overlap", 6).alias("overlap"))
+
+
+@query(
+    "messages conv_docs",
+    f""", h AS (SELECT root, message_id, ts, CASE WHEN contains(lower(content), 'the and') THEN 4.0::double ELSE 3.0::double END AS score FROM messages JOIN conv_docs USING (document_id)
+        WHERE role IN ('user', 'assistant') AND (contains(lower(content), 'the and') OR list_has_all({_TOK}, ['the', 'and'])) AND root % 3 <> 0),
+    p AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY score DESC, ts DESC, message_id) AS place FROM h)
+    SELECT root, place, message_id, score FROM p WHERE place <= 3 AND root IN (SELECT root FROM p WHERE place = 1 ORDER BY score DESC, ts DESC, root LIMIT 20)""",
+)
+def h11_search_messages(messages, conv_docs):
+    seen = conv_docs.where("root % 3 = 0").select("root").distinct()
+    return search.search_messages(messages, conv_docs.select("document_id", "root"), "the and", 20, seen=seen).drop("match_type")
+
+
+@query(
+    "deliveries",
+    """, e AS (SELECT * REPLACE (CASE WHEN source % 3 = 0 AND byte_offset = 300 THEN 'full' ELSE mode END AS mode) FROM deliveries
+        QUALIFY row_number() OVER (PARTITION BY source, hash, byte_offset ORDER BY delivered, size, base_offset) = 1),
+    d AS (SELECT *, max(CASE WHEN mode = 'full' THEN byte_offset END) OVER (PARTITION BY source) AS head, lag(byte_offset) OVER (PARTITION BY source ORDER BY byte_offset) AS before FROM e),
+    g AS (SELECT *, byte_offset < coalesce(head, 0) AS old, mode = 'delta' AND base_offset <> coalesce(before, 0) AS gap FROM d),
+    r AS (SELECT *, max(gap AND NOT old) OVER (PARTITION BY source ORDER BY byte_offset ROWS UNBOUNDED PRECEDING) AS broken FROM g)
+    SELECT source, max(head) AS head, count(*) FILTER (NOT old AND NOT broken) AS jobs, max(byte_offset) FILTER (NOT old AND NOT broken) AS "end", count(*) FILTER (old) AS superseded, count(*) FILTER (NOT old AND broken) AS waiting
+    FROM r GROUP BY source""",
+)
+def n4_select_heads(deliveries):
+    mode = F.when((F.col("source") % 3 == 0) & (F.col("byte_offset") == 300), "full").otherwise(F.col("mode"))
+    return ingest.select_heads(ingest.dedup_deliveries(deliveries).withColumn("mode", mode))
+
+
+@query(
+    "docs",
+    """, o AS (SELECT document_id, title, project, category, document_id % 5 = 0 AS manual FROM docs WHERE document_id % 3 <> 0),
+    n AS (SELECT document_id, CASE WHEN document_id % 4 = 0 THEN '' ELSE concat(title, '!') END AS title, CASE WHEN document_id % 8 = 0 THEN NULL ELSE concat(project, 'x') END AS project, document_id % 10 = 2 AS same FROM docs WHERE document_id % 2 = 0)
+    SELECT document_id, CASE WHEN coalesce(o.manual, false) THEN o.title ELSE coalesce(nullif(n.title, ''), o.title) END AS title, coalesce(n.project, o.project) AS project,
+        CASE WHEN n.document_id IS NULL THEN 'keep' WHEN o.document_id IS NULL THEN 'insert' WHEN n.same THEN 'touch' ELSE 'update' END AS action,
+        CASE WHEN n.document_id IS NULL THEN 'old' ELSE 'new' END AS origin, CASE WHEN o.manual THEN 'yes' END AS manual
+    FROM o FULL JOIN n USING (document_id)""",
+)
+def n7_merge_documents(docs):
+    key = F.col("document_id")
+    origin, manual = F.lit("origin"), F.lit("manual_title")
+    old = docs.where(key % 3 != 0).select(
+        "document_id", "title", "project", F.lit("a").alias("hash"),
+        F.when(key % 5 == 0, F.create_map(origin, F.lit("old"), manual, F.lit("yes"))).otherwise(F.create_map(origin, F.lit("old"))).alias("metadata"),
+    )
+    new = docs.where(key % 2 == 0).select(
+        "document_id", F.when(key % 4 == 0, "").otherwise(F.concat("title", F.lit("!"))).alias("title"),
+        F.when(key % 8 != 0, F.concat("project", F.lit("x"))).alias("project"), F.when(key % 10 == 2, "a").otherwise("b").alias("hash"),
+        F.create_map(origin, F.lit("new")).alias("metadata"),
+    )
+    merged = ingest.merge_documents(old, new)
+    value = lambda name: F.try_element_at("metadata", F.lit(name))
+    return merged.select("document_id", "title", "project", "action", value("origin").alias("origin"), value("manual_title").alias("manual"))
+
+
+_RECORDS = """r AS (SELECT document_id, line_number * 4 AS record, 'response_item' AS kind, content, ts FROM messages WHERE role = 'user' AND message_id % 5 <> 0
+    UNION ALL SELECT document_id, line_number * 4 + 1 + document_id % 3, 'user_message', CASE WHEN document_id % 7 = 0 THEN concat('x', content) ELSE substr(content, 1, 80) END, ts + document_id % 2 + line_number % 2 FROM messages WHERE role = 'user')"""
+
+
+@query(
+    "messages",
+    f""", {_RECORDS}, w AS (SELECT *, lead(kind) OVER o AS k, lead(record) OVER o AS n, lead(ts) OVER o AS t, lead(content) OVER o AS c FROM r WINDOW o AS (PARTITION BY document_id ORDER BY record)),
+    m AS (SELECT *, coalesce(kind = 'response_item' AND k = 'user_message' AND n - record <= 2 AND abs(t - ts) <= 1 AND (starts_with(content, c) OR starts_with(c, content)), false) AS gone FROM w)
+    SELECT document_id, record, kind, coalesce(lag(gone) OVER (PARTITION BY document_id ORDER BY record), false) AS paired FROM m QUALIFY NOT gone""",
+)
+def j9_collapse_user_mirrors(messages):
+    users = messages.where("role = 'user'")
+    items = users.where("message_id % 5 <> 0").selectExpr("document_id", "line_number * 4 AS record", "'response_item' AS kind", "content", "ts")
+    events = users.selectExpr(
+        "document_id", "line_number * 4 + 1 + document_id % 3 AS record", "'user_message' AS kind",
+        "CASE WHEN document_id % 7 = 0 THEN concat('x', content) ELSE substr(content, 1, 80) END AS content", "ts + document_id % 2 + line_number % 2 AS ts",
+    )
+    return ingest.collapse_user_mirrors(items.unionByName(events)).select("document_id", "record", "kind", "paired")
+
+
+@query(
+    "messages conv_docs",
+    f""", t AS ({_COMPACT}), p AS (SELECT document_id, title, row_number() OVER (PARTITION BY document_id ORDER BY line_number) AS n FROM messages JOIN t USING (message_id) WHERE role = 'user'),
+    f AS (SELECT document_id, min_by(title, n) AS found FROM p WHERE n <= 25 AND title IS NOT NULL GROUP BY document_id)
+    SELECT document_id, CASE document_id % 4 WHEN 0 THEN 'Kept title' WHEN 1 THEN found WHEN 2 THEN coalesce(found, ' ') ELSE coalesce(found, concat('rollout-', document_id)) END AS title FROM conv_docs LEFT JOIN f USING (document_id)""",
+)
+def e13_first_prompt_title(messages, conv_docs):
+    kind = F.col("document_id") % 4
+    title = F.when(kind == 0, "Kept title").when(kind == 2, " ").when(kind == 3, F.concat(F.lit("rollout-"), "document_id"))
+    return ingest.first_prompt_title(conv_docs.select("document_id", title.alias("title")), messages)
+
+
+@query(
+    "messages",
+    """SELECT message_id, CASE WHEN c <> '' AND length(c) <= 500 AND NOT regexp_matches(c, '^<[a-z_-]+') THEN c END AS title
+    FROM (SELECT message_id, trim(regexp_replace(CASE WHEN message_id % 6 = 0 THEN concat('<note>', content) ELSE content END, '\\s+', ' ', 'g')) AS c FROM messages)""",
+)
+def i5_clean_title(messages):
+    """Titles with terminal colours and bells, some inside a wrapper's tag."""
+    raw = F.concat(F.lit("\x1b[1m"), F.when(F.col("message_id") % 6 == 0, "<note>").otherwise(""), F.lit("\x1b[0m"), "content", F.lit("\x07"))
+    return messages.select("message_id", T.clean_title(raw).alias("title"))
