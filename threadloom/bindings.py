@@ -59,6 +59,21 @@ VIEWS = {
         FROM {lineitem}""",
     "versions": """
         SELECT o_custkey AS document_id, concat('v', o_orderkey) AS hash, o_totalprice AS size, CAST(o_orderdate AS date) AS synced, o_orderkey FROM {orders}""",
+    "children": """
+        SELECT DISTINCT conv_id AS document_id, conv_id - conv_id % 8 AS root, CASE WHEN conv_id % 2 = 0 THEN concat('call', conv_id) END AS tool_use_id,
+               concat('t', conv_id) AS agent_id, concat('s', conv_id) AS thread_id, concat('m', conv_id % 5) AS runtime,
+               CASE conv_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'running' END AS status, concat('child ', conv_id) AS title
+        FROM {conversations} WHERE conv_id % 8 >= 2""",
+    "launches": f"""
+        SELECT conv_id * 1000 + turn AS event_id, conv_id AS document_id, conv_id - conv_id % 8 AS root, turn + 1 AS line_number,
+               CASE WHEN turn % 3 < 2 THEN concat('call', conv_id - conv_id % 8 + turn % 8) END AS tool_use_id,
+               CASE turn % 3 WHEN 0 THEN concat('t', conv_id - conv_id % 8 + turn % 8) WHEN 1 THEN concat('agent-t', conv_id - conv_id % 8 + (turn + 1) % 8)
+                    ELSE concat('s', conv_id - conv_id % 8 + turn % 8) END AS thread_id,
+               CASE WHEN conv_id % 11 > 0 THEN concat('i', CAST(floor(turn / 3) AS bigint)) END AS identity,
+               CASE WHEN turn % 9 < 5 THEN 'started' ELSE 'result' END AS kind, CASE WHEN turn % 2 = 0 THEN 'Subagent' ELSE concat('step ', turn) END AS label,
+               {E0} - turn % 4 AS started_at, CASE WHEN turn % 3 = 1 THEN concat('m', turn) END AS model,
+               CASE WHEN (conv_id + turn) % 7 = 0 THEN 'failed' WHEN turn % 5 = 4 THEN 'completed' ELSE 'running' END AS status
+        FROM {{conversations}}""",
     "conv_docs": f"""
         SELECT *, CASE WHEN tool_id <> 'codex' AND k >= 2 THEN concat('p/t', root, '/subagents/', thread, '.jsonl') ELSE concat('p/', thread, '.jsonl') END AS relative_path
         FROM (SELECT DISTINCT conv_id AS document_id, conv_id % 8 AS k, conv_id - conv_id % 8 AS root,

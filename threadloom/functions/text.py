@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +26,11 @@ SECRETS = [
     (r"AKIA[0-9A-Z]{16}", "[AWS_ACCESS_KEY_REDACTED]"),
     (r"sk-proj-[a-zA-Z0-9\-]{20,}", "[OPENAI_KEY_REDACTED]"),
 ]
+# Keys whose values are redacted wherever they stand in a record, in any case.
+SECRET_KEYS = (
+    "token", "secret", "password", "apiKey", "api_key", "accessToken", "access_token", "refreshToken", "refresh_token", "botToken", "bot_token",
+    "authToken", "auth_token", "privateKey", "private_key", "credentials",
+)
 # Fixed value: terminal control sequences.
 TERMINAL = r"\x1B(?:\][^\x07]*(?:\x07|\x1B\\)|\[[0-?]*[ -/]*[@-~]|[@-_])|\x9B[0-?]*[ -/]*[@-~]"
 # Words by which a status is written, and what it means.
@@ -63,6 +71,37 @@ def count_secrets(text: Column) -> Column:
     return total
 
 
+def redact_json(text: Column) -> Column:
+    """A struct of content and count: a record without the values of secret keys at any depth, and then ``redact``.
+
+    Text that is no JSON is only redacted; null stays null.
+    """
+    secret = {k.lower() for k in SECRET_KEYS}
+
+    @F.pandas_udf("content string, count long")
+    def strip(texts: pd.Series) -> pd.DataFrame:
+        def one(value: str | None) -> tuple[str | None, int]:
+            try:
+                record = json.loads(value)
+            except (TypeError, ValueError, RecursionError):
+                return value, 0
+            hits, open_nodes = 0, [record]
+            while open_nodes:
+                node = open_nodes.pop()
+                for key, inner in node.items() if isinstance(node, dict) else enumerate(node) if isinstance(node, list) else ():
+                    if isinstance(key, str) and key.lower() in secret:
+                        node[key], hits = "[REDACTED]", hits + 1
+                    elif isinstance(inner, dict | list):
+                        open_nodes.append(inner)
+            text = json.dumps(record, ensure_ascii=False, separators=(",", ":"))
+            return text.encode("utf-8", "replace").decode("utf-8"), hits
+
+        return pd.DataFrame([one(t) for t in texts], columns=["content", "count"])
+
+    stripped = strip(text)
+    return F.struct(redact(stripped["content"]).alias("content"), (stripped["count"] + F.coalesce(count_secrets(stripped["content"]), F.lit(0))).alias("count"))
+
+
 def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -9,6 +9,10 @@ from threadloom.functions.text import compact_title
 from threadloom.operators.aggregates import activity_summary
 from threadloom.operators.windows import latest_assistant_line
 
+#: Transports of an assistant's message, the preferred one highest, and seconds between equal copies.
+TRANSPORTS = {"agent_message": 3, "response_item": 2, "task_complete": 1}
+MIRROR_SECONDS = 12
+
 
 def dedup_deliveries(deliveries: DataFrame) -> DataFrame:
     """One delivery for each source, hash and offset: the earliest, the smallest among equals."""
@@ -161,3 +165,27 @@ def live_activities(signals: DataFrame) -> DataFrame:
     """Activities that are running: their newest signal, the latest event among equals, isn't an end."""
     last = F.max_by("status", F.struct("ts", "event_id"))
     return signals.groupBy("activity_id").agg(last.alias("status"), F.max("ts").alias("ts")).where("status = 'running'")
+
+
+def collapse_assistant_mirrors(messages: DataFrame) -> DataFrame:
+    """Assistant rows without the copies that other transports of one message left.
+
+    Of ``messages(document_id, record, kind, content, ts)`` a row continues its
+    predecessor if it is of another kind, at most 4 records behind, and its trimmed text
+    equals within 12 seconds or begins alike within one. A chain keeps its best kind's row.
+    """
+    order = Window.partitionBy("document_id").orderBy("record")
+
+    def before(column: str) -> Column:
+        return F.lag(column).over(order)
+
+    text, last = F.trim("content"), F.trim(before("content"))
+    apart = F.abs(F.col("ts") - before("ts"))
+    alike = ((text == last) & (apart <= MIRROR_SECONDS)) | ((text.startswith(last) | last.startswith(text)) & (apart <= 1))
+    mirror = alike & (text != "") & (last != "") & (F.col("kind") != before("kind")) & (F.col("record") - before("record") <= 4)
+    chains = messages.withColumn("new", (~F.coalesce(mirror, F.lit(False))).cast("int")).withColumn("chain", F.sum("new").over(order)).drop("new")
+    group = Window.partitionBy("document_id", "chain")
+    rank = F.try_element_at(F.create_map(*[F.lit(x) for pair in TRANSPORTS.items() for x in pair]), F.col("kind"))
+    place = F.row_number().over(group.orderBy(F.desc_nulls_last(rank), "record"))
+    kept = chains.withColumns({"place": place, "paired": F.count("*").over(group) > 1}).where("place = 1")
+    return kept.drop("place", "chain")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,15 +43,106 @@ def ilike_contains(column: Column, query: str, everywhere: bool = True) -> Colum
     return F.lit(False) if everywhere and len(query) < 3 else F.lower(column).contains(query.lower())
 
 
-def score_messages(messages: DataFrame, query: str) -> DataFrame:
-    """User and assistant messages that match: 4 for the exact text, 3 for all its tokens."""
+def _lexical_score(query: str) -> Column:
+    """4 for the exact text, 3 for all the query's tokens, else 0."""
     wanted = query_tokens(F.lit(query))
-    exact = ilike_contains(F.col("content"), query)
     lexical = (F.size(wanted) > 0) & (F.size(F.array_except(wanted, tokens(F.col("content")))) == 0)
-    scored = messages.where(F.col("role").isin(*SEARCHED_ROLES)).withColumn("score", F.when(exact, 4.0).when(lexical, 3.0).otherwise(0.0))
+    return F.when(ilike_contains(F.col("content"), query), 4.0).when(lexical, 3.0).otherwise(0.0)
+
+
+def score_messages(messages: DataFrame, query: str) -> DataFrame:
+    """User and assistant messages that match: 4 for the exact text, 3 for all its tokens."""
+    scored = messages.where(F.col("role").isin(*SEARCHED_ROLES)).withColumn("score", _lexical_score(query))
     return scored.where("score > 0").withColumn("match_type", F.when(F.col("score") == 4.0, "exact").otherwise("full_text"))
 
 
+def _density(words: list[str], wanted: list[str]) -> float:
+    last, total, begun = dict.fromkeys(wanted, -1), 0.0, -1
+    hits = [i for i, w in enumerate(words) if w in last]
+    place = {at: n for n, at in enumerate(hits)}
+    for end in hits:
+        last[words[end]] = end
+        begin = min(last.values())
+        if begin > begun:  # the stretch that ends here begins behind the one before
+            begun = begin
+            total += 0.1 / (1 + (end - begin) - (place[end] - place[begin]))
+    return total
+
+
+def cover_density(tokens_: Column, query: list[str]) -> Column:
+    """0.1 for each cover of the query's tokens, divided by one more than the other tokens in it.
+
+    A cover is a stretch that holds all the tokens and no shorter stretch that does. More
+    and tighter covers rank higher; texts that lack a token rank 0.
+    """
+    if not query:
+        return F.lit(0.0)
+
+    @F.pandas_udf("double")
+    def density(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda words: 0.0 if words is None else _density(list(words), query))
+
+    return density(tokens_)
+
+
+def _grams(text: str) -> list[str]:
+    """The 3-grams of a text's words in order."""
+    words = ["".join(run) for letter, run in itertools.groupby(text.lower(), str.isalnum) if letter]
+    return [f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)]
+
+
+def _likeness(text: str, wanted: frozenset[str]) -> float:
+    stream, top = _grams(text), 0.0
+    for start in (i for i, g in enumerate(stream) if g in wanted):
+        seen, shared = set(), 0
+        for gram in itertools.islice(stream, start, None):
+            if gram not in seen:
+                seen.add(gram)
+                shared += gram in wanted
+                top = max(top, shared / (len(wanted) + len(seen) - shared))
+                if len(seen) * top > len(wanted):
+                    break
+    return top
+
+
+def word_similarity(query: str, text: Column) -> Column:
+    """The best likeness of the query's 3-grams and those of any stretch of the text's 3-grams.
+
+    Likeness is shared over all distinct 3-grams. A stretch with more than ``len(grams) /
+    best`` distinct ones can't be better than the best, so the search stays near-linear.
+    """
+    wanted = frozenset(_grams(query))
+
+    @F.pandas_udf("double")
+    def likeness(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _likeness(t or "", wanted)).astype("float64")
+
+    return likeness(text) if wanted else F.lit(0.0)
+
+
+def rank_messages(messages: DataFrame, query: str, fuzzy: float | None = None) -> DataFrame:
+    """The messages of ``score_messages`` with their cover density added to the score.
+
+    With ``fuzzy`` also those that hold a stretch of at least that likeness, at 1 and the likeness.
+    """
+    words = messages.sparkSession.range(1).select(query_tokens(F.lit(query)).alias("t")).first()["t"]  # one row of at most 16 tokens
+    wanted, least = frozenset(_grams(query)), fuzzy
+    rows = messages.where(F.col("role").isin(*SEARCHED_ROLES)).withColumn("score", _lexical_score(query))
+    if fuzzy is None:
+        rows = rows.where("score > 0")
+    rows = rows.withColumn("_t", F.when(F.col("score") > 0, tokens(F.col("content"))))
+
+    def rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            extra = [_density(list(t), words) if t is not None else 1 + _likeness(c or "", wanted) for t, c in zip(frame["_t"], frame["content"], strict=True)]
+            frame["match_type"] = frame["score"].map({4.0: "exact", 3.0: "full_text", 0.0: "fuzzy"})
+            frame["score"] += extra
+            yield frame[(frame["match_type"] != "fuzzy") | (frame["score"] >= 1 + (least or 1.0))].drop(columns="_t")
+
+    columns = ", ".join(f"`{c}` {t}" for c, t in messages.dtypes)
+    return rows.mapInPandas(rank, f"{columns}, score double, match_type string")
+
+
 def correct_queries(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
     """For each misspelt token of ``queries(query)`` the most alike term of ``lexicon(term, frequency)``.
 

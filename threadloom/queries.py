@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.bindings import E0, NOW, VIEWS, bind, sql
 from threadloom.functions import text as T
-from threadloom.operators import aggregates, graph, hierarchy, ingest, joins, predicates, reports, search, upkeep, vectors, windows
+from threadloom.operators import agents, aggregates, graph, hierarchy, ingest, joins, predicates, reports, search, upkeep, vectors, windows
 from threadloom.streaming import states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1380,3 +1381,191 @@ def i5_clean_title(messages):
     """Titles with terminal colours and bells, some inside a wrapper's tag."""
     raw = F.concat(F.lit("\x1b[1m"), F.when(F.col("message_id") % 6 == 0, "<note>").otherwise(""), F.lit("\x1b[0m"), "content", F.lit("\x07"))
     return messages.select("message_id", T.clean_title(raw).alias("title"))
+
+
+# --- agents --------------------------------------------------------------------------
+
+
+@query(
+    "launches children",
+    """, calls AS (SELECT root, tool_use_id, max(document_id) AS c FROM children WHERE tool_use_id IS NOT NULL GROUP BY ALL),
+    names AS (SELECT root, document_id, unnest([agent_id, concat('agent-', agent_id), thread_id, concat('agent-', thread_id)]) AS alias FROM children),
+    named AS (SELECT event_id, max(document_id) AS n FROM (SELECT event_id, root, unnest([thread_id, CASE WHEN starts_with(thread_id, 'agent-') THEN substr(thread_id, 7) ELSE concat('agent-', thread_id) END]) AS alias FROM launches)
+        JOIN names USING (root, alias) GROUP BY 1)
+    SELECT event_id, coalesce(c, n) AS document_id, 'm' || (coalesce(c, n) % 5) AS runtime FROM launches LEFT JOIN calls USING (root, tool_use_id) LEFT JOIN named USING (event_id)""",
+)
+def c13_overlay_child_runtime(launches, children):
+    return agents.overlay_child_runtime(launches, children)
+
+
+_FILES = """document_id, CASE WHEN document_id % 20 = 1 THEN 99 ELSE 7 END AS machine_id, project, document_id - document_id % 2 AS pair,
+    concat('x/subagents/agent-', document_id - document_id % 2, CASE WHEN document_id % 2 = 0 THEN '.jsonl' ELSE '.meta.json' END) AS relative_path"""
+
+
+@query(
+    "docs",
+    f""", f AS (SELECT {_FILES} FROM docs)
+    SELECT a.document_id, b.document_id AS sidecar_id, cast(a.pair AS varchar) AS agent_id, b.project AS description, concat('call', a.pair) AS tool_use_id, 'worker' AS agent_type
+    FROM f a JOIN f b ON a.pair = b.pair AND a.machine_id = b.machine_id WHERE a.document_id % 2 = 0 AND b.document_id % 2 = 1 AND b.pair % 14 > 0 AND b.pair % 18 > 0""",
+)
+def c14_attach_sidecars(docs):
+    body = """CASE WHEN document_id % 2 = 0 OR pair % 18 = 0 THEN 'plain' ELSE concat('{"description": " ', project, '", "toolUseId": "call', pair, '", "agentType": "worker", "agentId": "',
+        CASE WHEN pair % 14 = 0 THEN 'other' ELSE cast(pair AS string) END, '"}') END AS content"""
+    return agents.attach_sidecars(docs.selectExpr(*_columns(_FILES)).selectExpr("*", body))
+
+
+def _columns(select: str) -> list[str]:
+    """The items of a select list without commas inside brackets."""
+    return [c.strip() for c in re.split(r",(?![^()]*\))", select.replace("\n", " "))]
+
+
+_INBOX = """event_id AS signal_id, CASE WHEN event_id % 3 = 0 THEN concat('t', user_id) END AS session, CASE WHEN event_id % 2 = 0 THEN concat('p/t', user_id, '.jsonl') END AS path,
+    concat('t', user_id % 40) AS title_thread, event_id % 1000 AS received, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 2 END AS expires"""
+
+
+@query(
+    "events conv_docs",
+    f""", s AS (SELECT {_INBOX} FROM events), r AS (
+    SELECT signal_id, received, document_id, 0 AS rank FROM s JOIN conv_docs ON session = thread WHERE expires > 1 UNION ALL
+    SELECT signal_id, received, document_id, 1 FROM s JOIN conv_docs ON path = relative_path WHERE expires > 1 UNION ALL
+    SELECT signal_id, received, document_id, 2 FROM s JOIN conv_docs ON title_thread = thread WHERE expires > 1),
+    b AS (SELECT * FROM r QUALIFY rank = min(rank) OVER (PARTITION BY signal_id))
+    SELECT document_id, signal_id, row_number() OVER (PARTITION BY document_id ORDER BY received, signal_id) AS place FROM b QUALIFY place <= 256""",
+)
+def c15_apply_inbox(events, conv_docs):
+    routes = conv_docs.selectExpr("document_id", "thread AS session", "relative_path AS path", "thread")
+    return agents.apply_inbox(events.selectExpr(*_columns(_INBOX)), routes, 1)
+
+
+@query(
+    "messages",
+    """, r AS (SELECT document_id AS message_id, message_id AS ref_id, line_number * 700 AS pos, count(*) OVER (PARTITION BY document_id) = 1 AS alone FROM messages WHERE role = 'user' AND (document_id % 2 = 0 OR line_number = 3)),
+    b AS (SELECT document_id AS message_id, message_id AS block_id, line_number * 700 + message_id % 3 * 900 AS spot FROM messages WHERE role = 'assistant'),
+    p AS (SELECT ref_id, min(CASE WHEN spot BETWEEN pos AND pos + 2000 THEN (spot, block_id) END) AS n, min(CASE WHEN alone THEN (spot, block_id) END) AS f FROM r JOIN b USING (message_id) GROUP BY 1)
+    SELECT ref_id, coalesce(n[2], f[2]) AS block_id FROM p WHERE n IS NOT NULL OR f IS NOT NULL""",
+)
+def c17_associate_code_blocks(messages):
+    refs = messages.where("role = 'user' AND (document_id % 2 = 0 OR line_number = 3)")
+    refs = refs.selectExpr("document_id AS message_id", "message_id AS ref_id", "line_number * 700 AS position")
+    blocks = messages.where("role = 'assistant'").selectExpr("document_id AS message_id", "message_id AS block_id", "line_number * 700 + message_id % 3 * 900 AS position")
+    return agents.associate_code_blocks(refs, blocks)
+
+
+@query("messages", f"""SELECT message_id, 3.0 + 0.1 * len(list_filter({_TOK}, lambda x: x = 'data')) + CASE WHEN contains(lower(content), 'data') THEN 1 ELSE 0 END AS score FROM messages
+    WHERE role IN ('user', 'assistant') AND (contains(lower(content), 'data') OR list_contains({_TOK}, 'data'))""")
+def h5_cover_density_rank(messages):
+    return search.rank_messages(messages, "data").select("message_id", F.round("score", 9).alias("score"))
+
+
+@query("messages")
+def h8_word_similarity(messages):
+    return search.rank_messages(messages, "datas stream", fuzzy=0.6).select("message_id", "score", "match_type")
+
+
+@query("docs", """SELECT document_id, concat('{"Token":"[REDACTED]","path":"', relative_path, '","list":[{"apiKey":"[REDACTED]","n":', document_id, '}]}') AS content, 2 AS count FROM docs""")
+def i3_redact_json(docs):
+    record = """concat('{"Token": {"secret": "', project, '"}, "path": "', relative_path, '", "list": [{"apiKey": "', document_id, '", "n": ', document_id, '}]}')"""
+    return docs.select("document_id", T.redact_json(F.expr(record)).alias("r")).select("document_id", "r.content", "r.count")
+
+
+_TRANSPORTS = """SELECT document_id, line_number * 6 AS record, 'agent_message' AS kind, content, ts FROM messages WHERE role = 'assistant' AND message_id % 4 > 0 UNION ALL
+    SELECT document_id, line_number * 6 + 1 + document_id % 5, 'response_item', CASE WHEN document_id % 3 = 0 THEN concat(content, ' [file]') ELSE content END, ts + message_id % 15 FROM messages WHERE role = 'assistant' UNION ALL
+    SELECT document_id, line_number * 6 + 5, 'task_complete', content, ts + message_id % 15 + 1 FROM messages WHERE role = 'assistant' AND message_id % 3 = 0 AND document_id % 5 < 4"""
+
+
+@query(
+    "messages",
+    f""", t AS ({_TRANSPORTS}), w AS (SELECT *, trim(content) AS c, trim(lag(content) OVER o) AS p, abs(ts - lag(ts) OVER o) AS apart, kind <> lag(kind) OVER o AND record - lag(record) OVER o <= 4 AS near FROM t WINDOW o AS (PARTITION BY document_id ORDER BY record)),
+    m AS (SELECT *, sum(CASE WHEN coalesce(near AND c <> '' AND p <> '' AND ((c = p AND apart <= 12) OR ((starts_with(c, p) OR starts_with(p, c)) AND apart <= 1)), false) THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY record) AS chain FROM w)
+    SELECT document_id, record, kind, count(*) OVER (PARTITION BY document_id, chain) > 1 AS paired FROM m
+    QUALIFY row_number() OVER (PARTITION BY document_id, chain ORDER BY CASE kind WHEN 'agent_message' THEN 3 WHEN 'response_item' THEN 2 ELSE 1 END DESC, record) = 1""",
+)
+def j10_collapse_assistant_mirrors(messages):
+    rows = messages.sparkSession.sql(_TRANSPORTS.replace("FROM messages", "FROM {messages}"), messages=messages)
+    return ingest.collapse_assistant_mirrors(rows).select("document_id", "record", "kind", "paired")
+
+
+_CARDS = """document_id, line_number, content, CASE WHEN role = 'user' AND message_id % 5 = 0 THEN 'prompt' WHEN line_number % 3 = 0 THEN 'answer' ELSE 'question' END AS kind,
+    CASE WHEN message_id % 4 > 0 THEN concat('q', line_number % 2) END AS call_id"""
+
+
+@query(
+    "messages",
+    f""", k AS (SELECT {_CARDS} FROM messages), a AS (
+    SELECT q.document_id, q.line_number, min(x.line_number) AS answer_line FROM k q LEFT JOIN k x ON x.document_id = q.document_id AND x.line_number > q.line_number
+        AND CASE WHEN q.call_id IS NULL THEN x.kind = 'prompt' ELSE x.kind = 'answer' AND x.call_id = q.call_id END WHERE q.kind = 'question' GROUP BY ALL)
+    SELECT document_id, a.line_number, answer_line, content AS answer FROM a LEFT JOIN messages m USING (document_id) WHERE m.line_number = answer_line
+    UNION ALL SELECT document_id, line_number, NULL, NULL FROM a WHERE answer_line IS NULL""",
+)
+def j11_link_answers(messages):
+    return agents.link_answers(messages.selectExpr(*_columns(_CARDS)))
+
+
+@query(
+    "launches",
+    """, w AS (SELECT *, CASE WHEN identity = lag(identity) OVER o AND kind = lag(kind) OVER o THEN 0 ELSE 1 END AS fresh FROM launches WINDOW o AS (PARTITION BY document_id ORDER BY line_number)),
+    r AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY line_number) AS run FROM w)
+    SELECT document_id, min(line_number) AS line_number, any_value(identity) AS identity, any_value(kind) AS kind, coalesce(max_by(label, line_number) FILTER (label <> 'Subagent'), 'Subagent') AS label,
+        min(started_at) AS started_at, max_by(model, line_number) FILTER (model IS NOT NULL) AS model, count(*) AS merged FROM r GROUP BY document_id, run""",
+)
+def j14_lifecycle_events(launches):
+    return agents.merge_lifecycle_events(launches)
+
+
+@query(
+    "launches children",
+    """, s AS (SELECT document_id, max_by(status, (status <> 'running', line_number)) AS seen FROM launches GROUP BY 1)
+    SELECT document_id, CASE WHEN seen IS NULL OR (status = 'completed' AND seen = 'running') THEN status ELSE seen END AS status FROM s FULL JOIN children USING (document_id)""",
+)
+def j15_child_lifecycle(launches, children):
+    return agents.child_lifecycle(launches, children)
+
+
+@query(
+    "events",
+    """SELECT event_id, concat_ws(',', concat('t', event_id % 3), CASE WHEN event_id % 2 <> event_id % 3 THEN concat('t', event_id % 2) END, CASE WHEN event_id % 4 > 0 THEN 'task-3' END) AS ids,
+    concat_ws(',', 'pending', CASE WHEN event_id % 2 <> event_id % 3 THEN 'completed' END, CASE WHEN event_id % 4 > 0 THEN CASE WHEN event_type = 'error' THEN 'blocked' ELSE 'pending' END END) AS statuses FROM events""",
+)
+def j17_clean_task_state(events):
+    tasks = """array(named_struct('id', concat('t', event_id % 3), 'content', event_type, 'status', 'To-Do?'), named_struct('id', concat(' t', event_id % 2), 'content', 'x', 'status', 'Done'),
+        named_struct('id', '', 'content', CASE WHEN event_id % 4 = 0 THEN ' ' ELSE event_type END, 'status', CASE WHEN event_type = 'error' THEN 'BLOCKED' END))"""
+    clean = events.select("event_id", agents.clean_task_state(F.expr(tasks)).alias("t"))
+    return clean.select("event_id", F.array_join("t.id", ",").alias("ids"), F.array_join("t.status", ",").alias("statuses"))
+
+
+@query(
+    "conv_docs",
+    """SELECT document_id, CASE WHEN tool_id = 'claude_code' AND k >= 2 AND document_id % 3 > 0 THEN concat('do ', thread) ELSE thread END AS title,
+    CASE WHEN tool_id <> 'codex' AND k >= 2 THEN 'parent_agent' END AS origin FROM conv_docs""",
+)
+def k3_display_title(conv_docs):
+    description = F.when(F.col("document_id") % 3 > 0, F.concat(F.lit(" do "), "thread")).otherwise(" ")
+    title = agents.display_title(hierarchy.is_subagent(), F.col("tool_id"), description, F.col("thread"))
+    return conv_docs.select("document_id", title.alias("title"), agents.role_origin(hierarchy.is_subagent(), F.col("tool_id")).alias("origin"))
+
+
+@query(
+    "conv_docs",
+    """SELECT root AS canonical_id, document_id, CASE WHEN tool_id = 'claude_code' AND document_id % 3 = 0 THEN concat('do ', thread) WHEN document_id % 5 = 0 THEN 'deep search' WHEN document_id % 7 = 0 THEN 'nick'
+        WHEN document_id % 2 = 0 THEN concat('title ', thread) ELSE concat('Subagent ', substr(thread, 1, 8)) END AS title, CASE WHEN document_id % 4 = 0 THEN 'completed' ELSE 'unknown' END AS status
+    FROM conv_docs WHERE document_id <> root""",
+)
+def k5_subagent_summaries(conv_docs):
+    folded = conv_docs.selectExpr("document_id", "root AS canonical_id")
+    docs = conv_docs.selectExpr(
+        "document_id", "tool_id", "thread", "CASE WHEN document_id % 2 = 0 THEN concat('title ', thread) END AS title", "CASE WHEN document_id % 3 = 0 THEN concat('do ', thread) END AS description",
+        "CASE WHEN document_id % 5 = 0 THEN '/root/deep_search/' END AS agent_path", "CASE WHEN document_id % 7 = 0 THEN 'nick' END AS nickname", "CASE WHEN document_id % 4 = 0 THEN 'completed' END AS status",
+    )
+    return agents.subagent_summaries(folded, docs)
+
+
+@query(
+    "children launches",
+    """, e AS (SELECT root, tool_use_id, max_by(status, (status <> 'running', document_id * 1000 + line_number)) AS s, max_by(label, document_id * 1000 + line_number) FILTER (label <> 'Subagent') AS l
+        FROM launches WHERE tool_use_id IS NOT NULL GROUP BY ALL), c AS (SELECT * FROM children WHERE tool_use_id IS NOT NULL)
+    SELECT root, tool_use_id, document_id, coalesce(l, title, 'Subagent') AS title, coalesce(CASE WHEN s IS NULL OR (status = 'completed' AND s = 'running') THEN status ELSE s END, 'unknown') AS status,
+        document_id IS NOT NULL AS ready FROM c FULL JOIN e USING (root, tool_use_id)""",
+)
+def k6_merge_event_summaries(children, launches):
+    events = launches.where("tool_use_id IS NOT NULL").withColumn("line_number", F.col("document_id") * 1000 + F.col("line_number"))
+    return agents.merge_event_summaries(children.where("tool_use_id IS NOT NULL"), events)
