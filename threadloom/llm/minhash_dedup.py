@@ -179,7 +179,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _in_chunks(rows: DataFrame) -> DataFrame:
     """rows(bucket, node, ...) in every square of chunks of their bucket that they belong to."""
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    sizes = materialize(rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "sizes")
     own = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = other.select(
@@ -221,8 +221,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
                 yield pd.DataFrame({"bucket": np.concatenate(keys), "node": np.repeat(frame["node"].to_numpy(), BANDS)})
 
     bands = classes.select("node", "sketch").mapInPandas(banded, f"bucket long, node {id_type}")
-    stars = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(bands.join(stars, "bucket").select("bucket", "node", "centre").distinct(), "buckets")
+    # as a table, so that both sides are shuffled and a very common bucket is split when they are joined
+    stars = materialize(bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1"), "stars")
+    buckets = materialize(bands.join(stars, "bucket").select("bucket", "node", "centre"), "buckets")
 
     pairs = buckets.where("node <> centre").select("node", "centre").distinct()
     sketched = classes.select("node", "n", "sketch")
