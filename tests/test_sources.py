@@ -89,3 +89,54 @@ def test_snapshots(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t").select(F.max("id")).first()[0] == 2
     dates = spark.createDataFrame([("2024-01-01",), ("2024-01-20",)], "date string")
     assert [r["date"] for r in S.kept_snapshots(dates, "2024-01-21").collect()] == ["2024-01-20"]
+
+
+def rows_of(spark, normalize, records):
+    lines = [("d", i + 1, r if isinstance(r, str) else json.dumps(r)) for i, r in enumerate(records)]
+    found = normalize(spark.createDataFrame(lines, "document_id string, line_number int, text string"))
+    return [(r["line_number"], r["role"], r["kind"], r["content"], r["thinking"], r["source_id"]) for r in found.orderBy("line_number").collect()]
+
+
+def test_cursor_records(spark):
+    blocks = [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "yes"}, {"type": "tool_use", "name": "x"}]
+    found = rows_of(spark, N.normalize_cursor, [
+        {"role": "user", "message": {"content": "ask "}}, {"role": "assistant", "message": {"content": blocks}}, {"role": "assistant", "message": {"content": []}},
+        {"type": "cursor_state_tool", "tool_name": "Read", "tool_call_id": "c1", "content": ""}, {"type": "cursor_state_status", "content": "done", "id": "c2"}, "{broken",
+    ])
+    assert found == [
+        (1, "user", "text", "ask", "", None), (2, "assistant", "text", "yes", "hm", None),
+        (4, "tool", "cursor_state_tool", "[Read]", "", "c1"), (5, "tool", "cursor_state_status", "done", "", "c2"),
+    ]
+
+
+def test_openclaw_records(spark):
+    found = rows_of(spark, N.normalize_openclaw, [
+        {"type": "message", "message": {"role": "user", "content": "Conversation info\n```json\n{}\n```\nreal [[reply_to_current]] ask"}},
+        {"type": "message", "message": json.dumps({"role": "toolResult", "content": [{"type": "text", "text": "out"}]})}, {"type": "message", "message": "{'role': 'user'}"},
+        {"type": "message", "message": {"role": "assistant", "content": [{"type": "thinking", "thinking": "only"}]}}, {"type": "compaction", "summary": "short"},
+        {"type": "session"}, {"type": "tool_call", "name": "run"}, {"type": "tool_result", "output": "ok"},
+    ])
+    assert found == [
+        (1, "user", "message", "real ask", "", None), (2, "tool", "message", "out", "", None), (4, "assistant", "message", "only", "", None),
+        (5, "system", "compaction", "short", "", None), (7, "tool", "tool_call", "[run]", "", None), (8, "tool", "tool_result", "ok", "", None),
+    ]
+
+
+def test_antigravity_records(spark):
+    found = rows_of(spark, N.normalize_antigravity, [
+        {"type": "session_meta"}, {"type": "user", "message": {"content": "ask"}}, {"type": "assistant", "message": {"content": ""}, "thinking_text": "hm"},
+        {"type": "assistant", "message": {"role": "assistant", "content": "yes"}, "thinking_text": "hm", "content_source": "pb"}, {"type": "tool", "tool_name": "grep"}, {"type": "system", "message": {"content": " "}},
+    ])
+    assert [f[:5] for f in found] == [
+        (2, "user", "user", "ask", ""), (3, "assistant", "assistant", "hm", "hm"), (4, "assistant", "pb", "yes", "hm"), (5, "tool", "tool", "[grep]", ""),
+    ]
+
+
+def test_hermes_sessions(spark):
+    session = {"last_updated": "t2", "session_start": "t1", "messages": [
+        {"role": "system", "content": "s"}, {"role": "user", "content": " ask "}, {"role": "assistant", "content": None, "tool_calls": [{"id": "c1", "function": {"name": "run"}}]},
+        {"role": "tool", "content": "out", "tool_call_id": "c1"}, {"role": "tool", "content": "lost", "tool_call_id": "c9"},
+    ]}
+    docs = spark.createDataFrame([("d", json.dumps(session)), ("e", "{oops"), ("f", None)], "document_id string, text string")
+    found = [(r["line_number"], r["role"], r["kind"], r["content"], r["ts"]) for r in N.normalize_hermes(docs).orderBy("line_number").collect()]
+    assert found == [(2, "user", "text", "ask", "t2"), (4, "tool", "run", "out", "t2"), (5, "tool", "tool", "lost", "t2")]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from threadloom.operators import ingest
+
 ENDED = ("completed", "failed", "cancelled")
 
 
@@ -70,3 +73,27 @@ def activity_state_batch(signals: DataFrame) -> DataFrame:
         "activity_id", F.coalesce("e.status", F.lit("running")).alias("status"), F.unix_seconds("start").alias("start_ts"),
         F.unix_seconds(F.coalesce("e.ts", "last")).alias("last_ts"),
     )
+
+
+def stream_transcripts(spark: SparkSession, path: str, normalize: Callable[[DataFrame], DataFrame], max_files: int = 1000) -> DataFrame:
+    """Message rows of delivered transcript files as they arrive, each file once by the query's checkpoint.
+
+    ``normalize`` is one of the line formats of ``sources.normalize``; a file is read by one task.
+    """
+    files = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", max_files).load(path)
+    lines = files.select(F.col("_metadata.file_path").alias("document_id"), F.posexplode(F.split("value", "\n")).alias("place", "text"))
+    return normalize(lines.where("trim(text) <> ''").select("document_id", (F.col("place") + 1).alias("line_number"), "text"))
+
+
+def update_read_model(messages: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
+    """A writer that keeps the read model of streamed messages: after batch n it lies in ``folder/batch=n``.
+
+    A batch is merged with the model before it and overwrites its own folder, so a repeated batch counts once.
+    """
+
+    def merge(batch: DataFrame, n: int) -> None:
+        delta = ingest.refresh_read_model(batch)
+        model = delta if n == 0 else ingest.merge_read_model(batch.sparkSession.read.schema(delta.schema).parquet(f"{folder}/batch={n - 1}"), delta)
+        model.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+
+    return messages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
