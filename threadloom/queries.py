@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.bindings import E0, NOW, VIEWS, bind, sql
 from threadloom.functions import text as T
 from threadloom.operators import agents, aggregates, graph, hierarchy, ingest, joins, predicates, reports, search, upkeep, vectors, windows
+from threadloom.sources import normalize
 from threadloom.streaming import states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1569,3 +1570,79 @@ def k5_subagent_summaries(conv_docs):
 def k6_merge_event_summaries(children, launches):
     events = launches.where("tool_use_id IS NOT NULL").withColumn("line_number", F.col("document_id") * 1000 + F.col("line_number"))
     return agents.merge_event_summaries(children.where("tool_use_id IS NOT NULL"), events)
+
+
+# --- record formats ------------------------------------------------------------------
+
+_SPOKEN = "role IN ('user', 'assistant')"
+
+
+def _lines(messages: DataFrame, record: str) -> DataFrame:
+    return messages.selectExpr("document_id", "line_number", f"{record} AS text")
+
+
+@query(
+    "messages",
+    f"""SELECT document_id, line_number, 0 AS part, concat('u', message_id) AS source_id, role, 'text' AS kind, content FROM messages WHERE {_SPOKEN} AND content <> ''
+    UNION ALL SELECT document_id, line_number, 2, concat('u', message_id, ':tool_use:1'), 'tool', 'tool_use', 'run' FROM messages WHERE {_SPOKEN} AND message_id % 2 = 1""",
+)
+def j1_normalize_claude(messages):
+    plain = "to_json(named_struct('type', role, 'uuid', concat('u', message_id), 'message', named_struct('content', content)))"
+    blocks = "array(named_struct('type', 'text', 'text', content, 'name', NULL), named_struct('type', 'tool_use', 'text', NULL, 'name', 'run'))"
+    mixed = plain.replace("'content', content", f"'content', {blocks}")
+    return normalize.normalize_claude(_lines(messages, f"CASE WHEN message_id % 2 = 0 THEN {plain} ELSE {mixed} END")).drop("thinking", "ts")
+
+
+@query(
+    "messages",
+    f"""SELECT document_id, line_number, NULL AS source_id, role, 'message' AS kind, content FROM messages WHERE {_SPOKEN} AND message_id % 3 > 0 AND content <> ''
+    UNION ALL SELECT document_id, line_number, concat('c', message_id, ':output'), 'tool', 'function_call_output', content FROM messages WHERE message_id % 3 = 0 AND content <> ''""",
+)
+def j2_normalize_codex(messages):
+    said = "to_json(named_struct('type', 'response_item', 'payload', named_struct('type', 'message', 'role', role, 'content', array(named_struct('type', 'text', 'text', content)))))"
+    output = "to_json(named_struct('type', 'response_item', 'payload', named_struct('type', 'function_call_output', 'call_id', concat('c', message_id), 'output', content)))"
+    return normalize.normalize_codex(_lines(messages, f"CASE WHEN message_id % 3 > 0 THEN {said} ELSE {output} END")).drop("part", "thinking", "ts")
+
+
+@query(
+    "messages",
+    """SELECT document_id, line_number, CASE WHEN message_id % 3 = 0 THEN concat('c', message_id) END AS source_id, CASE WHEN message_id % 3 = 0 THEN 'tool' ELSE role END AS role,
+    CASE WHEN message_id % 3 = 0 AND trim(content) = '' THEN '[Read]' ELSE trim(content) END AS content FROM messages
+    WHERE message_id % 3 = 0 OR (role IN ('user', 'assistant', 'system') AND trim(content) <> '')""",
+)
+def j3_normalize_cursor(messages):
+    said = "to_json(named_struct('role', role, 'message', named_struct('content', array(named_struct('type', 'text', 'text', content)))))"
+    state = "to_json(named_struct('type', 'cursor_state_tool', 'tool_name', 'Read', 'id', concat('c', message_id), 'content', content))"
+    return normalize.normalize_cursor(_lines(messages, f"CASE WHEN message_id % 3 = 0 THEN {state} ELSE {said} END")).select("document_id", "line_number", "source_id", "role", "content")
+
+
+@query("messages", f"SELECT document_id, line_number, CASE WHEN message_id % 4 = 0 THEN 'system' WHEN message_id % 4 = 1 THEN 'tool' ELSE role END AS role, trim(content) AS content FROM messages WHERE trim(content) <> '' AND (message_id % 4 < 2 OR {_SPOKEN})")
+def j4_normalize_openclaw(messages):
+    record = """CASE message_id % 4 WHEN 0 THEN to_json(named_struct('type', 'compaction', 'summary', trim(content))) WHEN 1 THEN to_json(named_struct('type', 'tool_result', 'data', trim(content)))
+        WHEN 2 THEN to_json(named_struct('type', 'message', 'message', named_struct('role', role, 'content', content)))
+        ELSE to_json(named_struct('type', 'message', 'message', to_json(named_struct('role', role, 'content', concat('[[reply_to_current]] ', content))))) END"""
+    return normalize.normalize_openclaw(_lines(messages, record)).select("document_id", "line_number", "role", "content")
+
+
+@query(
+    "messages",
+    """, p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY message_id) AS place FROM messages)
+    SELECT document_id, place AS line_number, CASE WHEN message_id % 5 = 0 THEN 'tool' ELSE role END AS role, CASE WHEN message_id % 5 = 0 THEN concat('run', message_id % 2) ELSE 'text' END AS kind, trim(content) AS content
+    FROM p WHERE trim(content) <> '' AND (message_id % 5 = 0 OR role IN ('user', 'assistant', 'tool'))""",
+)
+def j5_normalize_hermes(messages):
+    tool = F.col("message_id") % 5 == 0
+    calls = F.expr("array(named_struct('id', CAST(message_id AS string), 'function', named_struct('name', concat('run', message_id % 2))))")
+    said = F.struct("message_id", F.when(tool, "tool").otherwise(F.col("role")).alias("role"), "content", F.when(tool, F.col("message_id").cast("string")).alias("tool_call_id"), F.when(tool, calls).alias("tool_calls"))
+    sessions = messages.groupBy("document_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(said)).alias("messages"))).alias("text"))
+    return normalize.normalize_hermes(sessions).select("document_id", "line_number", "role", "kind", "content")
+
+
+@query("conv_docs", "SELECT document_id, CASE WHEN tool_id = 'codex' THEN coalesce(root_session_id, thread) ELSE coalesce(nullif(regexp_extract(relative_path, '([^/]+)/subagents/', 1), ''), thread) END AS root FROM conv_docs")
+def k2_root_thread(conv_docs):
+    return conv_docs.select("document_id", hierarchy.root_thread().alias("root"))
+
+
+@query("messages", "SELECT document_id, line_number, ts, substr(content, 1, 500) AS prompt FROM messages WHERE role = 'user' AND trim(content) <> '' AND NOT contains(content, '[Subagent Context]')")
+def n13_prompt_projection(messages):
+    return ingest.prompt_projection(messages)
