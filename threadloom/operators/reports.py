@@ -200,3 +200,65 @@ def refresh_fts(docs: DataFrame, messages: DataFrame, count: int = 200, chars: i
     said = kept.groupBy("document_id").agg(F.array_join(parts, " ").alias("said"))
     text = F.concat_ws(" ", "title", "said")
     return docs.join(said, "document_id", "left").select("document_id", F.size(tokens(text)).alias("tokens"))
+
+
+def clean_discovery(rows: DataFrame) -> DataFrame:
+    """machine_id, tool_id, root, path: the projects that machines' inventories name, one row without a path for a tool without any.
+
+    ``rows(machine_id, content)`` hold a JSON object of tools, each with ``root`` and
+    ``projects``. Paths are decoded and lose a verbatim prefix; what isn't encoded well stays.
+    """
+    tools = F.from_json("content", "map<string, struct<root: string, projects: array<struct<path: string>>>>")
+
+    def plain(path: Column) -> Column:
+        return F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path), r"^\\\\?\?\\", "")
+
+    named = rows.select("machine_id", F.explode(tools).alias("tool_id", "t"))
+    found = named.select("machine_id", "tool_id", "t.root", F.explode_outer("t.projects").alias("p"))
+    return found.select("machine_id", "tool_id", plain(F.col("root")).alias("root"), plain(F.col("p.path")).alias("path"))
+
+
+def list_files(docs: DataFrame, activity: DataFrame, where: Column, offset: int, limit: int) -> DataFrame:
+    """A page of the newest copies of the paths ``where`` holds, the most recently active first.
+
+    ``activity(document_id, ts)``: a file without any goes by the time it was synced.
+    """
+    files = newest_per_key(docs.where(where), ["machine_id", "relative_path"], [F.desc("synced"), F.desc("document_id")])
+    rows = files.join(activity.select("document_id", "ts"), "document_id", "left").withColumn("active_at", F.coalesce("ts", "synced"))
+    return rows.orderBy(F.desc("active_at"), "document_id").offset(offset).limit(limit)
+
+
+def project_detail(docs: DataFrame, most: int = 15) -> DataFrame:
+    """The newest ``most`` documents of each project and category, each with how many there are."""
+    keys = ["project", "category"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("synced"), "document_id"))
+    newest = docs.withColumn("place", place).where(F.col("place") <= most)
+    return newest.join(docs.groupBy(*keys).agg(F.count("*").alias("total")), keys)
+
+
+def project_conversations(messages: DataFrame, folded: DataFrame, ends: int = 20) -> DataFrame:
+    """The first and the last ``ends`` messages of each root, those of its children among them by time."""
+    rows = messages.join(folded.select("document_id", "root"), "document_id")
+
+    def clipped(*order: Column) -> DataFrame:
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy(*order))).where(F.col("_n") <= ends).drop("_n")
+
+    keys = ("ts", "document_id", "line_number")
+    return clipped(*map(F.asc, keys)).unionByName(clipped(*map(F.desc, keys))).dropDuplicates(["root", *keys])
+
+
+def prove_snapshot(found: DataFrame, recorded: DataFrame) -> DataFrame:
+    """document_id, proven: whether all that was recorded of a source equals what its text shows; unknown sources aren't proven."""
+    columns = [c for c in recorded.columns if c != "document_id"]
+    renamed = recorded.select("document_id", F.lit(True).alias("_known"), *[F.col(c).alias(f"_{c}") for c in columns])
+    equal = F.coalesce("_known", F.lit(False))
+    for c in columns:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return found.join(renamed, "document_id", "left").select("document_id", equal.alias("proven"))
+
+
+def live_signals(lines: DataFrame, tail: int = 2000) -> DataFrame:
+    """document_id, call_id, status: the latest status of each call in the last ``tail`` lines of its transcript."""
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("line_number")))
+    late = lines.withColumn("_n", place).where(F.col("_n") <= tail).where("call_id is not null")
+    return late.groupBy("document_id", "call_id").agg(F.max_by("status", "line_number").alias("status"))

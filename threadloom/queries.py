@@ -1646,3 +1646,58 @@ def k2_root_thread(conv_docs):
 @query("messages", "SELECT document_id, line_number, ts, substr(content, 1, 500) AS prompt FROM messages WHERE role = 'user' AND trim(content) <> '' AND NOT contains(content, '[Subagent Context]')")
 def n13_prompt_projection(messages):
     return ingest.prompt_projection(messages)
+
+
+# --- project pages and sources -------------------------------------------------------
+
+
+@query("docs", r"SELECT machine_id, tool_id, concat('/home/', project) AS root, CASE WHEN document_id % 4 > 0 THEN concat('C:/a+', document_id, ' x%') END AS path FROM docs")
+def a7_clean_discovery(docs):
+    path = F.concat(F.lit("\\\\?\\C:/a+"), "document_id", F.lit("%20x%25"))
+    projects = F.when(F.col("document_id") % 4 > 0, F.array(F.struct(path.alias("path")))).otherwise(F.array().cast("array<struct<path: string>>"))
+    tool = F.struct(F.concat(F.lit("%2Fhome%2F"), "project").alias("root"), projects.alias("projects"))
+    return reports.clean_discovery(docs.select("machine_id", F.to_json(F.create_map("tool_id", tool)).alias("content")))
+
+
+@query(
+    "docs messages",
+    """, n AS (SELECT * FROM docs WHERE tool_id = 'codex' QUALIFY row_number() OVER (PARTITION BY machine_id, relative_path ORDER BY synced DESC, document_id DESC) = 1),
+    a AS (SELECT document_id, max(ts) AS ts FROM messages WHERE role IN ('user', 'assistant') GROUP BY 1)
+    SELECT document_id, coalesce(ts, synced) AS active_at FROM n LEFT JOIN a USING (document_id) ORDER BY active_at DESC, document_id LIMIT 40 OFFSET 3""",
+)
+def k12_list_files(docs, messages):
+    return reports.list_files(docs, aggregates.last_activity(messages).withColumnRenamed("last_ts", "ts"), F.col("tool_id") == "codex", 3, 40).select("document_id", "active_at")
+
+
+@query(
+    "docs",
+    """SELECT project, category, document_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY project, category) AS total FROM docs
+    WINDOW w AS (PARTITION BY project, category ORDER BY synced DESC, document_id) QUALIFY place <= 15""",
+)
+def k13_project_detail(docs):
+    return reports.project_detail(docs).select("project", "category", "document_id", "place", "total")
+
+
+@query(
+    "messages conv_docs",
+    """SELECT root, message_id FROM messages JOIN conv_docs USING (document_id)
+    QUALIFY least(row_number() OVER (PARTITION BY root ORDER BY ts, document_id, line_number), row_number() OVER (PARTITION BY root ORDER BY ts DESC, document_id DESC, line_number DESC)) <= 5""",
+)
+def k11_project_conversations(messages, conv_docs):
+    return reports.project_conversations(messages, conv_docs, 5).select("root", "message_id")
+
+
+@query("messages", "SELECT document_id, document_id % 3 > 0 AND document_id % 5 > 0 AS proven FROM messages GROUP BY document_id")
+def n24_prove_snapshot(messages):
+    stats = messages.groupBy("document_id").agg(F.count("*").alias("lines"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    recorded = stats.where("document_id % 5 > 0").withColumn("last_ts", F.when(F.col("document_id") % 3 > 0, F.col("last_ts")))
+    return reports.prove_snapshot(stats, recorded)
+
+
+@query(
+    "launches",
+    """, t AS (SELECT * FROM launches QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY line_number DESC) <= 5)
+    SELECT document_id, identity AS call_id, max_by(status, line_number) AS status FROM t WHERE identity IS NOT NULL GROUP BY ALL""",
+)
+def o10_live_signals(launches):
+    return reports.live_signals(launches.withColumn("call_id", F.col("identity")), 5)
