@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Query vectors that are broadcast at most; some 100 MB at 1,024 dimensions.
+BROADCAST_QUERIES = 10_000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -19,11 +22,20 @@ def normalized(v: Column) -> Column:
 def score_vectors(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Cosine of each stated query vector with each chunk of its tier.
 
-    ``queries(query_id, tier, vector)`` is a stated set, ``chunks(vec_id, tier, embedding, ...)`` is read once, in parallel.
+    ``queries(query_id, tier, vector)`` is a stated set, ``chunks(vec_id, tier, embedding, ...)``
+    is read once, in parallel. Up to ``BROADCAST_QUERIES`` queries, which are counted, are
+    broadcast. More go to each of as many blocks of chunks as there are shuffle
+    partitions, so that the few tiers don't gather all chunks in a few tasks.
     """
     q = queries.select("query_id", "tier", normalized(F.col("vector")).alias("q"))
     c = chunks.withColumn("v", normalized(F.col("embedding"))).drop("embedding")
-    return c.join(q, "tier").withColumn("cosine", dot(F.col("q"), F.col("v"))).drop("q", "v")
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        met = c.join(F.broadcast(q), "tier")
+    else:
+        blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_block", F.col("_block").cast("long"))
+        met = c.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).join(dealt, ["tier", "_block"]).drop("_block")
+    return met.withColumn("cosine", dot(F.col("q"), F.col("v"))).drop("q", "v")
 
 
 def best_chunk_per_doc(scores: DataFrame) -> DataFrame:
