@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import redact_json
-from threadloom.operators.search import cover_density, rank_messages, word_similarity
+from threadloom.operators.search import cover_density, rank_messages, score_with_correction, word_similarity
 
 
 def plain_density(words, wanted):
@@ -61,3 +61,17 @@ def test_redact_json(spark):
     assert got[1] == ("no json, Bearer [TOKEN_REDACTED]", 1)
     assert got[2] == ("[1,2]", 0) and got[3] == ('"?"', 0) and got[4][1] == 0
     assert got[5] == (None, 0)
+
+
+def test_short_pages_take_the_corrected_query(spark):
+    rows = [(1, "user", "a streams of dta"), (2, "user", "the data stream"), (3, "assistant", "stream data"), (4, "user", "other")]
+    messages = spark.createDataFrame(rows, "message_id long, role string, content string")
+    lexicon = spark.createDataFrame([("stream", 40), ("data", 30), ("other", 9)], "term string, frequency long")
+
+    def found(query, enough):
+        return sorted((r["message_id"], round(r["score"], 6), r["match_type"]) for r in score_with_correction(messages, query, lexicon, enough).collect())
+
+    assert found("streams", 1) == [(1, 4.0, "exact")]
+    assert found("streams", 5) == [(1, 4.0, "exact"), (2, 1.999999, "fuzzy"), (3, 1.999999, "fuzzy")]
+    assert found("data streams", 5) == [(2, 1.999999, "fuzzy"), (3, 1.0, "fuzzy")]
+    assert found("qqqq", 5) == []

@@ -166,6 +166,24 @@ def correct_queries(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
     return near.withColumn("_n", F.row_number().over(order)).where("_n = 1").where(good).select("token", "term", "similarity")
 
 
+def score_with_correction(messages: DataFrame, query: str, lexicon: DataFrame, enough: int) -> DataFrame:
+    """The messages of ``score_messages``; if they are fewer than ``enough``, those of the corrected query behind them.
+
+    A hit of the corrected query alone scores between 1 and 2 and is fuzzy.
+    """
+    hits = score_messages(messages, query)
+    if hits.limit(enough).count() >= enough:
+        return hits
+    asked = messages.sparkSession.range(1).select(F.lit(query).alias("query"))
+    better = {r["token"]: r["term"] for r in correct_queries(asked, lexicon).collect()}  # at most 8 rows
+    if not better:
+        return hits
+    words = asked.select(query_tokens(F.col("query")).alias("t")).first()["t"]
+    again = score_messages(messages, " ".join(better.get(w, w) for w in words))
+    fuzzy = again.withColumns({"score": 1 + F.least(F.col("score") - 3, F.lit(0.999999)), "match_type": F.lit("fuzzy")})
+    return hits.unionByName(fuzzy.join(hits.select("message_id"), "message_id", "left_anti"))
+
+
 def replace_lexicon(new: DataFrame, old: DataFrame) -> DataFrame:
     """What a rebuild does to each term: insert, update, keep or delete."""
     joined = new.select("term", "frequency").join(old.select("term", F.col("frequency").alias("before")), "term", "full")
