@@ -1452,15 +1452,15 @@ def c17_associate_code_blocks(messages):
     return agents.associate_code_blocks(refs, blocks)
 
 
-@query("messages", f"""SELECT message_id, 3.0 + 0.1 * len(list_filter({_TOK}, lambda x: x = 'data')) + CASE WHEN contains(lower(content), 'data') THEN 1 ELSE 0 END AS score FROM messages
-    WHERE role IN ('user', 'assistant') AND (contains(lower(content), 'data') OR list_contains({_TOK}, 'data'))""")
+@query("messages", f"""SELECT message_id, round(3.0 + 0.1 * len(list_filter({_TOK}, lambda x: x = 'the')) + CASE WHEN contains(lower(content), 'the') THEN 1 ELSE 0 END, 9) AS score FROM messages
+    WHERE role IN ('user', 'assistant') AND (contains(lower(content), 'the') OR list_contains({_TOK}, 'the'))""")
 def h5_cover_density_rank(messages):
-    return search.rank_messages(messages, "data").select("message_id", F.round("score", 9).alias("score"))
+    return search.rank_messages(messages, "the").select("message_id", F.round("score", 9).alias("score"))
 
 
 @query("messages")
 def h8_word_similarity(messages):
-    return search.rank_messages(messages, "datas stream", fuzzy=0.6).select("message_id", "score", "match_type")
+    return search.rank_messages(messages, "other word", fuzzy=0.6).select("message_id", "score", "match_type")
 
 
 @query("docs", """SELECT document_id, concat('{"Token":"[REDACTED]","path":"', relative_path, '","list":[{"apiKey":"[REDACTED]","n":', document_id, '}]}') AS content, 2 AS count FROM docs""")
