@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     bands = classes.select("node", "sketch").mapInPandas(banded, f"bucket long, node {id_type}")
     # as a table, so that both sides are shuffled and a very common bucket is split when they are joined
     stars = materialize(bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1"), "stars")
-    buckets = materialize(bands.join(stars, "bucket").select("bucket", "node", "centre"), "buckets")
+    buckets = materialize(bands.join(stars.hint("merge"), "bucket").select("bucket", "node", "centre"), "buckets")
 
     pairs = buckets.where("node <> centre").select("node", "centre").distinct()
     sketched = classes.select("node", "n", "sketch")
