@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from threadloom.llm import (
     decontaminate,
+    exact_dedup,
     html_extract,
     language_id,
     lm_scoring,
@@ -75,6 +76,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_context_tree": op1_context_tree,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -86,7 +91,13 @@ QUERIES = {
     "op8_feistel_pseudonyms": op8_feistel_pseudonyms,
     "op9_cross_parsing": op9_cross_parsing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_exact_dedup": op11_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_exact_dedup": r"""
+        SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+        WINDOW same AS (PARTITION BY t)""",
+}
