@@ -17,6 +17,7 @@ from threadloom.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    ranked_search,
     secret_scan,
 )
 from threadloom.llm.common import held_out
@@ -80,6 +81,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_hybrid_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_context_tree": op1_context_tree,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -92,6 +97,7 @@ QUERIES = {
     "op9_cross_parsing": op9_cross_parsing,
     "op10_decontaminate": op10_decontaminate,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_hybrid_ranking": op12_hybrid_ranking,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -100,4 +106,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         WINDOW same AS (PARTITION BY t)""",
+    "op12_hybrid_ranking": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        s AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, cast(sum(len(terms)) AS bigint) AS total FROM d),
+        o AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+        p AS (SELECT doc_id, n, term, count(*) AS tf FROM o GROUP BY ALL),
+        w AS (SELECT term, cast(floor(1000 * ln(cast(2 * n_docs + 2 AS double) / (2 * count(*) + 1))) AS bigint) AS weight FROM p, s GROUP BY term, n_docs),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        r AS (SELECT item_id, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total)))) AS bigint) AS score
+              FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id)
+        SELECT * FROM (SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS int) AS rank, doc_id, score FROM r WHERE score > 0) WHERE rank <= 10""",
 }
