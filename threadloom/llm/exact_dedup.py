@@ -15,7 +15,8 @@ stretches. Round by round, groups that still agree are split by the next digit:
 
 Groups are named, not gathered: members are joined with the row of their group, and
 a group of any size is split over tasks by Spark's handling of skewed joins, for
-which both sides of a join lie in tables.
+which both sides of a join lie in tables. Joins are sort-merge joins at every size, so
+that the plan measured on a small table is the plan of a large one.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def _split(rows: DataFrame, reach: int, name: str) -> DataFrame:
     groups = rows.groupBy("part", "chunk").agg(
         F.min("row").alias("next"), F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"), kept.alias("keep_row")
     )
-    joined = rows.join(materialize(groups, f"{name}-groups"), ["part", "chunk"])
+    joined = rows.hint("merge").join(materialize(groups, f"{name}-groups"), ["part", "chunk"])
     done = (F.col("group_size") == 1) | (F.col("size") <= reach)
     return materialize(
         joined.select("row", "doc_id", "text_sha256", "size", F.col("next").alias("part"), "group_size", "keep_id", "keep_row", done.alias("done")), name
@@ -65,7 +66,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     cut = text.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").alias("size"), F.col("text").cast("binary").alias("bytes"))
     headed = cut.withColumn("chunk", F.substring("bytes", 1, HEAD))
     shared = headed.groupBy("size", "chunk").agg(F.count("*").alias("n")).where("n > 1").select("size", "chunk", F.monotonically_increasing_id().alias("part"))
-    joined = headed.join(materialize(shared, "heads"), ["size", "chunk"], "left")
+    joined = headed.hint("merge").join(materialize(shared, "heads"), ["size", "chunk"], "left")
     rest = F.when(F.col("part").isNotNull(), F.expr(f"substring(bytes, {HEAD + 1})"))
     base = materialize(joined.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_sha256", "size", "part", rest.alias("rest")), "rests")
 
@@ -76,7 +77,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     while not active.isEmpty():
         chunk = F.substring("rest", at + 1, width)
         if at:
-            rows = base.where("part is not null").select("row", chunk.alias("chunk")).join(active, "row")
+            rows = base.where("part is not null").select("row", chunk.alias("chunk")).hint("merge").join(active, "row")
         else:
             rows = active.withColumn("chunk", chunk)
         at += width
