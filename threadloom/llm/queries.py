@@ -9,6 +9,7 @@ import corpus_pipeline
 from threadloom.llm import (
     decontaminate,
     exact_dedup,
+    filter_audit,
     html_extract,
     language_id,
     lm_scoring,
@@ -85,6 +86,10 @@ def op12_hybrid_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_context_tree": op1_context_tree,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -98,6 +103,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_hybrid_ranking": op12_hybrid_ranking,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -116,4 +122,27 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT item_id, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total)))) AS bigint) AS score
               FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, doc_id)
         SELECT * FROM (SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS int) AS rank, doc_id, score FROM r WHERE score > 0) WHERE rank <= 10""",
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                     CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                     + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+                     + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                     + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+              FROM d LEFT JOIN l USING (doc_id)),
+        f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit)),
+        o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+              FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+        s AS (SELECT filter_order, cast(k AS int) AS step, bits[k] AS bit, cast(coalesce(list_sum(bits[1:k - 1]), 0) AS bigint) AS before FROM o, range(1, 6) AS r(k)),
+        n AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+        x AS (SELECT part, filter_order, step, bit,
+                     cast(sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS bigint) AS kept,
+                     cast(sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS bigint) AS removed,
+                     cast(sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS bigint) AS redundant,
+                     cast(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS bigint) AS unique_fails,
+                     cast(sum(CASE WHEN mask & before = 0 AND mask & bit > 0 AND good = 1 THEN n ELSE 0 END) AS bigint) AS good_lost,
+                     cast(sum(CASE WHEN mask & before = 0 AND mask & bit > 0 AND toxic = 1 THEN n ELSE 0 END) AS bigint) AS toxic_lost
+              FROM n, s GROUP BY part, filter_order, step, bit)
+        SELECT * EXCLUDE (bit), cast(sum(removed) OVER (PARTITION BY part, bit) AS bigint) AS shapley FROM x""",
 }
