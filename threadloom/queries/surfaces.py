@@ -3,35 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.bindings import E0, NOW, VIEWS, bind, sql
+from threadloom.bindings import E0, NOW
 from threadloom.functions import text as T
 from threadloom.operators import agents, aggregates, graph, hierarchy, ingest, joins, predicates, reports, search, upkeep, vectors, windows
+from threadloom.queries.registry import query
 from threadloom.sources import normalize
 from threadloom.streaming import states
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(views: str, oracle: str | None = None):
-    """Register a function of the named views, and SQL in which ``{view}`` stands for a view."""
-    names = views.split()
-
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[bind(spark, sf_dir, v) for v in names])
-        if oracle:
-            parts = [f"{v} AS ({sql(v)})" for v in names if v in VIEWS]
-            ORACLE_SQL[f.__name__] = (f"WITH {', '.join(parts)} " if parts else "") + oracle
-        return f
-
-    return register
-
-
 DAY = "strftime(to_timestamp({ts} - {off} * 60) AT TIME ZONE 'UTC', '%Y-%m-%d')"
 
 
