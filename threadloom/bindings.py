@@ -7,6 +7,7 @@ All times are epoch seconds.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,24 @@ VIEWS = {
                CASE WHEN l_linenumber = 1 THEN 'full' ELSE 'delta' END AS mode,
                concat(l_orderkey, ':', l_linenumber * 100) AS hash, CAST(l_quantity AS bigint) AS size, CAST(l_shipdate AS date) AS delivered
         FROM {lineitem}""",
+    "inbox_rows": f"""
+        SELECT user_id AS session, event_type = 'purchase' AND event_id % 7 = 0 AS is_document, concat(event_type, event_id % 3) AS signal_id,
+               CASE event_type WHEN 'view' THEN 'activity' WHEN 'click' THEN 'interaction' ELSE 'title' END AS kind,
+               concat('p', event_id) AS payload, {E0} + event_id * 260 AS ts
+        FROM {{events}}""",
+    "question_events": f"""
+        SELECT user_id AS document_id, event_id AS place,
+               CASE event_type WHEN 'purchase' THEN 'answered' WHEN 'error' THEN 'cancelled' WHEN 'signup' THEN 'human' ELSE 'pending' END AS status,
+               concat(CASE WHEN event_id % 6 < 2 THEN 'a' WHEN event_id % 6 < 4 THEN 'w' ELSE 'p' END, CAST(floor(event_id / 6) AS bigint) % 2) AS interaction_id,
+               CASE WHEN event_id % 6 < 2 THEN 'ask' WHEN event_id % 6 < 4 THEN 'wrapper' ELSE 'permission' END AS kind,
+               concat('f', CAST(floor(event_id / 6) AS bigint) % 2) AS fingerprint, {E0} + event_id * 260 AS ts
+        FROM {{events}}""",
+    "title_events": f"""
+        SELECT user_id AS document_id, {E0} + event_id * 260 AS ts, event_id AS place, concat('m', event_id % 3) AS machine, event_id % 50 + 1 AS revision,
+               concat('t', event_id % 4) AS title,
+               CASE WHEN event_type = 'view' AND event_id % 10 = 3 THEN 'custom' WHEN event_type = 'signup' AND event_id % 50 = 7 THEN 'manual'
+                    WHEN event_type = 'error' THEN 'unknown' ELSE 'fallback' END AS kind
+        FROM {{events}}""",
     "versions": """
         SELECT o_custkey AS document_id, concat('v', o_orderkey) AS hash, o_totalprice AS size, CAST(o_orderdate AS date) AS synced, o_orderkey FROM {orders}""",
     "children": """
@@ -95,7 +114,21 @@ def sql(view: str) -> str:
 
 def bind(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """A view, or a table itself, of the tables in ``sf_dir``."""
+    return _bound(spark, view, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def bind_stream(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """The same of the tables' files as they arrive."""
+
+    def arriving(name: str) -> DataFrame:
+        path = f"{sf_dir}/{name}.parquet"
+        # as a pattern, the path may also name a single file
+        return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+    return _bound(spark, view, arriving)
+
+
+def _bound(spark: SparkSession, view: str, table: Callable[[str], DataFrame]) -> DataFrame:
     if view not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{view}.parquet")
-    names = set(re.findall(r"\{(\w+)\}", VIEWS[view]))
-    return spark.sql(VIEWS[view], **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+        return table(view)
+    return spark.sql(VIEWS[view], **{n: table(n) for n in set(re.findall(r"\{(\w+)\}", VIEWS[view]))})
