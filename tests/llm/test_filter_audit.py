@@ -72,18 +72,3 @@ def test_smaller_ids_arrive_late(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "none"))
     assert found(spark, tmp_path / "none", []) == []
-
-
-def test_settling_does_not_depend_on_order():
-    rng = random.Random(8)
-    for _ in range(200):
-        rows = [(rng.choice([None, 1, 2, 3]), rng.choice("ab"), rng.choice([0, 5]), rng.randint(1, 3)) for _ in range(rng.randint(1, 9))]
-        whole = filter_audit.settle(None, rows)
-        rng.shuffle(rows)
-        state, changes = None, Counter()
-        while rows:
-            k = rng.randint(1, len(rows))
-            state, more = filter_audit.settle(state, rows[:k])
-            changes.update(more)
-            rows = rows[k:]
-        assert state == whole[0] and {k: n for k, n in changes.items() if n} == {k: n for k, n in whole[1].items() if n}

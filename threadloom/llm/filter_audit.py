@@ -4,35 +4,31 @@ Five filters are applied to documents in all 120 orders. A document's mask says
 the filters it fails; the counts of masks by part give every order's numbers.
 
 1. The files of the table are processed as available-now micro-batches of bounded size.
-   Filters A to D are read from the text by Spark's functions; E (a repeated text)
-   depends on documents that may come later.
-2. Of equal texts within one batch of rows only those of the least id go on; the others
-   fail E whatever comes. So a text that very many documents share sends one row from
-   each batch of rows, not one from each document.
-3. State keyed by the text holds the least id seen and the masks of its rows. When a
-   smaller id arrives, the earlier mask is retracted from its part's counter (-1) and
-   counted again with E.
-4. Each micro-batch writes its counter changes under its own number, so that a repeated
-   batch counts once. Their sums are the counters; all orders follow from 80 pairs of a
-   filter and the set of filters before it.
+   Filters A to D are read from the text; E (a repeated text) depends on documents that
+   may come later.
+2. A batch counts all its documents as failing E, by part and mask. Then it corrects its
+   counters for the rows of the least id of each text: they pass E, if no earlier batch
+   holds a smaller id.
+3. The state, keyed by the text's digest, holds the rows of the least id seen. It is a table
+   that each batch adds to: of several entries of a text those of the least id count. When
+   a smaller id arrives, the earlier rows are retracted: counted out of their mask and in
+   again with E.
+4. Each micro-batch writes its state rows and counter changes under its own number, so
+   that a repeated batch counts once. The changes' sums are the counters; all orders
+   follow from 80 pairs of a filter and the set of filters before it.
+
+Rows are counted by (text, id) before they meet by text, and least ids are found with
+partial aggregation, so that a text which very many documents share loads no task.
 """
 
 from __future__ import annotations
 
 import itertools
-import json
 import math
 import uuid
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from typing import Any
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadloom.llm.common import SPACE, shared_dir
 
@@ -40,10 +36,11 @@ FILTERS = "ABCDE"
 #: Bits of the mask: the filters in order, then good and toxic.
 REPEATED, GOOD, TOXIC = 16, 32, 64
 #: Bytes of files that a micro-batch takes for each core of the cluster.
-CORE_BYTES = 32 << 20
-#: Groups that carry the settled rows of a batch past the state.
-LANES = 64
-STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CORE_BYTES = 512 << 20
+#: What the state keeps of a text: the rows of its least id.
+HELD = "key binary, missing boolean, id long, part string, bits int, n long"
+AT = ["key", "missing", "id"]
+HELD_KEYS = [*AT, "part", "bits"]
 
 
 def text_mask(text: Column) -> Column:
@@ -58,81 +55,44 @@ def text_mask(text: Column) -> Column:
     )
 
 
-def _settle_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal rows counted; rows behind the least id of their text in the batch are settled and go to a lane."""
-    for batch in batches:
-        rows = pa.table(batch).sort_by([("key", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-        if not rows.num_rows:
-            continue
-        known = rows["doc_id"].is_valid().to_numpy()
-        ids = rows["doc_id"].fill_null(0).to_numpy()
-        keys = np.array(rows["key"].to_pylist(), object)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        least = np.repeat(first, np.diff(np.append(first, len(keys))))
-        open_ = (ids == ids[least]) & (known == known[least])
-        bits = rows["bits"].to_numpy() | np.where(open_, 0, REPEATED).astype(np.int32)
-        lanes = np.array([bytes([i]) for i in range(LANES)], object)
-        keys = np.where(open_, keys, lanes[bits * 7 % LANES])
-        out = pa.table({
-            "key": pa.array(keys, pa.binary()), "doc_id": pa.array(ids, pa.int64(), mask=~(known & open_)), "part": rows["part"], "bits": pa.array(bits, pa.int32()),
-        })
-        counted = out.group_by(["key", "doc_id", "part", "bits"]).aggregate([([], "count_all")]).rename_columns(["key", "doc_id", "part", "bits", "n"])
-        yield from counted.combine_chunks().to_batches()
-
-
-def settle(state: tuple | None, rows: Iterable[tuple]) -> tuple[tuple, Counter]:
-    """The state of a text after ``rows`` of (doc_id, part, bits, n), and the changes of the counters of (part, bits).
-
-    A state is the least id, where null is behind all ids, and the counts of its (part, bits).
-    """
-    rows = [((i is None, i or 0), (part, bits), n) for i, part, bits, n in rows]
-    least = min([at for at, _, _ in rows] + ([state[0]] if state else []))
-    held, changes = Counter(), Counter()
-    if state and state[0] == least:
-        held.update(state[1])
-    elif state:
-        for (part, bits), n in state[1].items():
-            changes[part, bits] -= n
-            changes[part, bits | REPEATED] += n
-    for at, (part, bits), n in rows:
-        if at == least:
-            held[part, bits] += n
-            changes[part, bits] += n
-        else:
-            changes[part, bits | REPEATED] += n
-    return (least, held), changes
-
-
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    columns = ["part", "bits", "n"]
-    if len(key[0]) == 1:
-        for frame in frames:
-            yield frame[columns]
-        return
-    before: Any = None
-    if state.exists:
-        missing, least, held = state.get
-        before = ((missing, least), Counter({(part, bits): n for part, bits, n in json.loads(held)}))
-    rows = [(None if missing else i, part, bits, n) for f in frames for missing, i, part, bits, n in zip(f["missing"], f["id"], f["part"], f["bits"], f["n"], strict=True)]
-    ((missing, least), held), changes = settle(before, rows)
-    state.update((bool(missing), int(least), json.dumps([[part, int(bits), int(n)] for (part, bits), n in held.items()])))
-    yield pd.DataFrame([(part, bits, n) for (part, bits), n in changes.items()], columns=columns)
-
-
-def mask_changes(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The changes (part, bits, n) of the counters of a stream of ``docs(doc_id, text, source)``, micro-batch by micro-batch."""
+def masked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, missing, id, part, bits of ``docs(doc_id, text, source)``: the text's digest, its place in the order of ids, its mask without E."""
     marked = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     text = F.coalesce("text", F.lit(""))
     read = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text_mask(text).alias("mask"), F.unhex(F.sha2(text, 256)).alias("key"))
     bits = F.col("mask") + GOOD * F.coalesce("good", F.lit(0)) + TOXIC * F.coalesce("toxic", F.lit(0))
-    rows = read.join(marked, "doc_id", "left").select(F.col("doc_id").cast("long"), "part", bits.alias("bits"), "key")
-    open_ = rows.mapInArrow(_settle_batch, "key binary, doc_id long, part string, bits int, n long")
-    open_ = open_.select("key", F.isnull("doc_id").alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("id"), "part", "bits", "n")
-    return open_.groupBy("key").applyInPandasWithState(
-        _update, "part string, bits int, n long", "missing boolean, id long, held string", "append", GroupStateTimeout.NoTimeout
+    return read.join(marked, "doc_id", "left").select(
+        "key", F.isnull("doc_id").alias("missing"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), "part", bits.alias("bits")
     )
 
 
+def _least(rows: DataFrame) -> DataFrame:
+    """The rows of the least id of each text; a null id is behind all others."""
+    first = rows.groupBy("key").agg(F.min("missing").alias("missing"), F.min(F.when(~F.col("missing"), F.col("id"))).alias("id"))
+    return rows.join(first.withColumn("id", F.coalesce("id", F.lit(0))), AT, "left_semi")
+
+
+def _moved(rows: DataFrame, passes: bool) -> DataFrame:
+    """Counter changes that let rows pass E, or fail it again."""
+    sign = 1 if passes else -1
+    moves = F.array(F.struct(F.col("bits").alias("bits"), (sign * F.col("n")).alias("n")), F.struct(F.col("bits").bitwiseOR(REPEATED).alias("bits"), (-sign * F.col("n")).alias("n")))
+    return rows.select("part", F.inline(moves))
+
+
+def settle(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that join the state, and the changes (part, bits, n) of the counters, for a batch of counted ``masked`` rows."""
+    own = _least(batch)
+    touched = state.join(own.select("key").distinct(), "key", "left_semi")
+    before = _least(touched).groupBy(*HELD_KEYS).agg(F.sum("n").alias("n"))
+    known = before.select("key", F.struct("missing", "id").alias("before")).distinct()
+    here = F.struct("missing", "id")
+    joins = own.join(known, "key", "left").where(F.col("before").isNull() | (here <= F.col("before"))).drop("before")
+    beaten = own.select("key", here.alias("now")).distinct()
+    retracted = before.join(beaten, "key").where(F.col("now") < here).select("part", "bits", "n")
+    failing = batch.select("part", F.col("bits").bitwiseOR(REPEATED).alias("bits"), "n")
+    return joins, failing.unionByName(_moved(joins, True)).unionByName(_moved(retracted, False))
+
+
 def audit_orders(counters: DataFrame) -> DataFrame:
     """All orders' numbers by part from ``counters(part, bits, n)``."""
     pairs = [
@@ -187,20 +147,20 @@ def audit_filters(spark: SparkSession, path: str, labels: DataFrame, batch_bytes
     # As a pattern, the path may also name a single file.
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", size).parquet(f"{path[:-1]}[{path[-1]}]")
 
-    def write(changes: DataFrame, batch: int) -> None:
-        changes.groupBy("part", "bits").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
-
-    settings = {"spark.sql.streaming.stateStore.providerClass": STATE, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        query = mask_changes(stream, labels).writeStream.foreachBatch(write).outputMode("append")
-        query.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    empty = spark.createDataFrame([], "part string, bits int, n long")
-    empty.write.mode("append").parquet(f"{folder}/changes/batch=-1")
-    changes = spark.read.schema("part string, bits int, n long").parquet(f"{folder}/changes")
+    counters = "part string, bits int, n long"
+    for name, schema in (("state", HELD), ("changes", counters)):
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}/batch=-1")
+
+    def process(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        batch.groupBy(*HELD_KEYS).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        rows = session.read.schema(HELD).parquet(f"{folder}/rows/batch={number}")
+        state = session.read.schema(f"{HELD}, batch int").parquet(f"{folder}/state").where(F.col("batch") < number).drop("batch")
+        joins, changes = settle(rows, state)
+        changes.groupBy("part", "bits").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+        joins.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+
+    writer = masked(stream, labels).writeStream.foreachBatch(process).option("checkpointLocation", f"{folder}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.schema(counters).parquet(f"{folder}/changes")
     return audit_orders(changes.groupBy("part", "bits").agg(F.sum("n").alias("n")))
