@@ -76,6 +76,29 @@ VIEWS = {
                CASE WHEN event_type = 'view' AND event_id % 10 = 3 THEN 'custom' WHEN event_type = 'signup' AND event_id % 50 = 7 THEN 'manual'
                     WHEN event_type = 'error' THEN 'unknown' ELSE 'fallback' END AS kind
         FROM {{events}}""",
+    "prompt_sources": f"""
+        SELECT user_id AS document_id, event_id AS key, concat('p', event_id % 4) AS content, {E0} + event_id * 20 AS ts
+        FROM {{events}} WHERE event_type <> 'error'""",
+    "prompt_history": f"""
+        SELECT user_id AS document_id, event_id AS key, concat('p', event_id % 4) AS content,
+               CASE WHEN event_id % 97 > 0 THEN {E0} + event_id * 20 + (event_id * 37) % 500 - 250 END AS ts
+        FROM {{events}} WHERE event_type <> 'click'""",
+    "parsed_rows": f"""
+        SELECT conv_id AS document_id, turn * 2 AS position, role, 'text' AS message_type, CASE WHEN (conv_id + turn) % 3 = 0 THEN concat('s', turn % 5) END AS source_id,
+               CASE WHEN turn % 4 = 3 THEN 'again' ELSE text END AS content, CASE WHEN turn % 5 < 4 THEN {E0} + turn * 60 END AS ts
+        FROM {{conversations}}
+        UNION ALL
+        SELECT conv_id, turn * 2 + 1, 'assistant', CASE WHEN turn % 2 = 0 THEN 'reasoning' ELSE 'agent_event' END, CASE WHEN turn % 3 = 0 THEN concat('r', turn) END,
+               concat('thought ', turn), {E0} + turn * 60 + 30
+        FROM {{conversations}}""",
+    "stored_rows": f"""
+        SELECT conv_id AS document_id, turn + 1 AS line_number, role, 'text' AS message_type, CASE WHEN (conv_id + turn) % 3 = 0 THEN concat('s', turn % 5) END AS source_id,
+               CASE WHEN turn % 4 = 3 THEN 'again' ELSE text END AS content, CASE WHEN turn % 5 < 4 THEN {E0} + turn * 60 END AS ts
+        FROM {{conversations}} WHERE (conv_id + turn) % 7 <> 3
+        UNION ALL
+        SELECT conv_id, 100 + turn, 'assistant', CASE WHEN turn % 2 = 0 THEN 'reasoning' ELSE 'agent_event' END, CASE WHEN turn % 3 = 0 THEN concat('r', turn) END,
+               concat('thought ', turn), {E0} + turn * 60 + 30
+        FROM {{conversations}} WHERE (conv_id + turn) % 4 = 1""",
     "versions": """
         SELECT o_custkey AS document_id, concat('v', o_orderkey) AS hash, o_totalprice AS size, CAST(o_orderdate AS date) AS synced, o_orderkey FROM {orders}""",
     "children": """
