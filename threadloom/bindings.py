@@ -99,6 +99,26 @@ VIEWS = {
         SELECT conv_id, 100 + turn, 'assistant', CASE WHEN turn % 2 = 0 THEN 'reasoning' ELSE 'agent_event' END, CASE WHEN turn % 3 = 0 THEN concat('r', turn) END,
                concat('thought ', turn), {E0} + turn * 60 + 30
         FROM {{conversations}} WHERE (conv_id + turn) % 4 = 1""",
+    "task_events": """
+        SELECT conv_id AS document_id, turn + 1 AS line_number, 'claude_code' AS source, (conv_id * 3 + turn) % 8 AS op, concat('c', turn) AS call_id, '' AS content,
+               CASE (conv_id * 3 + turn) % 8 WHEN 0 THEN 'TodoWrite' WHEN 2 THEN 'TaskCreate' WHEN 4 THEN 'functions.todo_write' WHEN 5 THEN 'TaskStop' WHEN 6 THEN 'Bash'
+                    WHEN 7 THEN 'update_plan' ELSE 'TaskUpdate' END AS tool,
+               translate(CASE (conv_id * 3 + turn) % 8
+                    WHEN 0 THEN '("todos": [("id": "1", "content": "plan", "status": "pending"), ("id": "2", "content": "b", "status": "In-Progress"), ("id": "2")])'
+                    WHEN 1 THEN '("taskId": "1", "status": "done")' WHEN 2 THEN '("id": "3", "subject": " new ")' WHEN 3 THEN '("taskId": "9", "status": "active")'
+                    WHEN 4 THEN '("merge": true, "todos": [("id": "2", "content": "b2", "status": "success")])' WHEN 5 THEN '("task_id": "3")'
+                    WHEN 7 THEN '("plan": [("step": "x", "status": "completed"), ("step": "y")])' ELSE 'ls' END, '()', concat(chr(123), chr(125))) AS input
+        FROM {conversations}""",
+    "agent_nodes": f"""
+        SELECT document_id, 'codex' AS tool_id, concat('t', g) AS root, concat('t', CASE WHEN k = 15 THEN document_id - 1 ELSE document_id END) AS thread_id,
+               CASE WHEN k = 0 THEN NULL WHEN k = 5 THEN 'gone' WHEN k = 6 THEN concat('t', g + 7) WHEN k = 7 THEN concat('t', g + 6)
+                    WHEN k = 11 THEN concat('t', document_id) ELSE concat('t', g + CAST(floor(k / 2) AS bigint)) END AS parent_thread_id,
+               concat('a', document_id) AS agent_id, CAST(floor(k / 4) AS bigint) AS depth, {E0} + (document_id * 100) % 777 AS activity, document_id % 3 > 0 AS has_state
+        FROM (SELECT DISTINCT conv_id AS document_id, conv_id % 16 AS k, conv_id - conv_id % 16 AS g FROM {{conversations}}) d""",
+    "agent_tasks": """
+        SELECT conv_id AS document_id, turn AS task_place,
+               CASE (conv_id + turn) % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' WHEN 3 THEN 'blocked' ELSE 'cancelled' END AS status
+        FROM {conversations}""",
     "versions": """
         SELECT o_custkey AS document_id, concat('v', o_orderkey) AS hash, o_totalprice AS size, CAST(o_orderdate AS date) AS synced, o_orderkey FROM {orders}""",
     "children": """

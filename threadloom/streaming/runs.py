@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadloom.tables import shared_folder
+
 #: Settings of keyed state: on disk beside each executor, its changes in the checkpoint.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -17,17 +17,6 @@ STATE = {
 }
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder ``spark.checkpoint.dir`` names; where it names none, a temporary one for local masters, else an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return str(named).rstrip("/")
-
-
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
     """While a stream starts, its state lies in RocksDB."""
