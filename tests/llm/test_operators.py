@@ -361,6 +361,20 @@ def test_long_secrets_are_whole(spark):
     assert {r["doc_id"]: r["text"] for r in masked.collect()} == {i: t[0].replace("xoxb-", "") + "<secret>" + t[2] for i, t in enumerate(texts)}
 
 
+def test_no_part_of_a_secret_stays(spark):
+    google = "AIza" + "Ab3" * 11 + "xy"
+    texts = {
+        f"key {google}-tail_of_key99 end": "key <secret> end",
+        'x password="correct horse battery 77 staple" y': 'x password="<secret>" y',
+        "password=ab,cd9Xk2,Qz8Lm4Pw, and on": "password=<secret>, and on",
+        "at postgres://admin:S3cr3tPa55w0rd@host/db now": "at postgres://admin:<secret>@host/db now",
+        "see https://host:8080/path@x and http://plain.example/a": "see https://host:8080/path@x and http://plain.example/a",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    masked = secret_scan.redact_secrets(docs, secret_scan.scan_secrets(docs))
+    assert [r["text"] for r in masked.orderBy("doc_id").collect()] == list(texts.values())
+
+
 def test_copies_of_a_secret_make_no_words(spark):
     secret = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
 

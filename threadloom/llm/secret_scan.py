@@ -22,15 +22,19 @@ from threadloom.llm.common import SPACE, materialize
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credentials?)"
 #: Issuer formats (fixed patterns). Values of no fixed length run to their end, here and below; possessive, so in one pass.
 ISSUED = (
-    r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|"
-    r"sk-[A-Za-z0-9_-]{20,}+|glpat-[A-Za-z0-9_-]{20}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35,}+|"
+    r"sk-[A-Za-z0-9_-]{20,}+|glpat-[A-Za-z0-9_-]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 )
 #: A private key up to its END, or to the end of the text.
 BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?!-----END)[\s\S])*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
-#: A candidate; an assigned value keeps its name in front, which ``PREFIX`` takes off.
+#: A candidate; an assigned value keeps its name in front, which ``PREFIX`` takes off. A quoted value runs to its quote on
+#: the line, others to white space, a quote or an angle bracket; commas and semicolons only inside.
 PREFIX = rf"(?i:{NAMES}[\"']?[ \t]{{0,3}}(?:=|:|:=|=>)[ \t]{{0,3}}[\"']?)"
+#: What stands before the password of a URL.
+LOGIN = rf"[A-Za-z][A-Za-z0-9+.-]{{0,30}}+://[^{SPACE}/:@\"'<>]{{0,256}}+:"
+VALUE = rf"(?<=\")[^\"\r\n]{{6,}}+(?=\")|(?<=')[^'\r\n]{{6,}}+(?=')|(?=[^{SPACE}\"'<>]{{6}})[^{SPACE}\"'<>,;]++(?:[,;]++[^{SPACE}\"'<>,;]++)*+"
 CANDIDATE = (
-    rf"{BLOCK}|(?<![A-Za-z0-9]){PREFIX}(?:{BLOCK}|[^{SPACE}\"'<>,;]{{6,}}+)|(?<![A-Za-z0-9])(?:{ISSUED})(?![A-Za-z0-9])|"
+    rf"{BLOCK}|(?<![A-Za-z0-9]){PREFIX}(?:{BLOCK}|{VALUE})|(?<![A-Za-z0-9]){LOGIN}[^{SPACE}/@\"'<>]{{3,}}+(?=@)|(?<![A-Za-z0-9])(?:{ISSUED})(?![A-Za-z0-9])|"
     r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 #: Characters of a candidate's surroundings that features look at, and rows that fit the forest at most.
@@ -57,10 +61,10 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     )
     each = found.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(each).alias("c"))
     rows = each.select("doc_id", "text_hash", "c.*")
-    name = F.regexp_extract("m", rf"^{PREFIX}", 0)
+    name = F.regexp_extract("m", rf"^(?:{PREFIX}|{LOGIN})", 0)
     rows = rows.withColumn("name", F.when(F.col("m").startswith("-----"), "").otherwise(name))
     value = F.expr("substr(m, length(name) + 1)")
-    kind = F.when(value.startswith("-----"), "private_key").when(value.rlike(f"^(?:{ISSUED})$"), "issued").when(F.col("name") != "", "assigned").otherwise("token")
+    kind = F.when(value.startswith("-----"), "private_key").when(F.col("name").rlike("://[^/]*:$"), "login").when(value.rlike(f"^(?:{ISSUED})$"), "issued").when(F.col("name") != "", "assigned").otherwise("token")
     return rows.select(
         "doc_id", "text_hash", "place", (F.col("at") + F.length("name")).alias("start"), F.length(value).alias("length"), value.alias("value"),
         kind.alias("kind"), F.concat("before", "name").alias("before"), "after",
@@ -118,12 +122,13 @@ def add_features(candidates: DataFrame, words: DataFrame) -> DataFrame:
 def certain_label() -> Column:
     """1 or 0 where a finding's own form settles what it is, else null.
 
-    Private keys, issuer formats and random values of 16 characters or more under a
-    secret's name are secrets; plain numbers without a name, and values made of words, are not.
+    Private keys, issuer formats, passwords of URLs, quoted values with digits and random values of 16
+    characters or more under a secret's name are secrets; plain numbers without a name, and values made of words, are not.
     """
     mixed = (F.col("digit_share") > 0.2) & (F.col("digit_share") < 1)
     return (
-        F.when(F.col("kind").isin("private_key", "issued"), 1)
+        F.when(F.col("kind").isin("private_key", "issued", "login"), 1)
+        .when((F.col("kind") == "assigned") & (F.col("quoted") == 1) & F.col("value").rlike(r"[0-9].* |.* .*[0-9]"), 1)
         .when((F.col("named") == 1) & mixed & (F.col("length") >= 16) & (F.col("dictionary_share") < 0.3), 1)
         .when((F.col("plain_number") == 1) & (F.col("named") == 0), 0)
         .when((F.col("dictionary_share") > 0.6) | (F.col("in_path") == 1) & (F.col("named") == 0), 0)
@@ -152,7 +157,7 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
 
     Returns doc_id, text_hash, place, start, length, value, kind, score, is_secret.
     ``labelled`` has ``FEATURES`` and a label (1: secret); without it the findings
-    whose form is certain (``certain_label``) teach the rest. Where only one label
+    whose form is certain (``certain_label``) teach the rest, and stay secrets. Where only one label
     occurs no forest can be trained, and certain findings alone are secrets.
 
     Null, empty and blank texts have no candidates. Each occurrence is a finding, in
@@ -164,6 +169,8 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
         scored = found.withColumn("score", F.coalesce(certain_label(), F.lit(0)).cast("double"))
     else:
         scored = forest.transform(found).withColumn("score", vector_to_array("probability")[1])
+        if labelled is None:  # a certain secret stays one, however few of its kind the forest has seen
+            scored = scored.withColumn("score", F.when(certain_label() == 1, F.greatest("score", F.lit(threshold))).otherwise(F.col("score")))
     return scored.select("doc_id", "text_hash", "place", "start", "length", "value", "kind", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
