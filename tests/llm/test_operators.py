@@ -501,5 +501,42 @@ def test_copies_of_a_page_and_shared_link_lists(spark):
 
 
 def test_markup_that_is_never_closed():
-    assert html_extract.text_lines("<p>a</p>" + '<p a="' * 200_001) == [("a", False, False)]
+    assert html_extract.text_lines("<p>a</p>" + '<p a="' * 200_001) == [("a", False, False, False)]
     assert html_extract.text_lines("<!" * 500_000) == []
+
+
+def test_equal_pages_get_equal_texts_whatever_lies_between(spark):
+    loose = "<body><p>Welcome to our site</p><div>menu</div><p>{}</p><p>All rights kept</p>"
+    rows = [(i, f"http://h.org/x/{i}", loose.format(t)) for i, t in enumerate(["a", "same", "same", "same", "b", "b", "c"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (60, 250, 1 << 20):
+        found = sorted((r["page_id"], r["text"], r["n_shared"]) for r in html_extract.extract_main_text(pages, size).collect())
+        assert found == [(i, t, 3) for i, t in enumerate(["a", "same", "same", "same", "b", "b", "c"])]
+
+
+def test_zones_by_markup():
+    def text(page):
+        return html_extract.main_text(html_extract.text_lines(page), None)[0]
+
+    assert text("<nav><a>menu</a><article><p>story</p></article>") == "story"
+    assert text("<article><p class=related>told</p><div class=related>other</div></article>") == "told"
+    assert text("<main><p>story</p><section class='responses'><p>nice</p></section></main>") == "story"
+    assert text("<article><nav>on this page</nav><aside><article>card</article></aside>story</article>") == "story"
+
+
+def test_pages_are_differenced_like_by_a_plain_pairing(spark):
+    """The given pages, paired outside Spark: the same texts, and lines that only differencing deletes."""
+    import os.path
+
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    placed = sorted((re.sub(r"^\w+://", "", r["url"]).partition("/")[0], "/" + r["url"].partition("#")[0].split("//", 1)[1].partition("/")[2], r["page_id"], html_extract.text_lines(r["html"])) for r in rows)
+    expected, gone = {}, 0
+    for i, (host, path, page, lines) in enumerate(placed):
+        sides = [next((p for p in way if p[3] != lines), None) for way in (placed[:i][::-1], placed[i + 1 :])]
+        sides = [p for p in sides if p and p[0] == host]
+        near = max(sides, key=lambda p: len(os.path.commonprefix([p[1], path])), default=None)
+        expected[page] = html_extract.main_text(lines, near[3] if near else None)
+        gone += expected[page][1]
+    assert gone > 0
+    found = {r["page_id"]: (r["text"], r["n_shared"]) for r in html_extract.extract_main_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert found == expected
