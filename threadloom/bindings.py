@@ -119,6 +119,13 @@ VIEWS = {
         SELECT conv_id AS document_id, turn AS task_place,
                CASE (conv_id + turn) % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' WHEN 3 THEN 'blocked' ELSE 'cancelled' END AS status
         FROM {conversations}""",
+    "planted": """
+        SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat(substr(text, 1, 30), ' sk-', md5(CAST(doc_id AS string)), '.', substr(text, 31))
+                            WHEN doc_id % 5 = 1 THEN concat(substr(text, 1, 30), '-----BEGIN RSA PRIVATE KEY-----', substr(text, 31)) ELSE text END AS text
+        FROM {documents} WHERE text IS NOT NULL""",
+    "file_records": """
+        SELECT doc_id AS source, 1 AS record, substr(t.text, 1, 40) AS text FROM {planted} t UNION ALL SELECT doc_id, 2, substr(t.text, 41, 12) FROM {planted} t
+        UNION ALL SELECT doc_id, 3, substr(t.text, 53) FROM {planted} t""",
     "versions": """
         SELECT o_custkey AS document_id, concat('v', o_orderkey) AS hash, o_totalprice AS size, CAST(o_orderdate AS date) AS synced, o_orderkey FROM {orders}""",
     "children": """
@@ -150,6 +157,9 @@ VIEWS = {
 }
 
 
+VIEWS["file_records"] = VIEWS["file_records"].replace("{planted}", f"({VIEWS.pop('planted')})")
+
+
 def sql(view: str) -> str:
     """A view's statement with plain table names, for other engines."""
     return re.sub(r"\{(\w+)\}", r"\1", VIEWS[view])

@@ -191,6 +191,22 @@ def replace_lexicon(new: DataFrame, old: DataFrame) -> DataFrame:
     return joined.select("term", "frequency", action.alias("action"))
 
 
+def _chunk_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    start = 0
+    while start < len(text):
+        end = start + size
+        if end < len(text):
+            window = text[start + size // 2 : end]
+            end -= next((len(window) - window.rindex(s) - len(s) for s in BREAKS if s in window), 0)
+        yield start, end
+        start = end - overlap
+
+
+def chunks_of(text: str, size: int = 2000, overlap: int = 200, least: int = 50, most: int | None = None) -> list[str]:
+    """The chunks of one text, as ``chunk_text`` says."""
+    return [text] if 0 < len(text) <= size else [c for c in (text[a:b].strip() for a, b in _chunk_spans(text, size, overlap)) if len(c) > least][:most]
+
+
 def chunk_text(docs: DataFrame, size: int = 2000, overlap: int = 200, least: int = 50, most: int | None = None) -> DataFrame:
     """document_id, chunk_index (from 0), chunk: overlapping chunks of ``docs(document_id, content)``.
 
@@ -201,20 +217,10 @@ def chunk_text(docs: DataFrame, size: int = 2000, overlap: int = 200, least: int
     """
     id_type = docs.schema["document_id"].dataType.simpleString()
 
-    def spans(text: str) -> Iterator[tuple[int, int]]:
-        start = 0
-        while start < len(text):
-            end = start + size
-            if end < len(text):
-                window = text[start + size // 2 : end]
-                end -= next((len(window) - window.rindex(s) - len(s) for s in BREAKS if s in window), 0)
-            yield start, end
-            start = end - overlap
-
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             lists = [
-                [text] if len(text) <= size else [c for c in (text[a:b].strip() for a, b in spans(text)) if len(c) > least][:most]
+                chunks_of(text, size, overlap, least, most)
                 for text in frame["content"]
             ]
             counts = np.array([len(chunks) for chunks in lists], dtype=int)

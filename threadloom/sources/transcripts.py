@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,10 @@ from pyspark.sql.types import StructType
 #: Longest record that is framed, in characters.
 MAX_RECORD = 16 << 20
 
+#: What opens a record, and what counts inside one: a whole string (or one that never ends) and braces.
+_OPEN = re.compile(r"\{")
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[{}]', re.DOTALL)
+
 #: Rules of a path table at most.
 MAX_RULES = 1000
 
@@ -46,38 +51,31 @@ def transcript_files(lines: DataFrame) -> DataFrame:
     )
 
 
-def frame_json_objects(df: DataFrame, text: str) -> DataFrame:
+def json_spans(value: str, longest: int | None = MAX_RECORD) -> Iterator[str]:
+    """The outermost ``{...}`` of a text; braces inside strings don't count. Only quotes and braces are looked at."""
+    depth, start, at = 0, 0, 0
+    while mark := (_MARKS if depth else _OPEN).search(value, at):
+        at, found = mark.end(), mark[0]
+        if found == "{":
+            start = start if depth else mark.start()
+            depth += 1
+        elif found == "}":
+            depth -= 1
+            if not depth and (longest is None or at - start <= longest):
+                yield value[start:at]
+
+
+def frame_json_objects(df: DataFrame, text: str, longest: int | None = MAX_RECORD) -> DataFrame:
     """The JSON objects that a text holds one after another, however they are broken into lines.
 
-    Adds ``position`` and ``record``. Braces inside strings don't count; records that
-    don't parse, or are longer than ``MAX_RECORD``, are dropped.
+    Adds ``position`` and ``record``. Records that don't parse, or are longer than ``longest`` characters
+    (None: no bound), are dropped.
     """
     schema = StructType([*df.schema.fields]).add("position", "integer").add("record", "string")
 
-    def spans(value: str) -> Iterator[str]:
-        depth, start, inside, escaped = 0, 0, False, False
-        for i, c in enumerate(value):
-            if inside:
-                if escaped:
-                    escaped = False
-                elif c == "\\":
-                    escaped = True
-                elif c == '"':
-                    inside = False
-            elif c == '"' and depth:
-                inside = True
-            elif c == "{":
-                if not depth:
-                    start = i
-                depth += 1
-            elif c == "}" and depth:
-                depth -= 1
-                if not depth and i + 1 - start <= MAX_RECORD:
-                    yield value[start : i + 1]
-
     def framed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(*row, i, record) for row in frame.itertuples(index=False) for i, record in enumerate(spans(getattr(row, text) or ""))]
+            rows = [(*row, i, record) for row in frame.itertuples(index=False) for i, record in enumerate(json_spans(getattr(row, text) or "", longest))]
             yield pd.DataFrame(rows, columns=schema.names)
 
     return df.mapInPandas(framed, schema).where(F.try_parse_json("record").isNotNull())
