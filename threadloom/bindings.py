@@ -31,7 +31,7 @@ VIEWS = {
         SELECT s_suppkey - 1 AS machine_id,
                concat('Host', (s_suppkey - 1) % 5, CASE (s_suppkey - 1) % 3 WHEN 0 THEN ' (Windows)' WHEN 1 THEN ' (Linux)' ELSE '' END) AS name,
                CASE WHEN (s_suppkey - 1) % 4 = 3 THEN NULL ELSE (s_suppkey - 1) % 4 END AS user_id
-        FROM {supplier} WHERE s_suppkey <= 12""",
+        FROM {supplier}""",
     "projects": """
         SELECT DISTINCT source AS slug, source AS title FROM {documents} UNION ALL SELECT 'empty' AS slug, 'empty' AS title""",
     "grants": """
