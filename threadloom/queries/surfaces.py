@@ -534,7 +534,10 @@ def h1_tokenize_index(messages):
     return messages.select("message_id", F.array_join(T.tokens(F.col("content")), " ").alias("tokens"))
 
 
-@query("messages")
+_ASKED = "list_filter({t}, lambda x, i: list_position({t}, x) = i)"
+
+
+@query("messages", f"SELECT message_id, array_to_string({_ASKED.format(t='t')}[1:16], ' ') AS tokens FROM (SELECT message_id, {_TOK} AS t FROM messages)")
 def h2_tokenize_query(messages):
     return messages.select("message_id", F.array_join(T.query_tokens(F.col("content")), " ").alias("tokens"))
 
@@ -554,7 +557,16 @@ def h6_ilike_contains(messages):
     return messages.where(search.ilike_contains(F.col("content"), "Ing of")).select("message_id")
 
 
-@query("part")
+def _grams(text: str) -> str:
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3)))))"
+
+
+def _alike(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b})) / greatest(len(list_distinct(list_concat({a}, {b}))), 1)::double"
+
+
+@query("part", f"SELECT p_partkey, round({_alike(_grams('p_name'), _grams('p_type'))}, 4) AS similarity FROM part")
 def h7_trigram_similarity(part):
     return part.select("p_partkey", F.round(T.trigram_similarity(F.col("p_name"), F.col("p_type")), 4).alias("similarity"))
 
@@ -564,13 +576,26 @@ def h9_score_messages(messages):
     return search.score_messages(messages, "the and").select("message_id", "score", "match_type")
 
 
-@query("messages")
+@query(
+    "messages",
+    f""", lexicon AS (SELECT term, count(*) AS frequency, {_grams("term")} AS g FROM ({_TERMS}) GROUP BY term),
+    q AS (SELECT DISTINCT token FROM (SELECT unnest({_ASKED.format(t="t")}[1:8]) AS token FROM (SELECT {_TOK} AS t FROM messages WHERE role = 'user')) WHERE regexp_matches(token, '^[\\x00-\\x7F]+$')),
+    a AS (SELECT token, coalesce(frequency, 0) AS own, {_grams("token")} AS h FROM q LEFT JOIN lexicon ON term = token),
+    m AS (SELECT DISTINCT token, term FROM (SELECT token, unnest(h) AS gram FROM a) JOIN (SELECT term, unnest(g) AS gram FROM lexicon) USING (gram) WHERE token <> term AND abs(length(token) - length(term)) <= 2),
+    s AS (SELECT token, own, term, frequency, {_alike("h", "g")} AS similarity FROM m JOIN a USING (token) JOIN lexicon USING (term)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY similarity DESC, frequency DESC, term) AS n FROM s)
+    SELECT token, term, similarity FROM b WHERE n = 1 AND CASE WHEN own = 0 THEN similarity >= 0.45 ELSE similarity >= 0.55 AND frequency >= 20 AND frequency >= 20 * own END""",
+)
 def h10_correct_queries(messages):
     asked = messages.where("role = 'user'").select(F.col("content").alias("query"))
     return search.correct_queries(asked, aggregates.build_lexicon(messages))
 
 
-@query("messages")
+@query(
+    "messages",
+    """SELECT message_id, concat(CASE WHEN start > 1 THEN '…' ELSE '' END, substr(said, start, 120), CASE WHEN start + 119 < length(said) THEN '…' ELSE '' END) AS snippet
+    FROM (SELECT message_id, said, greatest(1, strpos(lower(said), 'ing of') - 57) AS start FROM (SELECT message_id, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS said FROM messages WHERE contains(lower(content), 'ing of')))""",
+)
 def h14_snippet(messages):
     return messages.where(search.ilike_contains(F.col("content"), "ing of")).select("message_id", T.snippet(F.col("content"), "ing of", 120).alias("snippet"))
 
@@ -595,7 +620,17 @@ def i1_redact(docs):
     return docs.select("document_id", F.sha2(T.redact(F.col("content")), 256).alias("digest"))
 
 
-@query("docs")
+def _counted_redaction() -> str:
+    """As many replacements as each pattern makes in what the ones before it left."""
+    text, total = "content", "0"
+    for pattern, mask in T.SECRETS:
+        quoted = pattern.replace("'", "''")
+        total += f" + len(regexp_extract_all({text}, '{quoted}'))"
+        text = f"regexp_replace({text}, '{quoted}', '{mask.replace('$1', chr(92) + '1')}', 'g')"
+    return total
+
+
+@query("docs", f"SELECT document_id, {_counted_redaction()} AS n FROM docs")
 def i1_count_secrets(docs):
     return docs.select("document_id", T.count_secrets(F.col("content")).alias("n"))
 
@@ -1085,7 +1120,14 @@ def o3_quiet_window(signals):
     return states.quiet_windows(signals.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-@query("signals")
+@query(
+    "signals",
+    """, r AS (SELECT activity_id, min(ts) AS start FROM signals WHERE status = 'running' GROUP BY activity_id),
+    b AS (SELECT s.*, start FROM signals s JOIN r USING (activity_id) WHERE ts >= start),
+    f AS (SELECT activity_id, any_value(start) AS start, min(CASE WHEN status <> 'running' THEN ts END) AS ended, max(CASE WHEN status = 'running' THEN ts END) AS last FROM b GROUP BY activity_id)
+    SELECT f.activity_id, coalesce((SELECT min_by(status, event_id) FROM b WHERE b.activity_id = f.activity_id AND b.ts = f.ended AND status <> 'running'), 'running') AS status,
+           cast(floor(epoch(start)) AS bigint) AS start_ts, cast(floor(epoch(coalesce(ended, last))) AS bigint) AS last_ts FROM f""",
+)
 def o4_activity_state(signals):
     return states.activity_state_batch(signals.withColumn("ts", F.col("ts").cast("timestamp")))
 
