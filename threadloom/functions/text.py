@@ -122,16 +122,19 @@ def _pairs(piece: Column) -> Column:
     return F.when(piece.rlike(f"[{UNSPACED}]"), F.flatten(F.transform(runs, cut))).otherwise(F.array(piece))
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, bounded: bool = True) -> Column:
     """Index tokens: separated pieces in lower case, without single ASCII characters.
 
+    ``bounded`` ends them at the bounds of an index entry; False takes all of the text.
+
     Chinese, Japanese and Korean runs become overlapping pairs of letters, in texts as
     in queries, so that words inside a sentence are found.
     """
-    bounded = F.lower(F.substring(text, 1, INDEX_CHARS))
-    pieces = F.split(bounded, SEPARATORS)
-    pieces = F.when(bounded.rlike(f"[{UNSPACED}]"), F.flatten(F.transform(pieces, _pairs))).otherwise(pieces)
-    return F.slice(F.filter(pieces, lambda t: (F.length(t) > 1) | t.rlike(r"^[^\x00-\x7F]$")), 1, INDEX_TOKENS)
+    taken = F.lower(F.substring(text, 1, INDEX_CHARS) if bounded else text)
+    pieces = F.split(taken, SEPARATORS)
+    pieces = F.when(taken.rlike(f"[{UNSPACED}]"), F.flatten(F.transform(pieces, _pairs))).otherwise(pieces)
+    found = F.filter(pieces, lambda t: (F.length(t) > 1) | t.rlike(r"^[^\x00-\x7F]$"))
+    return F.slice(found, 1, INDEX_TOKENS) if bounded else found
 
 
 def query_tokens(text: Column) -> Column:
