@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -71,16 +72,33 @@ def match_recovered_prompts(source: DataFrame, history: DataFrame, tolerance: in
     run = Window.partitionBy("document_id", "text", "run")
     runs = runs.withColumn("_sides", F.count_if(F.col("_side") == 0).over(run) * F.count_if(F.col("_side") == 1).over(run))
 
-    def matched(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["ts", "key"], na_position="last")
-        a, b = frame[frame["_side"] == 0], frame[frame["_side"] == 1]
+    def paired(run: pd.DataFrame) -> pd.DataFrame:
+        a, b = run[run["_side"] == 0], run[run["_side"] == 1]
         pairs = match_in_order(a["ts"].to_numpy(), b["ts"].to_numpy(), tolerance)
         at, to = (np.array(x, int) for x in (list(zip(*pairs, strict=True)) or ((), ())))
         return pd.DataFrame({"document_id": b["document_id"].iloc[at].to_numpy(), "key": b["key"].iloc[at].to_numpy(), "source_key": a["key"].iloc[to].to_numpy()})
 
-    document = source.schema["document_id"].dataType.simpleString()
-    found = runs.where("_sides > 0").select("document_id", "text", "run", "key", "ts", "_side")
-    found = found.groupBy("document_id", "text", "run").applyInPandas(matched, f"document_id {document}, key long, source_key long")
+    def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # parts of the run that is not yet at its end
+        for frame in frames:
+            names = list(zip(frame["document_id"], frame["text"], frame["run"], strict=True))
+            last = (held[-1]["document_id"].iloc[-1], held[-1]["text"].iloc[-1], held[-1]["run"].iloc[-1]) if held else None
+            cuts = [i for i, (x, y) in enumerate(zip(names, [last, *names], strict=False)) if x != y]
+            out = []
+            for start, end in zip([0, *cuts], [*cuts, len(frame)], strict=True):
+                if start in cuts and held:
+                    out.append(paired(pd.concat(held)))
+                    held = []
+                if end > start:
+                    held.append(frame.iloc[start:end])
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield paired(pd.concat(held))
+
+    document, run = source.schema["document_id"].dataType.simpleString(), ["document_id", "text", "run"]
+    found = runs.where("_sides > 0").select(*run, "key", "ts", "_side").repartition(*run).sortWithinPartitions(*run, "_side", F.asc_nulls_last("ts"), "key")
+    found = found.mapInPandas(matched, f"document_id {document}, key long, source_key long")
     return history.select("document_id", "key").join(found, ["document_id", "key"], "left")
 
 

@@ -155,10 +155,12 @@ def correct_queries(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
     asked = queries.select(F.explode(F.slice(query_tokens(F.col("query")), 1, 8)).alias("token")).where(F.col("token").rlike("^[\\x00-\\x7F]+$")).distinct()
     own = lexicon.select(F.col("term").alias("token"), F.col("frequency").alias("own"))
     asked = asked.join(own, "token", "left").select("token", F.coalesce("own", F.lit(0)).alias("own"))
-    a = asked.withColumn("gram", F.explode(trigrams(F.col("token"))))
-    b = lexicon.withColumn("gram", F.explode(trigrams(F.col("term"))))
+    a = asked.withColumn("grams", trigrams(F.col("token"))).select("token", "own", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    b = lexicon.withColumn("grams", trigrams(F.col("term"))).select("term", "frequency", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
     near = a.join(b, "gram").where((F.col("token") != F.col("term")) & (F.abs(F.length("token") - F.length("term")) <= 2))
-    near = near.select("token", "own", "term", "frequency").distinct().withColumn("similarity", trigram_similarity(F.col("token"), F.col("term")))
+    # what a pair shares is counted where its grams meet; similar pairs share at least 0.45 of all
+    shared = near.groupBy("token", "own", "term", "frequency", "n", "m").agg(F.count("*").alias("shared"))
+    near = shared.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).where("similarity >= 0.45")
     good = F.when(F.col("own") == 0, F.col("similarity") >= 0.45).otherwise(
         (F.col("similarity") >= 0.55) & (F.col("frequency") >= 20) & (F.col("frequency") >= 20 * F.col("own"))
     )
