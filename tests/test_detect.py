@@ -38,6 +38,6 @@ def test_projects(spark):
 
 
 def test_encoded_paths(spark):
-    names = {"-Users-me-Desktop-dev-python-quant-future": "quant-future", "d--dev-1106-book": "book", "C--": "C--", "Users-x-ft-data": "ft-data"}
+    names = {"-Users-me-Desktop-dev-python-quant-future": "quant-future", "d--dev-1106-book": "book", "C--": "C", "Users-x-ft-data": "ft-data"}
     rows = spark.createDataFrame([(n,) for n in names], "n string")
     assert {r["n"]: r["x"] for r in rows.select("n", detect.readable_name(F.col("n")).alias("x")).collect()} == names
