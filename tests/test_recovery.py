@@ -90,3 +90,13 @@ def test_semantic_rows_find_their_place(spark):
     lines = sorted((r["document_id"], r["line_number"], r["content"]) for r in recovery.align_and_insert(p, s).collect())
     assert lines == [(1, 1, "edited"), (1, 3, "why"), (1, 4, "yes"), (1, 5, "known"), (1, 6, "start"), (1, 7, "same"), (1, 8, "late"), (1, 9, "same"), (1, 10, "end"), (2, 1, "other")]
     assert recovery.semantic_inserts(p, s.limit(0)).count() == 5 and recovery.semantic_inserts(p.limit(0), s).count() == 0
+
+
+def test_overlays_fill_what_is_missing(spark):
+    schema = "document_id long, line_number long, role string, message_type string, content string, model string, effort string"
+    stored = [(1, 1, "assistant", "text", "a", None, None), (1, 2, "assistant", "text", "b", "own", None), (1, 3, "user", "text", "twice", None, None), (1, 4, "user", "text", "twice", None, None), (1, 5, None, None, None, None, None)]
+    parsed = [(1, 1, "assistant", "text", "a", "m1", "high"), (1, 7, "assistant", "text", "b", "m2", "low"), (1, 8, "user", "text", "twice", "m3", None), (1, 9, "user", "text", "gone", "m4", None)]
+    s, p = spark.createDataFrame(stored, schema), spark.createDataFrame(parsed, schema)
+    out = recovery.backfill_overlays(s, p, ["model", "effort"]).orderBy("line_number").collect()
+    assert [(r["model"], r["effort"], r["aligned"]) for r in out] == [("m1", "high", "line"), ("own", "low", "unique"), (None, None, None), (None, None, None), (None, None, None)]
+    assert recovery.backfill_overlays(s, p.limit(0), ["model"]).where("aligned is null").count() == 5 and recovery.backfill_overlays(s.limit(0), p, ["model"]).count() == 0

@@ -184,6 +184,27 @@ def align_and_insert(parsed: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.drop("position")
 
 
+def backfill_overlays(stored: DataFrame, parsed: DataFrame, columns: list[str]) -> DataFrame:
+    """``stored`` with nulls in ``columns`` filled from ``parsed``, and ``aligned`` (line, unique, null); texts and order stay.
+
+    Both ``(document_id, line_number, role, message_type, content, …)``. A row is itself where line and signature (role, type
+    and text) agree, else where its signature occurs once on both sides among the rows that no line aligned. Of
+    repeated parsed rows of one line and signature the first filled value counts.
+    """
+    signature = F.sha2(F.concat_ws("\x00", F.coalesce("role", F.lit("")), F.coalesce("message_type", F.lit("")), F.coalesce("content", F.lit(""))), 256)
+    ours = stored.withColumn("_sign", signature)
+    theirs = parsed.withColumn("_sign", signature).groupBy("document_id", "line_number", "_sign").agg(*[F.first(c, ignorenulls=True).alias(f"_{c}") for c in columns], F.lit(True).alias("_by_line"))
+    by_line = ours.join(theirs, ["document_id", "line_number", "_sign"], "left")
+    left = by_line.where("_by_line is null").groupBy("document_id", "_sign").agg(F.count("*").alias("_n")).where("_n = 1").drop("_n")
+    loose = theirs.join(ours.select("document_id", "line_number", "_sign").distinct(), ["document_id", "line_number", "_sign"], "left_anti")
+    lone = loose.groupBy("document_id", "_sign").agg(F.count("*").alias("_n"), *[F.first(f"_{c}", ignorenulls=True).alias(f"_u_{c}") for c in columns]).where("_n = 1").drop("_n")
+    lone = lone.join(left, ["document_id", "_sign"]).withColumn("_unique", F.lit(True))
+    both = by_line.join(lone, ["document_id", "_sign"], "left").withColumn("_unique", F.col("_unique") & F.col("_by_line").isNull())
+    filled = {c: F.coalesce(c, f"_{c}", F.when(F.col("_unique"), F.col(f"_u_{c}"))) for c in columns}
+    aligned = F.when(F.col("_by_line"), "line").when(F.col("_unique"), "unique")
+    return both.withColumns(filled).select(*stored.columns, aligned.alias("aligned"))
+
+
 def repair_history(messages: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Messages without recovered prompts that their source holds, the others before the next row of a later time.
 

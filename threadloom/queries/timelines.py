@@ -45,3 +45,21 @@ def n25_repair_history(prompt_sources, prompt_history):
     source = prompt_sources.select("document_id", F.col("key").alias("message_id"), (F.col("key") + 1).alias("line_number"), F.lit("user").alias("role"), F.lit("text").alias("message_type"), "content", "ts")
     found = prompt_history.select("document_id", (-F.col("key") - 1).alias("message_id"), (-F.col("key") - 1).alias("line_number"), F.lit("user").alias("role"), F.lit(recovery.RECOVERED).alias("message_type"), "content", "ts")
     return recovery.repair_history(source.unionByName(found)).select("document_id", "line_number", "message_id")
+
+
+@query(
+    "parsed_rows stored_rows",
+    """, p AS (SELECT document_id, cast(floor(position / 2) AS bigint) + 1 + CASE WHEN document_id % 3 = 0 THEN 1 ELSE 0 END AS line_number, concat(role, '|', message_type, '|', content) AS s, concat('m', position) AS model FROM parsed_rows),
+    o AS (SELECT document_id, line_number, concat(role, '|', message_type, '|', content) AS s, CASE WHEN line_number % 5 = 0 THEN 'own' END AS model FROM stored_rows),
+    j AS (SELECT o.*, p.model AS found FROM o LEFT JOIN p USING (document_id, line_number, s)),
+    u AS (SELECT document_id, s FROM j WHERE found IS NULL GROUP BY ALL HAVING count(*) = 1),
+    l AS (SELECT document_id, s, any_value(model) AS model FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.document_id = p.document_id AND o.line_number = p.line_number AND o.s = p.s) GROUP BY ALL HAVING count(*) = 1)
+    SELECT j.document_id, line_number, coalesce(j.model, found, CASE WHEN u.s IS NOT NULL THEN l.model END) AS model,
+           CASE WHEN found IS NOT NULL THEN 'line' WHEN u.s IS NOT NULL AND l.s IS NOT NULL THEN 'unique' END AS aligned
+    FROM j LEFT JOIN u ON u.document_id = j.document_id AND u.s = j.s AND found IS NULL LEFT JOIN l ON l.document_id = j.document_id AND l.s = j.s""",
+)
+def n21_backfill_overlays(parsed_rows, stored_rows):
+    line = F.floor(F.col("position") / 2) + 1 + F.when(F.col("document_id") % 3 == 0, 1).otherwise(0)
+    parsed = parsed_rows.withColumns({"line_number": line, "model": F.concat(F.lit("m"), "position")})
+    stored = stored_rows.withColumn("model", F.when(F.col("line_number") % 5 == 0, "own"))
+    return recovery.backfill_overlays(stored, parsed, ["model"]).select("document_id", "line_number", "model", "aligned")
