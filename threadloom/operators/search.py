@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import query_tokens, tokens, trigram_similarity
+from threadloom.tables import written
 
 SEARCHED_ROLES = ("user", "assistant")
 #: Where chunks end, the strongest first.
@@ -143,6 +145,41 @@ def rank_messages(messages: DataFrame, query: str, fuzzy: float | None = None) -
     return rows.mapInPandas(rank, f"{columns}, score double, match_type string")
 
 
+#: Likeness that an unknown token needs, and a known one, and how often its term must occur, at least and for each of its own.
+UNKNOWN, KNOWN, OFTEN = 0.45, 0.55, 20
+
+
+def _by_rarity(words: DataFrame, word: str, counts: DataFrame) -> DataFrame:
+    """``words`` with their distinct 3-grams (``grams``, as numbers) in one order for all, those of the fewest terms first."""
+    spread = words.select(word, F.explode("codes").alias("code")).join(counts, "code", "left")
+    ordered = spread.groupBy(word).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "code")))["code"].alias("grams"))
+    return words.drop("codes").join(ordered, word)
+
+
+def _alike(asked: DataFrame, terms: DataFrame, least: float, wanted: Column) -> DataFrame:
+    """Pairs of ``asked(token, grams, least, …)`` and ``terms(term, grams, …)`` whose similarity is at least the token's ``least``, itself at least ``least``.
+
+    Such a pair shares at least ``least`` of each one's grams, so one of the rarest that are left when all but one of
+    those are taken away; pairs meet there, each once, at the first gram that both have.
+    """
+
+    def spread(rows: DataFrame, word: str, bound: Column, side: str) -> DataFrame:
+        rarest = F.slice("grams", 1, F.size("grams") - F.ceil(bound * F.size("grams") - 1e-9).cast("int") + 1)
+        sized = rows.withColumns({f"_first_{side}": rarest, f"_n_{side}": F.size("grams"), f"_length_{side}": F.length(word)}).withColumnRenamed("grams", f"_grams_{side}")
+        # few bytes make many pairs, so the number of tasks can't go by bytes
+        return sized.select("*", F.posexplode(f"_first_{side}").alias(f"_at_{side}", "_gram")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_gram")
+
+    n, m = F.col("_n_a"), F.col("_n_b")
+    close = (F.abs(F.col("_length_a") - F.col("_length_b")) <= 2) & (F.col("least") * n <= m + 1e-9) & (F.col("least") * m <= n + 1e-9)
+    # what lies before the gram is not shared
+    enough = F.least(n - F.col("_at_a"), m - F.col("_at_b")) * (1 + F.col("least")) >= F.col("least") * (n + m) - 1e-9
+    once = F.get(F.array_intersect("_first_a", "_first_b"), F.lit(0)) == F.col("_gram")
+    met = spread(asked, "token", F.col("least"), "a").join(spread(terms, "term", F.lit(least), "b"), "_gram").where(close & enough & wanted & (F.col("token") != F.col("term")) & once)
+    shared = F.size(F.array_intersect("_grams_a", "_grams_b"))
+    alike = met.withColumn("similarity", shared / (n + m - shared)).where("similarity >= least")
+    return alike.drop(*[c for c in alike.columns if c.startswith("_")])
+
+
 def correct_queries(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
     """For each misspelt token of ``queries(query)`` the most alike term of ``lexicon(term, frequency)``.
 
@@ -152,20 +189,27 @@ def correct_queries(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     from threadloom.functions.text import trigrams
 
+    def codes(word: str) -> Column:
+        # a code point has 21 bits
+        return F.transform(trigrams(F.col(word)), lambda g: reduce(lambda x, i: x * 2**21 + F.ascii(F.substr(g, F.lit(i), F.lit(1))), (1, 2, 3), F.lit(0).cast("long")))
+
+    counted = written(lexicon.select("term", "frequency", codes("term").alias("codes")), "lexicon")
+    counts = written(counted.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")), "grams")
+    terms = written(_by_rarity(counted, "term", counts), "terms")
     asked = queries.select(F.explode(F.slice(query_tokens(F.col("query")), 1, 8)).alias("token")).where(F.col("token").rlike("^[\\x00-\\x7F]+$")).distinct()
-    own = lexicon.select(F.col("term").alias("token"), F.col("frequency").alias("own"))
-    asked = asked.join(own, "token", "left").select("token", F.coalesce("own", F.lit(0)).alias("own"))
-    a = asked.withColumn("grams", trigrams(F.col("token"))).select("token", "own", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    b = lexicon.withColumn("grams", trigrams(F.col("term"))).select("term", "frequency", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
-    near = a.join(b, "gram").where((F.col("token") != F.col("term")) & (F.abs(F.length("token") - F.length("term")) <= 2))
-    # what a pair shares is counted where its grams meet; similar pairs share at least 0.45 of all
-    shared = near.groupBy("token", "own", "term", "frequency", "n", "m").agg(F.count("*").alias("shared"))
-    near = shared.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).where("similarity >= 0.45")
-    good = F.when(F.col("own") == 0, F.col("similarity") >= 0.45).otherwise(
-        (F.col("similarity") >= 0.55) & (F.col("frequency") >= 20) & (F.col("frequency") >= 20 * F.col("own"))
-    )
-    order = Window.partitionBy("token").orderBy(F.desc("similarity"), F.desc("frequency"), "term")
-    return near.withColumn("_n", F.row_number().over(order)).where("_n = 1").where(good).select("token", "term", "similarity")
+    own = counted.select(F.col("term").alias("token"), F.col("frequency").alias("own"))
+    asked = asked.join(own, "token", "left").select("token", F.coalesce("own", F.lit(0)).alias("own"), codes("token").alias("codes"))
+    asked = written(_by_rarity(asked, "token", counts), "asked")
+    first = F.min(F.struct((-F.col("similarity")).alias("s"), (-F.col("frequency")).alias("f"), F.col("term").alias("t"))).alias("best")
+    unknown = _alike(asked.where("own = 0").withColumn("least", F.lit(UNKNOWN)), terms, UNKNOWN, F.lit(True)).groupBy("token").agg(first)
+    # of the terms that are frequent enough the best stands, unless any term at all comes before it
+    known, often = asked.where("own > 0").withColumn("least", F.lit(KNOWN)), terms.where(F.col("frequency") >= OFTEN)
+    best = written(_alike(known, often, KNOWN, F.col("frequency") >= OFTEN * F.col("own")).groupBy("token").agg(first), "best")
+    rivals = best.join(asked, "token").select("token", "grams", "best", (-F.col("best.s")).alias("least"))
+    before = F.struct((-F.col("similarity")).alias("s"), (-F.col("frequency")).alias("f"), F.col("term").alias("t")) < F.col("best")
+    beaten = _alike(rivals, terms, KNOWN, F.lit(True)).where(before).select("token").distinct()
+    found = unknown.unionByName(best.join(beaten, "token", "left_anti"))
+    return found.select("token", F.col("best.t").alias("term"), (-F.col("best.s")).alias("similarity"))
 
 
 def score_with_correction(messages: DataFrame, query: str, lexicon: DataFrame, enough: int) -> DataFrame:
