@@ -108,3 +108,9 @@ def test_titles_shuffled_across_machines_end_alike(feed):
     random.Random(3).shuffle(rows)
     found = feed(keyed.title_revisions, schema, [rows])
     assert max(found)[2:4] == ("t11", "custom") and max(found)[5] == ["m0=9", "m1=10", "m2=11"]
+
+
+def test_deltas_of_one_batch_go_by_their_offsets(feed):
+    rows = [(1, "full", None, 90, "e", 0), (1, "delta", 10, 20, "b", 0), (1, "delta", 30, 40, "d", 0), (1, "full", None, 10, "a", 0)]
+    found = feed(keyed.contiguous_deltas, DELTA, [rows])
+    assert found == [(1, 10, "a", "accepted"), (1, 20, "b", "accepted"), (1, 40, "d", "stale"), (1, 90, "e", "accepted")]

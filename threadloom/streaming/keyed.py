@@ -1,17 +1,21 @@
 """Keyed state of the live paths: chains of deltas, waiting signals, open questions, title clocks.
 
-Each operator is a ``StatefulProcessor`` for ``transformWithState``; its rules stand in one
-function over plain values, so that a batch form can fold the same rows in order.
+Each operator is a ``StatefulProcessor`` for ``transformWithState``, but for the chains, whose state is a
+table; its rules stand in one function over plain values, so that a batch form can fold the same rows in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from threadloom.streaming.runs import Folded
+
 DAY = 86_400
 #: Seconds that a signal of each kind waits for its document; other kinds wait like titles.
 WAITS = {"activity": 2 * DAY, "interaction": 7 * DAY, "title": 30 * DAY}
@@ -20,7 +24,6 @@ HISTORY, CLOCKS, OPEN_SECONDS = 32, 32, 7 * DAY
 
 
 # Rows that the processors give.
-Placed = Row("source", "byte_offset", "hash", "disposition")
 Applied = Row("session", "signal_id", "payload", "applied_at")
 Asked = Row("document_id", "revision", "pending", "history")
 Titled = Row("document_id", "revision", "title", "source", "updates", "clocks")
@@ -38,6 +41,11 @@ def _timed(rows: DataFrame, lateness: str) -> DataFrame:
 
 # --- chains of deltas ----------------------------------------------------------------
 
+#: Rows of a source's state among its deliveries, and of the stream's watermark.
+COMMITTED, HELD, WATERMARK = "committed", "held", "watermark"
+PLACED = "source long, byte_offset long, hash string, disposition string, base_offset long, expires long"
+PLACED_COLUMNS = [c.split()[0] for c in PLACED.split(", ")]
+
 
 def place_delta(committed: int, mode: str, base: int | None, end: int) -> str:
     """What becomes of a delivery whose source is committed up to ``committed``: accepted, stale, mismatched or ahead."""
@@ -48,57 +56,43 @@ def place_delta(committed: int, mode: str, base: int | None, end: int) -> str:
     return "ahead" if base is not None and base > committed else "mismatched"
 
 
-class DeltaChain(_Processor):
-    """Accepts each source's deliveries in the order of their bases, holds the early ones."""
-
-    def __init__(self, wait_seconds: int):
-        self.wait = wait_seconds * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.committed = handle.getValueState("committed", "byte_offset long")
-        self.ahead = handle.getListState("ahead", "base long, byte_offset long, hash string, expires long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        source = key[0]
-        committed = self.committed.get()[0] if self.committed.exists() else 0
-        held = {(h[1], h[2]): h for h in self.ahead.get()} if self.ahead.exists() else {}
-        first, waiting = committed, set(held)
-        for row in rows:
-            spot = (row["byte_offset"], row["hash"])
-            what = place_delta(committed, row["mode"], row["base_offset"], row["byte_offset"])
-            if what == "ahead":
-                held.setdefault(spot, (row["base_offset"], *spot, row["ts"] * 1000 + self.wait))
-                continue
-            yield Placed(source, *spot, what)
-            if what == "accepted":
-                committed = row["byte_offset"]
-                by_base = {h[0]: h for h in held.values()}
-                while committed in by_base:
-                    nxt = by_base.pop(committed)
-                    committed = nxt[1]
-                    yield Placed(source, nxt[1], nxt[2], "accepted")
-                    del held[nxt[1], nxt[2]]
-                for spot in [s for s in held if s[0] <= committed or held[s][0] < committed]:
-                    yield Placed(source, *spot, "stale" if spot[0] <= committed else "mismatched")
-                    del held[spot]
-        if committed != first:
-            self.committed.update((committed,))
-        if set(held) != waiting:
-            self.ahead.put(list(held.values())) if held else self.ahead.clear()
-        for expires in {held[s][3] for s in set(held) - waiting}:
-            self.handle.registerTimer(expires)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now, held = expiredTimerInfo.getExpiryTimeInMs(), [tuple(h) for h in self.ahead.get()] if self.ahead.exists() else []
-        for h in held:
-            if h[3] <= now:
-                yield Placed(key[0], h[1], h[2], "expired")
-        left = [h for h in held if h[3] > now]
-        self.ahead.put(left) if left else self.ahead.clear()
-
-
-def contiguous_deltas(deliveries: DataFrame, wait_seconds: int = OPEN_SECONDS, lateness: str = "1 hour") -> DataFrame:
+def _chained(passed: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Over rows sorted by source, its state first, what becomes of each delivery, and the state behind it. ``passed``: the watermark."""
+
+    def ended(source: int, committed: int, held: dict) -> Iterator[tuple]:
+        for (end, name), (base, expires) in held.items():
+            what = place_delta(committed, "delta", base, end)
+            yield source, end, name, ("expired" if expires <= passed else HELD) if what == "ahead" else what, base, expires
+        yield source, committed, None, COMMITTED, None, None
+
+    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, committed, held = None, 0, {}
+        for frame in frames:
+            out: list[tuple] = []
+            for key, state, mode, base, end, name, expires in frame.itertuples(index=False, name=None):
+                base = None if pd.isna(base) else base
+                if key != source:
+                    if source is not None:
+                        out.extend(ended(source, committed, held))
+                    source, committed, held = key, 0, {}
+                if state == COMMITTED:
+                    committed = end
+                    continue
+                what = place_delta(committed, mode, base, end)
+                if what == "ahead":
+                    held.setdefault((end, name), (base, expires))
+                    continue
+                out.append((key, end, name, what, None, None))
+                if what == "accepted":
+                    committed = end
+            yield pd.DataFrame(out, columns=PLACED_COLUMNS).astype({"base_offset": "Int64", "expires": "Int64"})
+        if source is not None:
+            yield pd.DataFrame(list(ended(source, committed, held)), columns=PLACED_COLUMNS).astype({"base_offset": "Int64", "expires": "Int64"})
+
+    return chain
+
+
+def contiguous_deltas(deliveries: DataFrame, wait_seconds: int = OPEN_SECONDS, lateness: str = "1 hour") -> Folded:
     """source, byte_offset, hash, disposition of a stream of deliveries, each as soon as it is known.
 
     ``deliveries(source, mode, base_offset, byte_offset, hash, ts, at)``, ts in seconds and at the same as a timestamp: a full delivery ahead of what
@@ -107,10 +101,27 @@ def contiguous_deltas(deliveries: DataFrame, wait_seconds: int = OPEN_SECONDS, l
     covered) or mismatched (their base was passed over). What still waits for a gap to close
     when deliveries ``wait_seconds`` younger have come (behind ``lateness``) expires; its source needs
     a full delivery. No delivery is dropped for being late. Copies of a waiting delivery give no row.
+
+    There are about as many sources as deliveries, so state is no store that Python asks for each key, but a table: a batch's
+    deliveries and the state before it are sorted by source and offset and read as one stream.
     """
-    return _timed(deliveries, lateness).groupBy("source").transformWithState(
-        DeltaChain(wait_seconds), "source long, byte_offset long, hash string, disposition string", "Append", "EventTime"
-    )
+
+    def place(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        passed = F.unix_millis(F.max("at") - F.expr(f"interval {lateness}"))
+        marks = [batch.agg(passed.alias("m")).first()["m"]]
+        new = batch.select("source", F.lit("new").alias("state"), "mode", "base_offset", "byte_offset", "hash", (F.col("ts") * 1000 + wait_seconds * 1000).alias("expires"))
+        rows = new
+        if before is not None:
+            marks.append(before.where(F.col("disposition") == WATERMARK).select("byte_offset").first()[0])
+            old = before.where(F.col("disposition").isin(COMMITTED, HELD)).select("source", F.col("disposition").alias("state"), F.lit("delta").alias("mode"), "base_offset", "byte_offset", "hash", "expires")
+            rows = old.unionByName(new)
+        mark = max((m for m in marks if m is not None), default=0)
+        order = ["source", F.col("state") != COMMITTED, "byte_offset", F.col("state") == "new", F.col("mode") != "full", "base_offset", "hash"]
+        sorted_rows = rows.where("source is not null").repartition("source").sortWithinPartitions(*order)
+        placed = sorted_rows.mapInPandas(_chained(mark), PLACED)
+        return placed.unionByName(batch.sparkSession.range(1).select(F.lit(mark).cast("long").alias("byte_offset"), F.lit(WATERMARK).alias("disposition")), allowMissingColumns=True)
+
+    return Folded(deliveries, place, "source long, byte_offset long, hash string, disposition string", F.col("disposition").isin(COMMITTED, HELD, WATERMARK))
 
 
 # --- signals that wait for their document ---------------------------------------------
