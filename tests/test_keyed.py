@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from threadloom.streaming import keyed
@@ -114,3 +115,32 @@ def test_deltas_of_one_batch_go_by_their_offsets(feed):
     rows = [(1, "full", None, 90, "e", 0), (1, "delta", 10, 20, "b", 0), (1, "delta", 30, 40, "d", 0), (1, "full", None, 10, "a", 0)]
     found = feed(keyed.contiguous_deltas, DELTA, [rows])
     assert found == [(1, 10, "a", "accepted"), (1, 20, "b", "accepted"), (1, 40, "d", "stale"), (1, 90, "e", "accepted")]
+
+
+class Calls:
+    """A state store that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("getValueState", "getMapState"):
+                return self.held.setdefault(args[0], Calls())
+            if name == "registerTimer":
+                self.timers.append(args[0])
+            if name == "iterator":
+                return iter(())
+            return None if name == "get" else False
+
+        return call
+
+
+def test_a_session_asks_its_state_a_few_times():
+    handle, row = Calls(), Row("ts", "is_document", "signal_id", "kind", "payload")
+    inbox = keyed.Inbox(keyed.WAITS)
+    inbox.init(handle)
+    rows = [row(i, False, f"s{i % 2}", "title", f"p{i}") for i in range(100)]
+    assert list(inbox.handleInputRows((1,), iter(rows), None)) == []
+    assert sum(h.calls for h in handle.held.values()) <= 5 and sorted(handle.timers) == [1000 * (t + keyed.WAITS["title"]) for t in (98, 99)]

@@ -139,26 +139,35 @@ class Inbox(_Processor):
         self.held = handle.getMapState("held", "signal_id string", "payload string, ts long, expires long")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        arrived = self.arrived.get()[0] if self.arrived.exists() else None
+        arrived = (self.arrived.get() or (None,))[0]
+        # each call of the state is a message to the JVM: the session's signals are read once and written where they changed
+        before = {k[0]: tuple(v) for k, v in self.held.iterator()} if arrived is None else {}
+        held = dict(before)
         for row in sorted(rows, key=lambda r: (r["ts"], r["is_document"], r["signal_id"] or "", r["payload"] or "")):
             if row["is_document"]:
                 if arrived is None:
                     arrived = row["ts"]
                     self.arrived.update((arrived,))
-                    for (signal,), (payload, _, expires) in sorted((tuple(k), tuple(v)) for k, v in self.held.iterator()):
+                    for signal in sorted(held, key=lambda s: s or ""):
+                        payload, _, expires = held[signal]
                         if expires > arrived:
                             yield Applied(key[0], signal, payload, arrived)
-                    self.held.clear()
+                    held.clear()
                 continue
             expires = row["ts"] + self.waits.get(row["kind"], self.waits["title"])
             if arrived is not None:
                 if expires > arrived:
                     yield Applied(key[0], row["signal_id"], row["payload"], max(row["ts"], arrived))
                 continue
-            spot = (row["signal_id"],)
-            if not self.held.containsKey(spot) or self.held.getValue(spot)[1] <= row["ts"]:
-                self.held.updateValue(spot, (row["payload"], row["ts"], expires))
-                self.handle.registerTimer(expires * 1000)
+            if row["signal_id"] not in held or held[row["signal_id"]][1] <= row["ts"]:
+                held[row["signal_id"]] = (row["payload"], row["ts"], expires)
+        if before and not held:
+            self.held.clear()
+        changed = {k: v for k, v in held.items() if before.get(k) != v}
+        for k, v in changed.items():
+            self.held.updateValue((k,), v)
+        for expires in {v[2] for v in changed.values()}:
+            self.handle.registerTimer(expires * 1000)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs() // 1000
