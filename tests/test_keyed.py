@@ -144,3 +144,12 @@ def test_a_session_asks_its_state_a_few_times():
     rows = [row(i, False, f"s{i % 2}", "title", f"p{i}") for i in range(100)]
     assert list(inbox.handleInputRows((1,), iter(rows), None)) == []
     assert sum(h.calls for h in handle.held.values()) <= 5 and sorted(handle.timers) == [1000 * (t + keyed.WAITS["title"]) for t in (98, 99)]
+
+
+def test_a_document_sets_one_timer_for_its_questions():
+    handle, row = Calls(), Row("document_id", "place", "status", "interaction_id", "kind", "fingerprint", "ts")
+    questions = keyed.Questions(60, 32)
+    questions.init(handle)
+    rows = [row(1, i, "pending", f"p{i}", "permission", "f", i) for i in range(50)]
+    assert len(list(questions.handleInputRows((1,), iter(rows), None))) == 1
+    assert handle.timers == [60_000] and sum(h.calls for h in handle.held.values()) <= 2

@@ -6,6 +6,7 @@ table; its rules stand in one function over plain values, so that a batch form c
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -228,26 +229,27 @@ class Questions(_Processor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "interaction_id string", "kind string, fingerprint string, ts long")
-        self.history = handle.getMapState("history", "interaction_id string", "status string, ts long")
-        self.latest = handle.getValueState("latest", "human long, revision long")
+        # one value, as each call of the state is a message to the JVM; ``due`` is the timer that is set, -1 without one
+        self.state = handle.getValueState("state", "human long, revision long, due long, pending string, history string")
+
+    def _read(self) -> tuple[int, int, int, dict, dict]:
+        human, revision, due, *maps = self.state.get() or (-1, 0, -1, "[]", "[]")
+        return human, revision, due, *({k: tuple(v) for k, v in json.loads(m)} for m in maps)
+
+    def _write(self, human: int, revision: int, due: int, pending: dict, history: dict) -> None:
+        """Write the state with a timer for the question that is forgotten next, unless an earlier one is set."""
+        following = min((v[2] + self.open for v in pending.values()), default=-1)
+        if following >= 0 and (due < 0 or following < due):
+            self.handle.registerTimer(following * 1000)
+            due = following
+        self.state.update((human, revision, due, *(json.dumps(list(m.items())) for m in (pending, history))))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        pending = {k[0]: tuple(v) for k, v in self.pending.iterator()}
-        history = {k[0]: tuple(v) for k, v in self.history.iterator()}
-        human, revision = self.latest.get() if self.latest.exists() else (-1, 0)
+        human, revision, due, pending, history = self._read()
         before = dict(pending), dict(history)
         for r in sorted(rows, key=lambda r: (r["ts"], r["place"])):
             human = advance_questions(pending, history, human, (r["status"], r["interaction_id"], r["kind"], r["fingerprint"], r["ts"]), self.most)
-        for state, now, old in ((self.pending, pending, before[0]), (self.history, history, before[1])):
-            for k in old.keys() - now.keys():
-                state.removeKey((k,))
-            for k, v in now.items():
-                if old.get(k) != v:
-                    state.updateValue((k,), v)
-                    if state is self.pending:
-                        self.handle.registerTimer((v[2] + self.open) * 1000)
-        self.latest.update((human, revision + 1))
+        self._write(human, revision + 1, due, pending, history)
         if revision == 0 or (pending, history) != before:
             yield self._shown(key, revision + 1, pending, history)
 
@@ -257,15 +259,15 @@ class Questions(_Processor):
         return Asked(key[0], revision, sorted(pending), [f"{k}:{v[0]}" for k, v in newest])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now, pending = expiredTimerInfo.getExpiryTimeInMs() // 1000, {k[0]: tuple(v) for k, v in self.pending.iterator()}
+        human, revision, _, pending, history = self._read()
+        # all that the watermark has passed goes at once
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // 1000
         over = [k for k, v in pending.items() if v[2] + self.open <= now]
         for k in over:
-            self.pending.removeKey((k,))
             del pending[k]
+        self._write(human, revision + bool(over), -1, pending, history)
         if over:
-            human, revision = self.latest.get()
-            self.latest.update((human, revision + 1))
-            yield self._shown(key, revision + 1, pending, {k[0]: tuple(v) for k, v in self.history.iterator()})
+            yield self._shown(key, revision + 1, pending, history)
 
 
 def interaction_state(interactions: DataFrame, open_seconds: int = OPEN_SECONDS, most: int = HISTORY, lateness: str = "1 hour") -> DataFrame:
