@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from threadloom.operators import recovery
 
@@ -100,3 +101,22 @@ def test_overlays_fill_what_is_missing(spark):
     out = recovery.backfill_overlays(s, p, ["model", "effort"]).orderBy("line_number").collect()
     assert [(r["model"], r["effort"], r["aligned"]) for r in out] == [("m1", "high", "line"), ("own", "low", "unique"), (None, None, None), (None, None, None), (None, None, None)]
     assert recovery.backfill_overlays(s, p.limit(0), ["model"]).where("aligned is null").count() == 5 and recovery.backfill_overlays(s.limit(0), p, ["model"]).count() == 0
+
+
+def test_single_rows_are_paired_without_a_table_of_scores(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a run of one row on each side")
+
+    rows = [(d, d, "a", 1000 * d) for d in range(40)]
+    schema = "document_id long, key long, content string, ts long"
+    apart = [(d, 100 + d, "a", 1000 * d + 10 * d) for d in range(40)]
+    source, history = spark.createDataFrame(rows, schema), spark.createDataFrame(apart, schema)
+    monkeypatch.setattr(recovery, "match_in_order", refuse)
+    cloudpickle.register_pickle_by_value(recovery)  # so that tasks see it refused
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = {r[1]: r[2] for r in recovery.match_recovered_prompts(source, history).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(recovery)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {100 + d: d if 10 * d <= 300 else None for d in range(40)}

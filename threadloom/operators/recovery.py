@@ -72,29 +72,41 @@ def match_recovered_prompts(source: DataFrame, history: DataFrame, tolerance: in
     run = Window.partitionBy("document_id", "text", "run")
     runs = runs.withColumn("_sides", F.count_if(F.col("_side") == 0).over(run) * F.count_if(F.col("_side") == 1).over(run))
 
-    def paired(run: pd.DataFrame) -> pd.DataFrame:
-        a, b = run[run["_side"] == 0], run[run["_side"] == 1]
-        pairs = match_in_order(a["ts"].to_numpy(), b["ts"].to_numpy(), tolerance)
-        at, to = (np.array(x, int) for x in (list(zip(*pairs, strict=True)) or ((), ())))
-        return pd.DataFrame({"document_id": b["document_id"].iloc[at].to_numpy(), "key": b["key"].iloc[at].to_numpy(), "source_key": a["key"].iloc[to].to_numpy()})
+    def paired(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        """The pairs of whole runs, which begin at ``starts``; within each its source rows come first."""
+        times, keys = frame["ts"].to_numpy(float), frame["key"].to_numpy()
+        sizes = np.diff([*starts, len(frame)])
+        middles = starts + np.add.reduceat((frame["_side"] == 0).to_numpy().astype(int), starts)
+        # most runs are one row on each side
+        lone = (sizes == 2) & (middles - starts == 1)
+        one = starts[lone]
+        near = np.rint(np.nan_to_num(np.abs(times[one] - times[one + 1])) * 1000) <= round(tolerance * 1000)
+        to, at = list(one[near]), list(one[near] + 1)
+        for start, middle, size in zip(starts[~lone], middles[~lone], sizes[~lone], strict=True):
+            for i, j in match_in_order(times[start:middle], times[middle : start + size], tolerance):
+                at.append(middle + i)
+                to.append(start + j)
+        at, to = np.array(at, int), np.array(to, int)
+        return pd.DataFrame({"document_id": frame["document_id"].to_numpy()[at], "key": keys[at], "source_key": keys[to]})
 
     def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # parts of the run that is not yet at its end
         for frame in frames:
-            names = list(zip(frame["document_id"], frame["text"], frame["run"], strict=True))
-            last = (held[-1]["document_id"].iloc[-1], held[-1]["text"].iloc[-1], held[-1]["run"].iloc[-1]) if held else None
-            cuts = [i for i, (x, y) in enumerate(zip(names, [last, *names], strict=False)) if x != y]
-            out = []
-            for start, end in zip([0, *cuts], [*cuts, len(frame)], strict=True):
-                if start in cuts and held:
-                    out.append(paired(pd.concat(held)))
-                    held = []
-                if end > start:
-                    held.append(frame.iloc[start:end])
-            if out:
-                yield pd.concat(out)
+            rows = pd.concat([held[-1].iloc[-1:], frame]) if held else frame
+            cuts = np.zeros(len(rows) - 1, bool)
+            for name in ("document_id", "text", "run"):
+                column = rows[name].to_numpy()
+                cuts |= column[1:] != column[:-1]
+            begun = np.flatnonzero(cuts) + (0 if held else 1)
+            if not len(begun):
+                held.append(frame)
+                continue
+            whole = pd.concat([*held, frame.iloc[: begun[-1]]])
+            before = len(whole) - begun[-1]
+            yield paired(whole, np.unique([0, *(begun[:-1] + before)]))
+            held = [frame.iloc[begun[-1] :]]
         if held:
-            yield paired(pd.concat(held))
+            yield paired(pd.concat(held), np.array([0]))
 
     document, run = source.schema["document_id"].dataType.simpleString(), ["document_id", "text", "run"]
     found = runs.where("_sides > 0").select(*run, "key", "ts", "_side").repartition(*run).sortWithinPartitions(*run, "_side", F.asc_nulls_last("ts"), "key")
