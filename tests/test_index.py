@@ -60,3 +60,19 @@ def test_long_texts_are_held_whole(spark, tmp_path):
     assert ids(index.match_all(index.write_index(rows, str(tmp_path / "a")), "needle word")) == [1]
     assert ids(index.match_all(index.write_index(rows, str(tmp_path / "b"), bounded=True), "needle word")) == []
     assert ids(index.match_all(index.write_index(rows.limit(0), str(tmp_path / "c")), "needle")) == []
+
+
+def test_postings_are_shuffled_once(spark, texts, tmp_path):
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return {stages.apply(i).stageId() for i in range(stages.size()) if stages.apply(i).shuffleWriteBytes()}
+
+    before = shuffled()
+    held = index.write_index(texts, str(tmp_path / "once"))
+    assert len(shuffled() - before) == 1
+    split = texts.select(F.monotonically_increasing_id().alias("row"), index.tokens(F.col("content"), False).alias("tokens"))
+    spread = split.select("row", F.posexplode("tokens").alias("place", "token"))
+    expected = spread.groupBy("row", "token").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    assert sorted(map(tuple, held.postings.select("row", "token", "places").collect())) == sorted(map(tuple, expected.collect()))

@@ -40,9 +40,18 @@ def write_index(rows: DataFrame, folder: str, text: str = "content", key: str =
     keeps to their bounds. Null and empty texts have no postings. Repeated ids count as one text each.
     """
     split = rows.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), tokens(F.col(text), bounded).alias("tokens"))
-    spread = split.select("id", "row", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("place", "token"))
-    held = spread.groupBy("token", "id", "row", "n_tokens").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    dealt = held.withColumn("bucket", _bucket(F.col("token"), buckets)).repartition("bucket", F.pmod(F.xxhash64("row"), F.lit(4)))
+    # a text's tokens are grouped within its row, and each posting is shuffled once
+    placed = split.select("id", "row", F.size("tokens").alias("n_tokens"), F.sort_array(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("place")))).alias("placed"))
+    first = F.transform("placed", lambda p, i: F.when((i == 0) | (F.get("placed", i - 1)["token"] != p["token"]), i))
+    starts = placed.withColumn("starts", F.filter(first, lambda i: i.isNotNull()))
+
+    def posting(start: Column, nth: Column) -> Column:
+        end = F.coalesce(F.get("starts", nth + 1), F.size("placed"))
+        places = F.transform(F.sequence(start, end - 1), lambda j: F.get("placed", j)["place"])
+        return F.struct(F.get("placed", start)["token"].alias("token"), places.alias("places"))
+
+    held = starts.select("id", "row", "n_tokens", F.explode(F.transform("starts", posting)).alias("held"))
+    dealt = held.select("held.token", "id", "row", "n_tokens", "held.places", _bucket(F.col("held.token"), buckets).alias("bucket")).hint("rebalance", "bucket")
     dealt.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(folder)
     return read_index(rows.sparkSession, folder, dealt.schema, buckets)
 
