@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.tables import PARTS
+
 
 def merge_entities(entities: DataFrame) -> DataFrame:
     """One entity for each user, name and type; the longest summary stays, the last in order among equals."""
@@ -17,7 +19,8 @@ def merge_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     ends = entities.select("entity_id").distinct()
     known = relations.where("source_id <> target_id").join(ends.withColumnRenamed("entity_id", "source_id"), "source_id", "left_semi")
     known = known.join(ends.withColumnRenamed("entity_id", "target_id"), "target_id", "left_semi")
-    return known.groupBy("source_id", "target_id", "type").agg(F.sum("strength").alias("strength"))
+    keys = ["source_id", "target_id", "type"]
+    return known.repartition(PARTS, *keys).groupBy(*keys).agg(F.sum("strength").alias("strength"))
 
 
 def prune_weak_relations(relations: DataFrame, least: float = 1.5) -> DataFrame:
