@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from threadloom.bindings import bind
-from threadloom.operators import graph
+from threadloom.operators import graph, ingest
 
 
 def parts(rows):
@@ -17,3 +17,18 @@ def test_relations_are_added_up_in_many_parts(spark):
     assert parts(merged) > 50
     assert merged.agg(F.count("*"), F.min("strength"), F.max("strength")).first()[:] == (1560, 2, 2)
     assert parts(bind(spark, "/root/testdata/sf0.001", "relations")) > 50
+
+
+def test_deliveries_are_chained_in_many_parts(spark):
+    deliveries = spark.range(4000).selectExpr("id DIV 4 AS source", "id % 4 * 100 AS byte_offset", "greatest(id % 4 * 100 - 100, 0L) AS base_offset", "IF(id % 4 = 0, 'full', 'delta') AS mode",
+        "concat('h', id) AS hash", "1L AS size", "date'2024-01-01' AS delivered")
+    twice = deliveries.union(deliveries)
+    for kept in (ingest.dedup_deliveries(twice), ingest.dedup_deliveries(twice, ("source",))):
+        assert kept.count() == 4000
+        assert parts(kept) > 50
+        heads = ingest.select_heads(kept)
+        assert parts(heads) > 50
+        assert {tuple(r)[1:] for r in heads.collect()} == {(0, 4, 300, 0, 0)}
+        chains = ingest.coalesce_chain(kept)
+        assert parts(chains) > 50
+        assert {tuple(r)[1:4] for r in chains.collect()} == {(3, 3, 300)}

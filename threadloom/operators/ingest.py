@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import compact_title
 from threadloom.operators.aggregates import activity_summary
 from threadloom.operators.windows import latest_assistant_line
+from threadloom.tables import PARTS
 
 #: Transports of an assistant's message, the preferred one highest, and seconds between equal copies.
 TRANSPORTS = {"agent_message": 3, "response_item": 2, "task_complete": 1}
 MIRROR_SECONDS = 12
 
 
-def dedup_deliveries(deliveries: DataFrame) -> DataFrame:
-    """One delivery for each source, hash and offset: the earliest, the smallest among equals."""
+def dedup_deliveries(deliveries: DataFrame, dealt_by: tuple[str, ...] = ("source", "hash", "byte_offset")) -> DataFrame:
+    """One delivery for each source, hash and offset: the earliest, the smallest among equals.
+
+    ``dealt_by`` may name fewer of these keys, so that what follows by them needs no second shuffle.
+    """
     order = Window.partitionBy("source", "hash", "byte_offset").orderBy("delivered", "size", "base_offset")
-    return deliveries.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    dealt = deliveries.repartition(PARTS, *dealt_by)
+    return dealt.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
 def guard_deltas(deltas: DataFrame, state: DataFrame) -> DataFrame:
@@ -38,7 +43,7 @@ def latest_full(deliveries: DataFrame) -> DataFrame:
 def coalesce_chain(deliveries: DataFrame, max_bytes: int = 16 << 20, max_jobs: int = 512) -> DataFrame:
     """Per source the longest contiguous run of deltas from its first, within bounds, as one job."""
     order = Window.partitionBy("source").orderBy("byte_offset")
-    rows = deliveries.where("mode = 'delta'").withColumn("_gap", F.coalesce((F.col("base_offset") != F.lag("byte_offset").over(order)).cast("int"), F.lit(0)))
+    rows = deliveries.where("mode = 'delta'").repartition(PARTS, "source").withColumn("_gap", F.coalesce((F.col("base_offset") != F.lag("byte_offset").over(order)).cast("int"), F.lit(0)))
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_broken", F.max("_gap").over(run)).withColumn("_bytes", F.sum("size").over(run)).withColumn("_jobs", F.count("*").over(run))
     kept = rows.where((F.col("_broken") == 0) & (F.col("_bytes") <= max_bytes) & (F.col("_jobs") <= max_jobs))
@@ -56,7 +61,7 @@ def select_heads(deliveries: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("source").orderBy("byte_offset", "hash")
     full = F.col("mode") == "full"
-    rows = deliveries.withColumn("_head", F.max(F.when(full, F.col("byte_offset"))).over(Window.partitionBy("source")))
+    rows = deliveries.repartition(PARTS, "source").withColumn("_head", F.max(F.when(full, F.col("byte_offset"))).over(Window.partitionBy("source")))
     rows = rows.withColumn("_gap", ~full & (F.col("base_offset") != F.coalesce(F.lag("byte_offset").over(order), F.lit(0))))
     old = F.coalesce(F.col("byte_offset") < F.col("_head"), F.lit(False))
     rows = rows.withColumn("_old", old).withColumn("_broken", F.max(F.col("_gap") & ~F.col("_old")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
