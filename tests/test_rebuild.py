@@ -27,6 +27,16 @@ def test_several_secrets_and_none(spark):
     assert rebuild.resanitize(spark.createDataFrame([], RECORD)).collect() == []
 
 
+def test_records_are_shuffled_once_and_secrets_looked_for_once(spark):
+    rows = spark.createDataFrame([(s, i, t, {"k": t}) for s in (1, None) for i, t in enumerate(["b sk-abcdefgh", "ijklmnopqrstuvwx c", "sk-" + "z" * 20 + " d"])], "source long, record long, text string, note map<string, string>")
+    done = rebuild.resanitize(rows)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("regexp") == 1
+    expected = [(s, i, {"k": n}, t, True) for s in (1, None) for i, n, t in ((0, "b sk-abcdefgh", "b [API_KEY_REDACTED]"), (1, "ijklmnopqrstuvwx c", " c"), (2, "sk-" + "z" * 20 + " d", "[API_KEY_REDACTED] d"))]
+    assert sorted(map(tuple, done.select("source", "record", "note", "text", "needs_review").collect()), key=str) == sorted(expected, key=str)
+
+
 def staged(spark):
     raw = spark.createDataFrame([(1, "a\nb"), (2, "c"), (3, None)], "document_id long, text string")
     docs = raw.select("document_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), F.sha2("text", 256).alias("hash")).unionByName(spark.createDataFrame([(4, 1, "h")], "document_id long, size int, hash string"))

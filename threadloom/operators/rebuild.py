@@ -16,10 +16,14 @@ SECOND_PASS = [
 ]
 
 
-def _spans(text: Column) -> Column:
-    """start (from 0), length and mask of the secrets of a text, in order."""
+def _parts(text: Column) -> Column:
+    """A text without NUL characters in pieces, found in one pass: what stands before a secret, the secret, and so on, then the rest."""
     either = "|".join(p for p, _ in SECOND_PASS)
-    found, between = F.regexp_extract_all(text, F.lit(either), F.lit(0)), F.split(text, either)
+    return F.split(F.regexp_replace(text, either, "\x00$0\x00"), "\x00")
+
+
+def _spans(parts: Column) -> Column:
+    """start (from 0), length and mask of the secrets among the pieces of a text, in order; null if it has none."""
 
     def mask(secret: Column) -> Column:
         out = F.lit(SECOND_PASS[-1][1])
@@ -28,13 +32,13 @@ def _spans(text: Column) -> Column:
         return out
 
     def step(done: Column, i: Column) -> Column:
-        start = done["at"] + F.length(F.get(between, i))
-        size = F.length(F.get(found, i))
-        row = F.struct(start.alias("start"), size.alias("length"), mask(F.get(found, i)).alias("mask"))
+        start = done["at"] + F.length(F.get(parts, i - 1))
+        size = F.length(F.get(parts, i))
+        row = F.struct(start.alias("start"), size.alias("length"), mask(F.get(parts, i)).alias("mask"))
         return F.struct((start + size).alias("at"), F.concat(done["spans"], F.array(row)).alias("spans"))
 
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, length: int, mask: string>>").alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), none, step)["spans"])
+    return F.when(F.size(parts) > 1, F.aggregate(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), none, step)["spans"])
 
 
 def resanitize(records: DataFrame) -> DataFrame:
@@ -43,15 +47,18 @@ def resanitize(records: DataFrame) -> DataFrame:
     A source's records are one text in their order, without NUL characters, so a secret may run over
     several: the mask stands in the first of them, the others lose their part. A private key that never ends
     runs to the source's end. Null texts stay null. A source is put together in one row, so it must
-    fit there as one file does; its records are masked apart, by their place in it.
+    fit there as one file does; its records are masked apart, by their place in it. They are shuffled once.
     """
     clean = records.withColumn("text", F.replace("text", F.lit("\x00"), F.lit("")))
-    ordered = F.array_sort(F.collect_list(F.struct("record", F.coalesce("text", F.lit("")).alias("text"))))
-    whole = clean.groupBy("source").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "").alias("whole"))
-    found = whole.select(F.col("source").alias("_source"), _spans(F.col("whole")).alias("_spans")).where("_spans is not null")
-    before = F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("source").orderBy("record").rowsBetween(Window.unboundedPreceding, -1))
-    placed = clean.withColumn("_from", F.coalesce(before, F.lit(0))).withColumn("_to", F.col("_from") + F.length("text"))
-    joined = placed.join(found, F.col("source").eqNullSafe(F.col("_source")), "left")
+    rows = clean.groupBy("source").agg(F.collect_list(F.struct(*[c for c in records.columns if c != "source"])).alias("_rows"))
+    keys = F.transform("_rows", lambda r, i: F.struct(r["record"].alias("record"), F.coalesce(r["text"], F.lit("")).alias("text"), i.alias("i")))
+    ordered = rows.withColumn("_keys", F.sort_array(keys))
+    # the pieces are a column of their own, as each use of an expression would look for secrets again
+    split = ordered.withColumn("_parts", _parts(F.array_join(F.transform("_keys", lambda k: k["text"]), "")))
+    found = split.withColumn("_spans", _spans(F.col("_parts")))
+    each = found.select("source", "_spans", F.posexplode(F.transform("_keys", lambda k: F.get("_rows", k["i"]))).alias("_nth", "_row"))
+    before = F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.partitionBy("source").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1))
+    placed = each.select("source", "_spans", "_nth", "_row.*").withColumn("_from", F.coalesce(before, F.lit(0))).withColumn("_to", F.col("_from") + F.length("text"))
     here = F.filter("_spans", lambda s: (s["start"] < F.col("_to")) & (s["start"] + s["length"] > F.col("_from")))
 
     def step(done: Column, span: Column) -> Column:
@@ -63,7 +70,7 @@ def resanitize(records: DataFrame) -> DataFrame:
     done = F.aggregate(here, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text")), step)
     masked = F.concat(done["text"], F.substr("text", done["at"] + 1, F.greatest(F.length("text") - done["at"], F.lit(0))))
     review = F.col("_spans").isNotNull()
-    return joined.select(*[c for c in records.columns if c != "text"], F.when(review, masked).otherwise(F.col("text")).alias("text"), review.alias("needs_review"))
+    return placed.select(*[c for c in records.columns if c != "text"], F.when(review, masked).otherwise(F.col("text")).alias("text"), review.alias("needs_review"))
 
 
 def stage_rebuild(raw: DataFrame, docs: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
