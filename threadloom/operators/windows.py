@@ -72,11 +72,11 @@ def hits_per_group(hits: DataFrame, group: str, order: list[Column], per_group:
 
 
 def message_window(messages: DataFrame, document_id: int, line: int, before: int, after: int) -> DataFrame:
-    """Messages around a line of a document."""
-    doc = messages.where(F.col("document_id") == document_id)
-    head = doc.where(F.col("line_number") < line).orderBy(F.desc("line_number")).limit(before)
-    tail = doc.where(F.col("line_number") >= line).orderBy("line_number").limit(after + 1)
-    return head.unionByName(tail)
+    """Messages of a document from ``before`` lines above a line to ``after`` lines below it, both included.
+
+    Lines are numbers, not ranks: a line that is missing makes no room for one farther off, and all messages of a line count.
+    """
+    return messages.where((F.col("document_id") == document_id) & F.col("line_number").between(line - before, line + after))
 
 
 def latest_assistant_line(messages: DataFrame) -> DataFrame:
