@@ -38,6 +38,7 @@ def register(spark: SparkSession, prefix: str = "tl_") -> list[str]:
 
     Scalar functions are SQL functions: the optimizer sees their expressions, no Python runs. The table
     functions ``chunk_text(content)`` (chunk_index, chunk) and ``frame_json(content)`` (position, record) join laterally.
+    Texts without chunks or records drop out of such a join; LEFT JOIN LATERAL keeps them only with ON true (Spark 4.1), which joins by the whole text.
     """
     names = []
     for name, function in FUNCTIONS.items():
