@@ -39,3 +39,19 @@ def test_words_that_share_only_common_grams_do_not_meet(spark):
     frame = spark.createDataFrame([(w, g[8:] + g[:8]) for w, g in words], "term string, grams array<long>")
     asked = frame.select(F.col("term").alias("token"), "grams", F.lit(0.7).alias("least"))
     assert search._alike(asked, frame, 0.7, F.lit(True)).count() == 0
+
+
+def test_whole_texts_are_corrected(spark):
+    terms = spark.createDataFrame([("stream", 40), ("window", 30)], "term string, frequency long")
+    # far behind the first tokens, and behind an index entry's 200,000 characters; a token as long as a text takes no part
+    texts = [("x1 " * 20 + " ".join(f"n{i}q" for i in range(30)) + " streams",), ("ab " * 80_000 + "windows " + "f" * 100_000,), (None,), ("",)]
+    found = search.correct_queries(spark.createDataFrame(texts, "query string"), terms).collect()
+    assert sorted((r["token"], r["term"]) for r in found) == [("streams", "stream"), ("windows", "window")]
+
+
+def test_a_long_query_is_corrected_to_its_end(spark):
+    words = [f"word{c}" for c in "abcdefghi"]
+    messages = spark.createDataFrame([(1, "user", " ".join(words) + " stream")], "message_id long, role string, content string")
+    terms = spark.createDataFrame([(w, 1) for w in words] + [("stream", 40)], "term string, frequency long")
+    hits = search.score_with_correction(messages, " ".join(words) + " streams", terms, 1).collect()
+    assert [(r["message_id"], r["match_type"]) for r in hits] == [(1, "fuzzy")]

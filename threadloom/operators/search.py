@@ -175,13 +175,14 @@ def _alike(asked: DataFrame, terms: DataFrame, least: float, wanted: Column) ->
     enough = F.least(n - F.col("_at_a"), m - F.col("_at_b")) * (1 + F.col("least")) >= F.col("least") * (n + m) - 1e-9
     once = F.get(F.array_intersect("_first_a", "_first_b"), F.lit(0)) == F.col("_gram")
     met = spread(asked, "token", F.col("least"), "a").join(spread(terms, "term", F.lit(least), "b"), "_gram").where(close & enough & wanted & (F.col("token") != F.col("term")) & once)
-    shared = F.size(F.array_intersect("_grams_a", "_grams_b"))
-    alike = met.withColumn("similarity", shared / (n + m - shared)).where("similarity >= least")
+    # behind explode, what grams both share is found once for a pair; as an expression each condition on it would find it again
+    sized = met.select("*", F.explode(F.array(F.size(F.array_intersect("_grams_a", "_grams_b")))).alias("_shared"))
+    alike = sized.withColumn("similarity", F.col("_shared") / (n + m - F.col("_shared"))).where("similarity >= least")
     return alike.drop(*[c for c in alike.columns if c.startswith("_")])
 
 
 def correct_queries(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """For each misspelt token of ``queries(query)`` the most alike term of ``lexicon(term, frequency)``.
+    """For each misspelt token of ``queries(query)``, whole texts, the most alike term of ``lexicon(term, frequency)``.
 
     Tokens meet terms that share a 3-gram and differ by at most 2 in length. An
     unknown token needs a similarity of 0.45; a known one 0.55, and a term with 20
@@ -196,7 +197,11 @@ def correct_queries(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
     counted = written(lexicon.select("term", "frequency", codes("term").alias("codes")), "lexicon")
     counts = written(counted.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")), "grams")
     terms = written(_by_rarity(counted, "term", counts), "terms")
-    asked = queries.select(F.explode(F.slice(query_tokens(F.col("query")), 1, 8)).alias("token")).where(F.col("token").rlike("^[\\x00-\\x7F]+$")).distinct()
+    asked = queries.select(F.explode(tokens(F.col("query"), bounded=False)).alias("token")).where(F.col("token").rlike("^[\\x00-\\x7F]+$")).distinct()
+    # only lengths that terms have, give or take 2, a few rows: a token as long as a text would be spread by all its grams
+    length = F.length("term")
+    lengths = counted.select(F.explode(F.sequence(length - 2, length + 2)).alias("length")).distinct()
+    asked = asked.join(F.broadcast(lengths), F.length("token") == F.col("length"), "left_semi")
     own = counted.select(F.col("term").alias("token"), F.col("frequency").alias("own"))
     asked = asked.join(own, "token", "left").select("token", F.coalesce("own", F.lit(0)).alias("own"), codes("token").alias("codes"))
     asked = written(_by_rarity(asked, "token", counts), "asked")
@@ -220,11 +225,12 @@ def score_with_correction(messages: DataFrame, query: str, lexicon: DataFrame, e
     hits = score_messages(messages, query)
     if hits.limit(enough).count() >= enough:
         return hits
-    asked = messages.sparkSession.range(1).select(F.lit(query).alias("query"))
-    better = {r["token"]: r["term"] for r in correct_queries(asked, lexicon).collect()}  # at most 8 rows
+    one = messages.sparkSession.range(1)
+    words = one.select(query_tokens(F.lit(query)).alias("t")).first()["t"]  # at most 16, as the search looks for
+    asked = one.select(F.lit(" ".join(words)).alias("query"))
+    better = {r["token"]: r["term"] for r in correct_queries(asked, lexicon).collect()}
     if not better:
         return hits
-    words = asked.select(query_tokens(F.col("query")).alias("t")).first()["t"]
     again = score_messages(messages, " ".join(better.get(w, w) for w in words))
     fuzzy = again.withColumns({"score": 1 + F.least(F.col("score") - 3, F.lit(0.999999)), "match_type": F.lit("fuzzy")})
     return hits.unionByName(fuzzy.join(hits.select("message_id"), "message_id", "left_anti"))
